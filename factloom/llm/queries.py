@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe
+from factloom.llm import bpe, line_dedup
 from factloom.llm.common import table
 
 
@@ -13,5 +13,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), keep=["doc_id"], verify=True)
 
 
-QUERIES = {"op9_bpe": op9_bpe}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document, and how many lines it lost to earlier ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_dedup(docs, removed="n_removed")
+
+
+QUERIES = {"op9_bpe": op9_bpe, "op10_line_dedup": op10_line_dedup}
 SQL: dict[str, str] = {}
