@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, line_dedup
+from factloom.llm import bpe, line_dedup, simhash
 from factloom.llm.common import table
 
 
@@ -19,5 +19,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs, removed="n_removed")
 
 
-QUERIES = {"op9_bpe": op9_bpe, "op10_line_dedup": op10_line_dedup}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every near-duplicate document and the one it duplicates."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op7_simhash": op7_simhash, "op9_bpe": op9_bpe, "op10_line_dedup": op10_line_dedup}
 SQL: dict[str, str] = {}
