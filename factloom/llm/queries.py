@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, line_dedup, simhash
+from factloom.llm import bpe, line_dedup, mixing, quality, simhash
 from factloom.llm.common import table
 
 
@@ -24,5 +24,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_simhash": op7_simhash, "op9_bpe": op9_bpe, "op10_line_dedup": op10_line_dedup}
-SQL: dict[str, str] = {}
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier keeps, with their scores."""
+    return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), out="quality_score").drop("text")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus resampled to equal shares of characters for every source."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), copy="copy")
+
+
+QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_mixing": op2_mixing,
+    "op7_simhash": op7_simhash,
+    "op9_bpe": op9_bpe,
+    "op10_line_dedup": op10_line_dedup,
+}
+SQL: dict[str, str] = {"op2_mixing": mixing.mix_sql()}
