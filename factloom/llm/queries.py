@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import bpe, line_dedup, mixing, quality, simhash
+from factloom.llm import bpe, compression, line_dedup, mixing, quality, simhash, topk
 from factloom.llm.common import table
 
 
@@ -34,11 +35,23 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), copy="copy")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding's ten best others by inner product."""
+    return topk.top_k(table(spark, sf_dir, "embeddings")).withColumn("score", F.round("score", 6))
+
+
+def op6_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents within the compression bands, with their ratios."""
+    return compression.compression_filter(table(spark, sf_dir, "documents").select("doc_id", "text"), figures=True).drop("text")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
+    "op4_topk": op4_topk,
+    "op6_compression": op6_compression,
     "op7_simhash": op7_simhash,
     "op9_bpe": op9_bpe,
     "op10_line_dedup": op10_line_dedup,
 }
-SQL: dict[str, str] = {"op2_mixing": mixing.mix_sql()}
+SQL: dict[str, str] = {"op2_mixing": mixing.mix_sql(), "op4_topk": topk.TOP_K_SQL}
