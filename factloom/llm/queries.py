@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, compression, line_dedup, mixing, quality, simhash, topk
+from factloom.llm import bpe, compression, line_dedup, mixing, quality, recompress, simhash, suffix_dedup, topk
 from factloom.llm.common import table
 
 
@@ -45,12 +45,24 @@ def op6_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compression_filter(table(spark, sf_dir, "documents").select("doc_id", "text"), figures=True).drop("text")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of fifty words or more that documents share, by sparse suffix arrays."""
+    return suffix_dedup.suffix_repeats(table(spark, sf_dir, "documents"))
+
+
+def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of fifty words or more that documents share, by recompression."""
+    return recompress.recompression_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
     "op4_topk": op4_topk,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_compression": op6_compression,
     "op7_simhash": op7_simhash,
+    "op8_recompression": op8_recompression,
     "op9_bpe": op9_bpe,
     "op10_line_dedup": op10_line_dedup,
 }
