@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, compression, line_dedup, mixing, quality, recompress, simhash, suffix_dedup, topk
+from factloom.llm import bpe, compression, line_dedup, lm_score, mixing, quality, recompress, simhash, suffix_dedup, topk
 from factloom.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), copy="copy")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log-probability under the model trained on the corpus."""
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding's ten best others by inner product."""
     return topk.top_k(table(spark, sf_dir, "embeddings")).withColumn("score", F.round("score", 6))
@@ -58,6 +63,7 @@ def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
+    "op3_lm_score": op3_lm_score,
     "op4_topk": op4_topk,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_compression": op6_compression,
