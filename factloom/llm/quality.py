@@ -13,14 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import col, cut, fresh
+from factloom.llm.common import col, fresh
 from factloom.llm.textkit import U, Chunk, chunks, kgrams, segment_hash, words
 
 #: Rows that the scorer is fitted on at most (a bounded sample by hash of the id); all else uses every document.
-TRAIN_ROWS, BUCKETS, THRESHOLD = 20_000, 1 << 16, 0.5
+TRAIN_ROWS, BUCKETS, THRESHOLD = 10_000, 1 << 16, 0.5
 #: The first ones speak up against a document only; the last three judge most documents and overlap with them.
 LABELLERS = ("capitals", "symbols", "stutter", "loops", "bars", "variety", "word_length", "sentences", "plain", "marked", "surface", "repetition", "prose")
 
@@ -155,25 +156,26 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's distinct features and their shares of all its features."""
     for batch in batches:
         for chunk in chunks(batch.column(1)):
             feature, first = Facts(chunk).tokens(chunk.data)
-            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(feature))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), lists], ["target", "features"])
+            row = np.repeat(np.arange(len(chunk)), np.diff(first))
+            pair, count = np.unique(row * BUCKETS + feature, return_counts=True)
+            offsets = np.searchsorted(pair, np.arange(len(chunk) + 1) * BUCKETS).astype(np.int32)
+            share = (count / np.diff(first)[pair // BUCKETS]).astype(np.float32)
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in ((pair % BUCKETS).astype(np.int32), share)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), *lists], ["target", "features", "shares"])
 
 
-def fit_scorer(lists: list[np.ndarray], target: np.ndarray, rounds: int = 60, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
-    """Logistic regression on soft targets over mean feature counts (times 10), by Adagrad; the last weight is the bias."""
-    sizes = np.array([len(x) for x in lists], np.int64)
-    row = np.repeat(np.arange(len(lists)), sizes)
-    pair, count = np.unique(row.astype(np.int64) * BUCKETS + np.concatenate([*lists, np.empty(0, np.int32)]), return_counts=True)
-    row, feature = pair // BUCKETS, pair % BUCKETS
-    value = 10 * count / np.maximum(sizes, 1)[row]
+def fit_scorer(row: np.ndarray, feature: np.ndarray, share: np.ndarray, target: np.ndarray, rounds: int = 60, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
+    """Logistic regression on soft targets over shares of features (times 10), by Adagrad; the last weight is the bias."""
+    value, n = 10 * share, len(target)
     weights, squares = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-8)
     balance = np.where(target > 0.5, 0.5 / max((target > 0.5).mean(), 0.01), 0.5 / max((target <= 0.5).mean(), 0.01))
     for _ in range(rounds):
-        z = np.bincount(row, weights[feature] * value, len(lists)) + weights[-1]
-        error = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / max(len(lists), 1)
+        z = np.bincount(row, weights[feature] * value, n) + weights[-1]
+        error = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / max(n, 1)
         slope = np.append(np.bincount(feature, error[row] * value, BUCKETS), error.sum()) + decay * weights
         squares += slope * slope
         weights -= rate * slope / np.sqrt(squares)
@@ -197,18 +199,21 @@ def scorer(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", train_ro
         for batch in batches:
             for voted, made in zip(_vote([batch]), _features([batch])):
                 target = [known[p] for p in voted.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(target), made.column(1)], ["target", "features"])
+                yield pa.RecordBatch.from_arrays([pa.array(target), made.column(1), made.column(2)], ["target", "features", "shares"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, lists = [], []
+        target, sizes, feature, share = ([np.empty(0, kind)] for kind in (float, np.int64, np.int32, np.float32))
         for batch in batches:
-            target += batch.column(0).to_pylist()
-            values, offsets = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
-            lists += [values[i:j] for i, j in zip(offsets, offsets[1:])]
-        weights = fit_scorer(lists, np.array(target)) if lists else np.zeros(BUCKETS + 1)
+            target.append(batch.column(0).to_numpy())
+            sizes.append(pa.compute.list_value_length(batch.column(1)).to_numpy())
+            feature.append(batch.column(1).flatten().to_numpy())
+            share.append(batch.column(2).flatten().to_numpy())
+        goal = np.concatenate(target)
+        row = np.repeat(np.arange(len(goal), dtype=np.int32), np.concatenate(sizes))
+        weights = fit_scorer(row, np.concatenate(feature), np.concatenate(share), goal) if len(goal) else np.zeros(BUCKETS + 1)
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()])], ["weights"])
 
-    made = chosen.mapInArrow(labelled, "target double, features array<int>").repartition(1).mapInArrow(fit, "weights binary")
+    made = chosen.mapInArrow(labelled, "target double, features array<int>, shares array<float>").repartition(1).mapInArrow(fit, "weights binary")
     weights = np.frombuffer(bytes(made.first()[0]), np.float32).astype(float)
     return weights, {name: (float(a), float(b)) for name, a, b in zip(LABELLERS, good, bad)}
 
