@@ -67,11 +67,12 @@ def extract(spec: CandidateSpec) -> DataFrame:
         sides.append((side, keys))
     out, first_keys = sides[0]
     for i, (side, keys) in enumerate(sides[1:], 1):
-        on = out["doc_id"] == side["doc_id"]
+        side = side.withColumnRenamed("doc_id", f"_doc{i}")
+        on = F.col("doc_id") == F.col(f"_doc{i}")
         for k in keys:
             if k in first_keys:
-                on = on & (out[f"_{k}0"] == side[f"_{k}{i}"])
-        out = out.join(side, on).drop(side["doc_id"])
+                on = on & (F.col(f"_{k}0") == F.col(f"_{k}{i}"))
+        out = out.join(side, on)
     args = [F.col(f"a{i}") for i in range(n)]
     if n == 2:
         a, b = args

@@ -59,14 +59,20 @@ def window_features(mentions: DataFrame, window: int = 3, isolated: bool = True,
     head = lambda a, i: F.array_join(F.slice(a, F.lit(1), i), " ", "")
     upto = lambda a: F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a))).otherwise(F.array().cast("array<int>"))
     key = lambda prefix, i, body: F.concat(F.lit(f"{prefix}_"), i.cast("string"), F.lit("_["), body, F.lit("]"))
+    def one_side(prefix: str, array: str, cut) -> Column:
+        return F.transform(upto(F.col(array)), lambda i: key(prefix, i, cut(F.col(array), i)))
+
+    def both_sides(prefix: str, left: str, right: str) -> Column:
+        def pair(i: Column, j: Column) -> Column:
+            return F.concat(F.lit(f"{prefix}_L_"), i.cast("string"), F.lit("_R_"), j.cast("string"), F.lit("_["), tail(F.col(left), i), F.lit("]_["), head(F.col(right), j), F.lit("]"))
+
+        return F.flatten(F.transform(upto(F.col(left)), lambda i: F.transform(upto(F.col(right)), lambda j: pair(i, j))))
+
     out = []
     if isolated:
-        for prefix, array, cut in (("W_LEFT", "ll", tail), ("W_LEFT_POS", "lp", tail), ("W_RIGHT", "rl", head), ("W_RIGHT_POS", "rp", head)):
-            out.append(F.transform(upto(F.col(array)), lambda i, p=prefix, a=array, c=cut: key(p, i, c(F.col(a), i))))
+        out += [one_side("W_LEFT", "ll", tail), one_side("W_LEFT_POS", "lp", tail), one_side("W_RIGHT", "rl", head), one_side("W_RIGHT_POS", "rp", head)]
     if combinations:
-        for prefix, a, b in (("W_LEMMA", "ll", "rl"), ("W_POS", "lp", "rp")):
-            both = F.flatten(F.transform(upto(F.col(a)), lambda i, p=prefix, a=a, b=b: F.transform(upto(F.col(b)), lambda j: F.concat(F.lit(f"{p}_L_"), i.cast("string"), F.lit("_R_"), j.cast("string"), F.lit("_["), tail(F.col(a), i), F.lit("]_["), head(F.col(b), j), F.lit("]")))))
-            out.append(both)
+        out += [both_sides("W_LEMMA", "ll", "rl"), both_sides("W_POS", "lp", "rp")]
     return _rows(m, F.concat(*out))
 
 

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions import boxes, grid, paths, tokens
+from factloom.functions import tokens
 from factloom.operators import candidates as cand
-from factloom.operators import features, html, keys, labels, matchers, neighbours, sentences, spaces
+from factloom.operators import html, matchers, neighbours, sentences, spaces
 from factloom.sources import adapters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -25,8 +25,8 @@ def order_grid(orders: DataFrame, block: int = 16) -> DataFrame:
 
 
 def with_layout(sentences: DataFrame, per_page: int = 50) -> DataFrame:
-    """Adds ``box``: each sentence a line of a monospaced page."""
-    line = F.col("sent_pos")
-    top, left = (12 * (line % per_page)).cast("int"), (6 * (line % 3)).cast("int")
+    """Adds ``box``: a page of monospaced lines in two columns, read across."""
+    line = F.floor(F.col("sent_pos") / 2)
+    top, left = (12 * (line % per_page)).cast("int"), (6 * (F.col("sent_pos") % 3) + 300 * (F.col("sent_pos") % 2)).cast("int")
     box = F.struct((F.floor(line / per_page) + 1).cast("int").alias("page"), top.alias("top"), (top + 10).alias("bottom"), left.alias("left"), (left + 6 * F.length("text") - 1).cast("int").alias("right"))
     return sentences.withColumn("box", box)
