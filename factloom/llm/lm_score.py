@@ -30,7 +30,7 @@ from factloom.llm.bpe import PATTERN, VOCABULARY
 from factloom.llm.common import col, cut
 
 STRIDE, CONTEXT = 32, 16
-WIDTH, HIDDEN, OWN, TAIL = 16, 32, 104, 24
+WIDTH, HIDDEN, OWN, TAIL = 16, 32, 80, 16
 ROUNDS, BATCH, RATE = 3, 32, 0.01
 #: One training window is taken from each started run of so many blocks of a document.
 EVERY = 128
@@ -125,7 +125,7 @@ class Model:
         u = np.maximum(h @ w["A"] + w["a"], 0)
         m = h + u @ w["B"]
         z = (m.reshape(-1, WIDTH) @ w["U"] + w["c"]).reshape(len(m), STRIDE, -1)
-        np.clip(z, -60, 60, out=z)
+        np.minimum(z, 60, out=z)
         e = np.exp(z)
         total = e @ np.ones((e.shape[2], 1), np.float32)
         if not keep:
@@ -246,9 +246,11 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str =
     for i, n in pairs:
         counts[i] = n
     symbols = Symbols.fit(counts)
-    training, flat, losses = gathered.where("window is not null").select("window"), Model(symbols.n).flat, []
+    flat, losses = Model(symbols.n).flat, []
     kind = "flat binary, weight double, loss double, key long"
-    parts = training.rdd.getNumPartitions()
+    # replicas get even shares of windows from all over the corpus, not the documents of one file
+    parts = gathered.rdd.getNumPartitions()
+    training = cut(gathered.where("window is not null").select("window").repartition(parts, F.xxhash64("window")))
     for _ in range(rounds):
         level, left = training.mapInArrow(_replica(symbols, flat), kind), parts
         while left > 1:
