@@ -76,7 +76,8 @@ class Lists:
         rough = self.vectors @ query
         rough[self.ids == own] = -np.inf
         kth = np.partition(rough, len(rough) - k)[-k] if len(rough) >= k else -np.inf
-        near = np.flatnonzero((rough >= max(kth, floor) - 1e-9 * (1 + abs(kth) * np.isfinite(kth))) & np.isfinite(rough))
+        bar = max(kth, floor)
+        near = np.flatnonzero((rough >= (bar - 1e-9 * (1 + abs(bar)) if np.isfinite(bar) else bar)) & np.isfinite(rough))
         # one way of summing for all, so that equal vectors score the same
         scores = np.einsum("ij,j->i", self.vectors[near], query)
         kth = np.partition(scores, len(scores) - k)[-k] if len(scores) >= k else -np.inf
