@@ -69,4 +69,5 @@ def recompression_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     ``grown`` is the length in words from which a symbol is interior. A text of fewer
     words than that shares nothing; an empty table gives no rows.
     """
-    return long_repeats(docs, interior_anchors(grown), left=min_words, right=min_words, doc_id=doc_id, text=text, min_words=min_words)
+    # the anchor itself is `grown` words of the stretch
+    return long_repeats(docs, interior_anchors(grown), left=max(1, min_words - grown), right=min_words, doc_id=doc_id, text=text, min_words=min_words)

@@ -4,7 +4,8 @@ An *anchor* is a position chosen by the text around it alone, with a name that
 depends on the text alone, so that a passage has the same anchors wherever it
 stands. The operators differ in how they choose and name anchors; from there on:
 
-1. names are counted over the corpus, and anchors whose name occurs once are dropped;
+1. names are counted over the distinct texts, and anchors whose name occurs in one are
+   dropped; texts that several documents have repeat as wholes and need one copy here;
 2. the rest fetch their context from the text: words to the left and to the right;
 3. the anchors of a name are sorted by what follows them, as suffixes, and neighbours
    are compared and extended word by word in both directions;
@@ -20,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,16 +36,21 @@ LAGS = 3
 Anchors = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def _name(anchors: Anchors):
+def _name(anchors: Anchors, min_words: int):
+    """Rows (d, g, pos, name): the anchors, and for every long enough text a row with its words as a negative pos."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(2)):
                 hashes, first = word_hashes(chunk)
                 at, names = anchors(hashes, first)
                 row = np.searchsorted(first, at, "right") - 1
+                size = np.diff(first)
+                long = np.flatnonzero(size >= min_words)
                 part = batch.slice(chunk.first, len(chunk))
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array((at - first[row]).astype(np.int32)), pa.array(names.view(np.int64))], ["d", "g", "pos", "name"])
+                take = pa.array(np.concatenate((row, long)))
+                place = np.concatenate((at - first[row], -size[long])).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(place), pa.array(np.concatenate((names.view(np.int64), np.zeros(len(long), np.int64))))], ["d", "g", "pos", "name"])
 
     return run
 
@@ -136,14 +143,21 @@ def long_repeats(docs: DataFrame, anchors: Anchors, left: int, right: int, doc_i
     null texts take no part.
     """
     units = docs.select(col(doc_id).cast("long").alias("d"), F.xxhash64(col(text)).alias("g"), col(text).alias("t")).where("d is not null and t is not null")
-    named = cut(units.mapInArrow(_name(anchors), "d long, g long, pos int, name long"))
-    shared = named.groupBy("name").agg(F.min(F.struct("d", "g")).alias("a"), F.max(F.struct("d", "g")).alias("b")).where("a <> b").select("name")
-    kept = named.join(shared, "name", "left_semi").distinct()
-    places = kept.groupBy("d", "g").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("p")).select("d", "g", F.col("p.pos").alias("pos"), F.col("p.name").alias("names"))
-    once = units.join(places.hint("shuffle_hash"), ["d", "g"]).select("d", "g", "t", "pos", "names")
+    rows = cut(units.mapInArrow(_name(anchors, min_words), "d long, g long, pos int, name long"))
+    texts = rows.where("pos < 0").groupBy("g", (-F.col("pos")).alias("n")).agg(F.min("d").alias("d"), F.max("d").alias("last"))
+    named = rows.where("pos >= 0")
+    shared = named.groupBy("name").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("name")
+    kept = named.join(shared, "name", "left_semi").select("g", "pos", "name").distinct()
+    places = kept.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("p")).select("g", F.col("p.pos").alias("pos"), F.col("p.name").alias("names"))
+    first = places.join(texts.select("g", "d"), "g")
+    once = units.join(first.hint("shuffle_hash"), ["d", "g"]).select("d", "g", "t", "pos", "names")
     context = once.mapInArrow(_context(left, right), "name long, d long, g long, pos int, before binary, after binary")
     ordered = context.repartition("name").sortWithinPartitions("name", "after", "before", "d", "g", "pos")
-    extents = ordered.mapInArrow(_compare(left, right, min_words), "d long, g long, start int, stop int, other long, other_start int").distinct()
+    extents = ordered.mapInArrow(_compare(left, right, min_words), "d long, g long, start int, stop int, other long, other_start int")
+    # a text that several documents have: each of them as a whole, with the first (the first with the last)
+    copied = rows.where("pos < 0").select("d", "g").distinct().join(texts.where("d <> last").select("g", "n", F.col("d").alias("one"), "last"), "g")
+    copies = copied.select("d", "g", F.lit(0).alias("start"), F.col("n").alias("stop"), F.when(F.col("d") == F.col("one"), F.col("last")).otherwise(F.col("one")).alias("other"), F.lit(0).alias("other_start"))
+    extents = extents.union(copies).distinct()
     # extents that touch or overlap are one stretch
     along = Window.partitionBy("d", "g").orderBy("start", F.desc("stop"))
     reach = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
