@@ -4,12 +4,12 @@ Documents that share a line are paired, each pair is aligned by patience diff, a
 the aligned blocks go from the later document, so that the first copy of a passage
 stays. The lines that pair documents are those of ``min_bytes`` or more:
 
-* a *rare* line (in at most ``rare_df`` documents) pairs each holder with the
-  first holder and with the one just before it;
-* a more frequent line pairs each holder with the first one, which has that line too.
+* a *rare* line (in at most ``rare_df`` documents) pairs all its holders;
+* a more frequent line pairs each holder with the first one, and with the one just
+  before it, which have that line too.
 
 So the pairs grow with the lines, not with the square of a line's frequency, and
-no line that an earlier document holds is left without a partner.
+no line that an earlier document holds is left without a partner that holds it.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import col, cut, fresh
 from factloom.llm.textkit import Chunk, chunks, segment_hash
 
-MIN_BYTES, RARE_DF = 24, 64
+MIN_BYTES, RARE_DF = 24, 8
 
 
 def line_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,9 +132,12 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_by
     shared = held.groupBy("h").agg(F.min(F.struct("d", "g")).alias("one"), F.count("*").alias("df")).where("df > 1")
     both = held.join(shared, "h")
     this = F.struct("d", "g")
+    often = both.where(F.col("df") > rare_df)
     before = F.lag(this).over(Window.partitionBy("h").orderBy("d", "g"))
-    linked = both.select("d", "g", F.col("one").alias("e")).union(both.where(F.col("df") <= rare_df).select("d", "g", before.alias("e")))
-    pairs = linked.where(F.col("e").isNotNull() & (F.col("e") < this)).distinct()
+    linked = often.select("d", "g", F.col("one").alias("e")).union(often.select("d", "g", before.alias("e")))
+    holders = both.where(F.col("df") <= rare_df).groupBy("h").agg(F.collect_list(this).alias("all"))
+    linked = linked.union(holders.select("all", F.explode("all").alias("x")).select("x.d", "x.g", F.explode("all").alias("e")))
+    pairs = linked.where(F.col("e").isNotNull() & (F.col("e") < F.struct("d", "g"))).distinct()
     unique = lines.dropDuplicates(["d", "g"])
     early = unique.select(F.struct("d", "g").alias("e"), F.col("lines").alias("early"))
     joined = pairs.join(early, "e").join(unique, ["d", "g"]).select("d", "g", "early", "lines", "seeds")
