@@ -44,7 +44,9 @@ def ngram_mentions(sentences: DataFrame, n_min: int = 1, n_max: int = 5, split_t
         # a span that comes up twice counts once, where it came up first
         first_met = Window.partitionBy("doc_id", "sent_pos", "char_start", "char_end").orderBy(F.desc("n"), "i", "piece")
         spans = spans.union(split).withColumn("met", F.row_number().over(first_met)).where("met = 1").drop("met")
-    first, last = char_to_word(F.col("char_offsets"), F.col("char_start")), char_to_word(F.col("char_offsets"), F.col("char_end"))
+    first, last = F.col("i"), (F.col("i") + F.col("n") - 1).cast("int")
+    if split_tokens and legacy_split_offsets:  # their pieces may lie in another token
+        first, last = char_to_word(F.col("char_offsets"), F.col("char_start")), char_to_word(F.col("char_offsets"), F.col("char_end"))
     order = (F.lit(n_max) - F.col("n")).cast("long") * (1 << 52) + F.col("i").cast("long") * (1 << 24) + F.col("piece")
     out = spans.select("doc_id", "sent_pos", order.alias("ord"), "char_start", "char_end", first.alias("word_start"), last.alias("word_end"), F.expr("substring(text, char_start + 1, char_end - char_start + 1)").alias("span_text"), *(F.col(a).alias(f"_{a}") for a in attributes))
     return out.select(*out.columns[:8], *(F.expr(f"slice(`_{a}`, word_start + 1, word_end - word_start + 1)").alias(a) for a in attributes)).where("span_text <> ''")
