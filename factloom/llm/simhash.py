@@ -7,7 +7,8 @@ depth at which documents meet follows the density: as deep as leaves of about
 ``leaf`` documents need over the whole corpus, and deeper under a crowded prefix.
 From there queries climb: the forest holds as many trees as it takes for a pair at
 distance ``plan`` to share a prefix of that depth somewhere with probability
-``recall``. Every pair under a leaf is verified on all 128 bits.
+``recall``. Every pair under a leaf is verified on all 128 bits, and, as the bits of
+a short text say little, on the word sets themselves if both texts are short.
 """
 
 from __future__ import annotations
@@ -26,15 +27,17 @@ from factloom.llm.textkit import U, Chunk, chunks, mix, word_hashes
 
 BITS, RADIUS, PLAN, RECALL, LEAF, CROWD = 128, 28, 22, 0.92, 64, 2048
 SIZE_RATIO = 0.6
+#: Texts of so many distinct words at most are compared by their word sets too, which must agree in this share of all words.
+SHORT, SHORT_JACCARD = 64, 0.65
 #: The 8 bits of a byte as 8 lanes of a 64-bit word.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(U).ravel()
 
 
-def fingerprints(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit words of fingerprint a row, and its number of distinct words."""
+def fingerprints(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
+    """Two 64-bit words of fingerprint a row, its number of distinct words, and these as sorted 32-bit hashes if they are few."""
     hashes, first = word_hashes(chunk)
     n = len(chunk)
-    out, distinct = np.zeros((n, 2), U), np.zeros(n, np.int64)
+    out, distinct, few = np.zeros((n, 2), U), np.zeros(n, np.int64), [None] * n
     for a in range(0, n, 1 << 18):
         b = min(n, a + (1 << 18))
         part = slice(first[a], first[b])
@@ -53,21 +56,24 @@ def fingerprints(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         inside = np.arange(first_run[-1]) - np.repeat(first_run[:-1], runs)
         starts = np.repeat(at[rows], runs) + 255 * inside
         word = key & U((1 << 46) - 1)
+        brief = (word >> U(14)).astype(np.uint32)
+        for i in rows[sizes[rows] <= SHORT].tolist():
+            few[a + i] = brief[at[i] : at[i + 1]].tobytes()
         for half in range(2):
             raw = mix(word + U(half) * U(0x5851F42D4C957F2D)).view(np.uint8).reshape(-1, 8)
             lanes = np.add.reduceat(LANES[raw], starts, axis=0)
             counts = np.add.reduceat(lanes.view(np.uint8).reshape(len(starts), 64).astype(np.int32), first_run[:-1], axis=0)
             out[a + rows, half] = np.ascontiguousarray(np.packbits(2 * counts > sizes[rows, None], axis=1)).view(U).ravel()
-    return out, distinct
+    return out, distinct, few
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in chunks(batch.column(2)):
-            out, distinct = fingerprints(chunk)
+            out, distinct, few = fingerprints(chunk)
             part, has = batch.slice(chunk.first, len(chunk)), pa.array(distinct > 0)
-            columns = [part.column(0), part.column(1), pa.array(out[:, 0].view(np.int64)), pa.array(out[:, 1].view(np.int64)), pa.array(distinct)]
-            yield pa.RecordBatch.from_arrays(columns, ["d", "g", "f0", "f1", "n"]).filter(has)
+            columns = [part.column(0), part.column(1), pa.array(out[:, 0].view(np.int64)), pa.array(out[:, 1].view(np.int64)), pa.array(distinct), pa.array(few, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["d", "g", "f0", "f1", "n", "few"]).filter(has)
 
 
 def meets(depth: int, distance: int) -> float:
@@ -91,7 +97,7 @@ def _grow(depth: int, trees: int):
                 turned = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u8").astype(U)
                 leaf = U(t << 40) | turned[:, 0] >> U(64 - depth)
                 columns = [pa.array(x.view(np.int64)) for x in (leaf, turned[:, 0].copy(), turned[:, 1].copy())]
-                yield pa.RecordBatch.from_arrays([*columns, batch.column(0), batch.column(3)], ["leaf", "f0", "f1", "d", "n"])
+                yield pa.RecordBatch.from_arrays([*columns, batch.column(0), batch.column(3), batch.column(4)], ["leaf", "f0", "f1", "d", "n", "few"])
 
     return run
 
@@ -103,7 +109,23 @@ def close_pairs(f: np.ndarray, n: np.ndarray, g: np.ndarray, m: np.ndarray, radi
     return (far <= radius) & (small >= SIZE_RATIO * large)
 
 
-def _stars(d: np.ndarray, f: np.ndarray, n: np.ndarray, radius: int, crowd: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def apart(near: np.ndarray, few: np.ndarray) -> None:
+    """Takes out of ``near`` the pairs of short texts whose word sets differ too much."""
+    rows = [i for i in np.flatnonzero(near.any(axis=1)).tolist() if few[i] is not None]
+    sets = {i: frozenset(np.frombuffer(few[i], np.uint32).tolist()) for i in rows}
+    alike: dict[tuple[frozenset, frozenset], bool] = {}
+    for i in rows:
+        for j in np.flatnonzero(near[i, :i]).tolist():
+            if j in sets:
+                pair = sets[i], sets[j]
+                if pair not in alike:
+                    both = len(pair[0] & pair[1])
+                    alike[pair] = both >= SHORT_JACCARD * (len(pair[0]) + len(pair[1]) - both)
+                if not alike[pair]:
+                    near[i, j] = near[j, i] = False
+
+
+def _stars(d: np.ndarray, f: np.ndarray, n: np.ndarray, few: np.ndarray, radius: int, crowd: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Edges (member, centre) that join the verified pairs of a leaf; rows are in the order of their bits."""
     todo = [(0, len(d))]
     while todo:
@@ -120,6 +142,7 @@ def _stars(d: np.ndarray, f: np.ndarray, n: np.ndarray, radius: int, crowd: int)
                 continue
         near = close_pairs(f[a:b], n[a:b], f[a:b], n[a:b], radius)
         np.fill_diagonal(near, False)
+        apart(near, few[a:b])
         left = near.any(axis=1)
         while left.any():
             centre = int(np.argmax(left))
@@ -138,12 +161,12 @@ def _stars(d: np.ndarray, f: np.ndarray, n: np.ndarray, radius: int, crowd: int)
 
 def _verify(radius: int, crowd: int):
     def edges(block: list[np.ndarray]) -> pa.RecordBatch:
-        leaf, f0, f1, d, n = block
+        leaf, f0, f1, d, n, few = block
         bounds = np.concatenate(([0], np.flatnonzero(leaf[1:] != leaf[:-1]) + 1, [len(leaf)]))
         f, found = np.stack([f0, f1], axis=1).view(U), [(d[:0], d[:0])]
         for a, b in zip(bounds[:-1], bounds[1:]):
             if b - a > 1:
-                found += _stars(d[a:b], f[a:b], n[a:b], radius, crowd)
+                found += _stars(d[a:b], f[a:b], n[a:b], few[a:b], radius, crowd)
         u, v = (np.concatenate(x) for x in zip(*found))
         pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
@@ -165,16 +188,16 @@ def _verify(radius: int, crowd: int):
 
 
 def prints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns d, g (text digest), f0, f1 (fingerprint), n (distinct words) of the documents that have a word."""
+    """Columns d, g (text digest), f0, f1 (fingerprint), n (distinct words), few (these, if they are few) of the documents that have a word."""
     units = docs.select(col(doc_id).cast("long").alias("d"), F.xxhash64(col(text)).alias("g"), col(text).alias("t"))
-    return cut(units.where("d is not null and t is not null").mapInArrow(_fingerprint, "d long, g long, f0 long, f1 long, n long"))
+    return cut(units.where("d is not null and t is not null").mapInArrow(_fingerprint, "d long, g long, f0 long, f1 long, n long, few binary"))
 
 
 def _groups(table: DataFrame, radius: int, plan: int, recall: float, leaf: int, crowd: int) -> DataFrame:
     same = ["f0", "f1"]
-    distinct = cut(table.groupBy(*same).agg(F.min("d").alias("d"), F.max("n").alias("n")).select("d", "f0", "f1", "n"))
+    distinct = cut(table.groupBy(*same).agg(F.min("d").alias("d"), F.max("n").alias("n"), F.min("few").alias("few")).select("d", "f0", "f1", "n", "few"))
     depth, trees = forest_shape(distinct.count(), leaf, plan, recall)
-    grown = distinct.mapInArrow(_grow(depth, trees), "leaf long, f0 long, f1 long, d long, n long")
+    grown = distinct.mapInArrow(_grow(depth, trees), "leaf long, f0 long, f1 long, d long, n long, few binary")
     placed = grown.repartition("leaf").sortWithinPartitions("leaf", F.col("f0").bitwiseXOR(F.lit(-(1 << 63))), F.col("f1").bitwiseXOR(F.lit(-(1 << 63))))
     near = placed.mapInArrow(_verify(radius, crowd), "u long, v long")
     exact = table.join(distinct.select(*same, F.col("d").alias("v")), same).select(F.col("d").alias("u"), "v")
@@ -186,7 +209,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A group is a connected component of the pairs within ``radius`` bits of each
     other whose numbers of distinct words are in a ratio of at least
-    ``SIZE_RATIO``. Rows of one id are one document. Null ids, null texts and texts
+    ``SIZE_RATIO`` (and, for two short texts, whose sets of words agree in
+    ``SHORT_JACCARD`` of them). Rows of one id are one document. Null ids, null texts and texts
     without a word take no part. Word order and repetition don't count.
     """
     roots = _groups(prints(docs, doc_id, text), radius, plan, recall, leaf, crowd)
