@@ -21,7 +21,7 @@ from factloom.llm.common import col, fresh
 from factloom.llm.textkit import U, Chunk, chunks, kgrams, segment_hash, words
 
 #: Rows that the scorer is fitted on at most (a bounded sample by hash of the id); all else uses every document.
-TRAIN_ROWS, BUCKETS, THRESHOLD = 10_000, 1 << 16, 0.5
+TRAIN_ROWS, BUCKETS, THRESHOLD = 6_000, 1 << 16, 0.5
 #: The first ones speak up against a document only; the last three judge most documents and overlap with them.
 LABELLERS = ("capitals", "symbols", "stutter", "loops", "bars", "variety", "word_length", "sentences", "plain", "marked", "surface", "repetition", "prose")
 
@@ -106,21 +106,18 @@ class Facts:
         return v
 
     def tokens(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Feature numbers of each row, row by row: every word, its shape, whether it repeats the
-        one before, and the row's own levels; and the first of each row."""
+        """Feature numbers of every word, three a word: the word, its shape, whether it repeats the
+        one before; and those of every row, three a row: its levels of loops, stutter and variety."""
         kind = _CLASS[data]
         turn = np.ones(len(data), bool)
         turn[1:] = kind[1:] != kind[:-1]
         turn[self.starts] = True
         place = np.cumsum(turn)
         shape = segment_hash(kind[turn], place[self.starts] - 1, place[self.ends - 1]) if len(self.starts) else self.hash
-        level = lambda x, top, salt: (np.minimum(x * top, top - 1).astype(U) + U(salt)) * U(0x9E3779B97F4A7C15) >> U(40)
-        per_row = np.stack([level(self.loops, 8, 11), level(self.stutter, 8, 31), level(np.clip(self.variety / 16, 0, 1), 8, 51)], axis=1)
         word = np.stack([self.hash >> U(7), shape >> U(11) ^ U(0x5555), np.where(self.same, U(7), U(13))], axis=1)
-        out = np.concatenate((per_row.ravel(), word.ravel())) % U(BUCKETS)
-        rows = np.concatenate((np.repeat(np.arange(len(self.count)), 3), np.repeat(self.row, 3)))
-        order = np.argsort(rows, kind="stable")
-        return out[order].astype(np.int32), 3 * (self.first + np.arange(len(self.first)))
+        level = lambda x, salt: (np.minimum(x * 8, 7).astype(U) + U(salt)) * U(0x9E3779B97F4A7C15) >> U(40)
+        row = np.stack([level(self.loops, 11), level(self.stutter, 31), level(np.clip(self.variety / 16, 0, 1), 51)], axis=1)
+        return (word.ravel() % U(BUCKETS)).astype(np.int32), (row % U(BUCKETS)).astype(np.int32)
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,27 +153,30 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's distinct features and their shares of all its features."""
+    """Each row's distinct features with their values: ten times the share of its words' features, 1 for a feature of its own."""
     for batch in batches:
         for chunk in chunks(batch.column(1)):
-            feature, first = Facts(chunk).tokens(chunk.data)
-            row = np.repeat(np.arange(len(chunk)), np.diff(first))
-            pair, count = np.unique(row * BUCKETS + feature, return_counts=True)
+            facts = Facts(chunk)
+            feature, level = facts.tokens(chunk.data)
+            pair, count = np.unique(np.repeat(facts.row, 3) * BUCKETS + feature, return_counts=True)
+            value = 10 * count / (3 * facts.count[pair // BUCKETS])
+            pair = np.concatenate((pair, (np.arange(len(chunk))[:, None] * BUCKETS + level).ravel()))
+            order = np.argsort(pair, kind="stable")
+            pair, value = pair[order], np.concatenate((value, np.ones(level.size)))[order].astype(np.float32)
             offsets = np.searchsorted(pair, np.arange(len(chunk) + 1) * BUCKETS).astype(np.int32)
-            share = (count / np.diff(first)[pair // BUCKETS]).astype(np.float32)
-            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in ((pair % BUCKETS).astype(np.int32), share)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), *lists], ["target", "features", "shares"])
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in ((pair % BUCKETS).astype(np.int32), value)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), *lists], ["target", "features", "values"])
 
 
-def fit_scorer(row: np.ndarray, feature: np.ndarray, share: np.ndarray, target: np.ndarray, rounds: int = 60, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
-    """Logistic regression on soft targets over shares of features (times 10), by Adagrad; the last weight is the bias."""
-    value, n = 10 * share, len(target)
+def fit_scorer(row: np.ndarray, feature: np.ndarray, value: np.ndarray, target: np.ndarray, rounds: int = 200, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
+    """Logistic regression on soft targets by Adagrad, over rows of (row, feature, value); the last weight is the bias."""
+    n = len(target)
     weights, squares = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-8)
     balance = np.where(target > 0.5, 0.5 / max((target > 0.5).mean(), 0.01), 0.5 / max((target <= 0.5).mean(), 0.01))
     for _ in range(rounds):
-        z = np.bincount(row, weights[feature] * value, n) + weights[-1]
+        z = np.bincount(row, weights.astype(np.float32)[feature] * value, n) + weights[-1]
         error = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / max(n, 1)
-        slope = np.append(np.bincount(feature, error[row] * value, BUCKETS), error.sum()) + decay * weights
+        slope = np.append(np.bincount(feature, error.astype(np.float32)[row] * value, BUCKETS), error.sum()) + decay * weights
         squares += slope * slope
         weights -= rate * slope / np.sqrt(squares)
     return weights
@@ -199,21 +199,21 @@ def scorer(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", train_ro
         for batch in batches:
             for voted, made in zip(_vote([batch]), _features([batch])):
                 target = [known[p] for p in voted.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(target), made.column(1), made.column(2)], ["target", "features", "shares"])
+                yield pa.RecordBatch.from_arrays([pa.array(target), made.column(1), made.column(2)], ["target", "features", "values"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, sizes, feature, share = ([np.empty(0, kind)] for kind in (float, np.int64, np.int32, np.float32))
+        target, sizes, feature, value = ([np.empty(0, kind)] for kind in (float, np.int64, np.int32, np.float32))
         for batch in batches:
             target.append(batch.column(0).to_numpy())
             sizes.append(pa.compute.list_value_length(batch.column(1)).to_numpy())
             feature.append(batch.column(1).flatten().to_numpy())
-            share.append(batch.column(2).flatten().to_numpy())
+            value.append(batch.column(2).flatten().to_numpy())
         goal = np.concatenate(target)
         row = np.repeat(np.arange(len(goal), dtype=np.int32), np.concatenate(sizes))
-        weights = fit_scorer(row, np.concatenate(feature), np.concatenate(share), goal) if len(goal) else np.zeros(BUCKETS + 1)
+        weights = fit_scorer(row, np.concatenate(feature), np.concatenate(value), goal) if len(goal) else np.zeros(BUCKETS + 1)
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()])], ["weights"])
 
-    made = chosen.mapInArrow(labelled, "target double, features array<int>, shares array<float>").repartition(1).mapInArrow(fit, "weights binary")
+    made = chosen.mapInArrow(labelled, "target double, features array<int>, values array<float>").repartition(1).mapInArrow(fit, "weights binary")
     weights = np.frombuffer(bytes(made.first()[0]), np.float32).astype(float)
     return weights, {name: (float(a), float(b)) for name, a, b in zip(LABELLERS, good, bad)}
 
@@ -229,9 +229,9 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "
         values, parts = compact.astype(float), []
         for chunk in chunks(pa.array(texts, pa.large_string(), from_pandas=True)):
             facts = Facts(chunk)
-            feature, first = facts.tokens(chunk.data)
-            sums = np.concatenate(([0.0], np.cumsum(values[feature])))
-            z = 10 * (sums[first[1:]] - sums[first[:-1]]) / np.diff(first) + values[-1]
+            feature, level = facts.tokens(chunk.data)
+            words_ = np.bincount(np.repeat(facts.row, 3), values[feature], len(chunk))
+            z = 10 * words_ / np.maximum(3 * facts.count, 1) + values[level].sum(axis=1) + values[-1]
             parts.append(np.where(facts.count > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), np.nan))
         return pd.Series(np.concatenate([*parts, np.empty(0)]))
 
