@@ -46,6 +46,11 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("subwords", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def narrow(path: str) -> type:
+    """The integers that hold the vocabulary's ids."""
+    return np.uint16 if encoder(path).max_token_value < 1 << 16 else np.int32
+
+
 def windows(ids: np.ndarray, first: np.ndarray, begin: int = -1, outside: int = -2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All windows of documents laid end to end (``first``: where each starts, n + 1 of them).
 
@@ -184,12 +189,15 @@ def _encode(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]
 
 
 def _gather(path: str, every: int):
-    """Counts of all ids, and training windows of every document."""
+    """Rows (doc, tokens, ids, counts, window): every document's ids, counts of all ids, and training windows of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["ids", "counts", "window"]
-        kinds = (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
-        total = np.zeros(0, np.int64)
+        fields = {"doc": pa.int64(), "tokens": pa.binary(), "ids": pa.list_(pa.int32()), "counts": pa.list_(pa.int64()), "window": pa.binary()}
+        total, small = np.zeros(0, np.int64), narrow(path)
+
+        def rows_of(n: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(n, kind) for k, kind in fields.items()], list(fields))
+
         for whole in batches:
             for a in range(0, whole.num_rows, 128):
                 part = whole.slice(a, 128)
@@ -206,9 +214,11 @@ def _gather(path: str, every: int):
                 both = np.concatenate((inputs[chosen], targets[chosen]), axis=1).astype(np.int32)
                 rows = [x.tobytes() for x in both]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), kinds[0]), pa.nulls(len(rows), kinds[1]), pa.array(rows, kinds[2])], names)
+                    yield rows_of(len(rows), window=pa.array(rows, pa.binary()))
+                short = ids.astype(small)
+                yield rows_of(len(part), doc=part.column(2), tokens=pa.array([short[i:j].tobytes() for i, j in zip(first, first[1:])], pa.binary()))
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([used.tolist()], kinds[0]), pa.array([total[used].tolist()], kinds[1]), pa.nulls(1, kinds[2])], names)
+        yield rows_of(1, ids=pa.array([used.tolist()], fields["ids"]), counts=pa.array([total[used].tolist()], fields["counts"]))
 
     return run
 
@@ -237,10 +247,14 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _row(sum(np.frombuffer(r["flat"], np.float32).astype(float) * (r["weight"] / total) for r in rows), total, sum(r["loss"] * r["weight"] / total for r in rows), rows[0]["key"])
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY, rounds: int = ROUNDS, every: int = EVERY) -> tuple[Symbols, np.ndarray, list[float]]:
-    """The symbols, the trained parameters, and the mean training loss of each round."""
-    keyed = docs.where(col(text).isNotNull()).select(F.abs(F.xxhash64(col(doc_id), F.length(col(text)))).alias("salt"), col(text).alias("t"))
-    gathered = cut(keyed.mapInArrow(_gather(path, every), "ids array<int>, counts array<bigint>, window binary"))
+def gather(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY, every: int = EVERY) -> DataFrame:
+    """What one pass over the texts leaves in the checkpoint folder: ids of all documents, counts and training windows."""
+    keyed = docs.where(col(text).isNotNull()).select(F.abs(F.xxhash64(col(doc_id), F.length(col(text)))).alias("salt"), col(text).alias("t"), col(doc_id).cast("long").alias("doc"))
+    return cut(keyed.mapInArrow(_gather(path, every), "doc long, tokens binary, ids array<int>, counts array<bigint>, window binary"))
+
+
+def fit(gathered: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS) -> tuple[Symbols, np.ndarray, list[float]]:
+    """The symbols, the trained parameters, and the mean training loss of each round, from what ``gather`` left."""
     pairs = gathered.where("ids is not null").select(F.explode(F.arrays_zip("ids", "counts")).alias("p")).groupBy("p.ids").agg(F.sum("p.counts").alias("n")).collect()  # as many as the vocabulary has
     counts = np.zeros(encoder(path).max_token_value + 1, np.int64)
     for i, n in pairs:
@@ -249,7 +263,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str =
     flat, losses = Model(symbols.n).flat, []
     kind = "flat binary, weight double, loss double, key long"
     # replicas get even shares of windows from all over the corpus, not the documents of one file
-    parts = gathered.rdd.getNumPartitions()
+    parts = max(1, gathered.rdd.getNumPartitions())
     training = cut(gathered.where("window is not null").select("window").repartition(parts, F.xxhash64("window")))
     for _ in range(rounds):
         level, left = training.mapInArrow(_replica(symbols, flat), kind), parts
@@ -278,29 +292,33 @@ def log_probabilities(model: Model, symbols: Symbols, ids: np.ndarray, first: np
     return out + symbols.within[ids]
 
 
-def score(docs: DataFrame, symbols: Symbols, flat: np.ndarray, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """Rows (doc_id, n_tokens, log_prob, mean_nll, perplexity), one a row of ``docs``.
-
-    A null text has nulls; an empty one no tokens, log_prob 0 and no mean. Repeated
-    rows score alike; other columns are left aside.
-    """
+def score(gathered: DataFrame, symbols: Symbols, flat: np.ndarray, path: str = VOCABULARY) -> DataFrame:
+    """Rows (doc_id, n_tokens, log_prob, mean_nll, perplexity), one a document that ``gather`` saw."""
+    small = narrow(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(symbols.n, flat)
         for whole in batches:
             for a in range(0, whole.num_rows, 64):
                 part = whole.slice(a, 64)
-                ids, first = _encode(part.column(1).to_pylist(), path)
+                parts = [np.frombuffer(x, small) for x in part.column(1).to_pylist()]
+                first = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64)
+                ids = np.concatenate(parts).astype(np.int64)
                 sums = np.concatenate(([0.0], np.cumsum(log_probabilities(model, symbols, ids, first), dtype=float)))
-                missing = part.column(1).is_null().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first), mask=missing), pa.array(sums[first[1:]] - sums[first[:-1]], mask=missing)], ["doc_id", "n_tokens", "log_prob"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), pa.array(sums[first[1:]] - sums[first[:-1]])], ["doc_id", "n_tokens", "log_prob"])
 
-    scored = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("t")).mapInArrow(run, "doc_id long, n_tokens long, log_prob double")
+    scored = gathered.where("tokens is not null").select("doc", "tokens").mapInArrow(run, "doc_id long, n_tokens long, log_prob double")
     mean = F.when(F.col("n_tokens") > 0, -F.col("log_prob") / F.col("n_tokens"))
     return scored.withColumn("mean_nll", mean).withColumn("perplexity", F.exp("mean_nll"))
 
 
 def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY, rounds: int = ROUNDS, every: int = EVERY) -> DataFrame:
-    """Trains on the documents and scores each of them (see ``score``)."""
-    symbols, flat, _ = fit(docs, doc_id, text, path, rounds, every)
-    return score(docs, symbols, flat, doc_id, text, path)
+    """Trains on the documents and scores each of them: one row (doc_id, n_tokens, log_prob, mean_nll, perplexity) a row of ``docs``.
+
+    A null text has nulls; an empty one no tokens, log_prob 0 and no mean. Repeated
+    rows score alike; other columns are left aside.
+    """
+    gathered = gather(docs, doc_id, text, path, every)
+    symbols, flat, _ = fit(gathered, path, rounds)
+    without = docs.where(col(text).isNull()).select(col(doc_id).cast("long").alias("doc_id"), *(F.lit(None).cast(kind).alias(c) for c, kind in (("n_tokens", "long"), ("log_prob", "double"), ("mean_nll", "double"), ("perplexity", "double"))))
+    return score(gathered, symbols, flat, path).union(without)
