@@ -8,8 +8,8 @@ adjacent tokens are compatible if undoing their merges meets no earlier merge
 across the border. One last token a prefix is stored and the back-pointers are
 followed from the end. No merge is ever carried out on the text.
 
-Equal pieces of text have equal ids, so each worker encodes a distinct piece once
-and keeps it, up to ``CACHE`` pieces; the results don't depend on the cache.
+Equal pieces of text have equal ids, so a task encodes a distinct piece once and
+keeps it, up to ``CACHE`` pieces; the results don't depend on the cache.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from factloom.llm.common import col, fresh
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The usual pre-tokenisation of byte-level vocabularies: merges never cross these pieces.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 1_000_000
+CACHE = 300_000
 ROWS = 256
 ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 beside_space = re.compile(r" \s|\s ").search
@@ -132,15 +132,22 @@ class Vocabulary:
                         shorter[own[to]] = longest[fail[to]]
             level = below
         self.step, self.fail, self.longest, self.shorter = step, fail, longest, shorter
+        self.most_steps = len(step) + CACHE
         self.length = {rank: len(self.bytes_of[rank]) for rank in self.halves}
 
     def _step(self, state: int, byte: int) -> int:
         back = state
         while back and back << 8 | byte not in self.step:
             back = self.fail[back]
-        to = self.step[state << 8 | byte] = self.step.get(back << 8 | byte, 0)
+        to = self.step.get(back << 8 | byte, 0)
+        if len(self.step) < self.most_steps:
+            self.step[state << 8 | byte] = to
         return to
 
+    def forget(self) -> None:
+        """Lets go of what was remembered of the texts, so that an idle worker holds the vocabulary only."""
+        self.pieces, self.plain, self.compatible_pairs = {}, {}, {}
+
     def encode_word(self, word: bytes) -> bytes:
         whole = self.ranks.get(word)
         if whole is not None:
@@ -241,6 +248,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, text: str = "text", keep: li
                     same = [None if t is None else vocab.decode(values[i:j]) == t.encode() for t, i, j in zip(texts, offsets, offsets[1:])]
                     out.append(pa.array(same, pa.bool_()))
                 yield pa.RecordBatch.from_arrays(out, [*keep, *new])
+        vocab.forget()
 
     return source.mapInArrow(run, schema)
 
