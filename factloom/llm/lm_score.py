@@ -3,8 +3,10 @@
 Texts are encoded by a public subword vocabulary. One pass over all documents counts
 every id and takes training windows from every document, in proportion to its
 length. The model predicts a *symbol*: the commonest ids are symbols of their own,
-the others share tail symbols of about equal mass, within which the corpus counts
-give an id's probability. It has one attention layer and one feed-forward layer, in
+the others share tail symbols of about equal mass. Within a tail symbol a second
+softmax over its *leaves* depends on the context too: the commonest ids of the symbol are
+leaves of their own, the rest share the last one, within which the corpus counts give
+an id's probability. The model has one attention layer and one feed-forward layer, in
 numpy. Training is data-parallel: in a round each partition trains a replica on its
 windows, and the replicas are averaged in a tree of tasks, weighted by their windows.
 
@@ -30,7 +32,9 @@ from factloom.llm.bpe import PATTERN, VOCABULARY
 from factloom.llm.common import col, cut
 
 STRIDE, CONTEXT = 32, 16
-WIDTH, HIDDEN, OWN, TAIL = 16, 32, 80, 16
+WIDTH, HIDDEN, OWN, TAIL = 16, 32, 104, 24
+#: Leaves of a tail symbol: so many ids less one have an output of their own in it.
+LEAVES = 64
 ROUNDS, BATCH, RATE = 3, 32, 0.01
 #: One training window is taken from each started run of so many blocks of a document.
 EVERY = 128
@@ -75,14 +79,21 @@ def windows(ids: np.ndarray, first: np.ndarray, begin: int = -1, outside: int =
 
 @dataclass
 class Symbols:
-    """The symbol of each id, the log-probability of an id within its symbol; BOS and padding follow the symbols."""
+    """The symbol of each id, the log-probability of an id within its symbol; BOS and padding follow the symbols.
+
+    The tail symbols are the last ones. ``leaf`` is an id's leaf in its tail symbol, ``rest`` its
+    log-probability within that, and ``share`` a leaf's within its symbol, by the corpus counts.
+    """
 
     of: np.ndarray
     within: np.ndarray
     n: int
+    leaf: np.ndarray
+    rest: np.ndarray
+    share: np.ndarray
 
     @classmethod
-    def fit(cls, counts: np.ndarray, own: int = OWN, tail: int = TAIL) -> Symbols:
+    def fit(cls, counts: np.ndarray, own: int = OWN, tail: int = TAIL, leaves: int = LEAVES) -> Symbols:
         mass = counts + 1.0
         order = np.lexsort((np.arange(len(mass)), -counts))
         own = min(own, len(mass) - 1)
@@ -91,25 +102,52 @@ class Symbols:
         of[order[:own]] = np.arange(own)
         of[order[own:]] = own + np.minimum((rest - mass[order[own:]]) / rest[-1] * tail, tail - 1).astype(np.int64)
         n = own + tail
-        return cls(of, (np.log(mass) - np.log(np.bincount(of, mass, n))[of]).astype(np.float32), n)
+        leaf = np.zeros(len(mass), np.int64)
+        runs = of[order[own:]]  # ascending, the commonest ids of a symbol first
+        leaf[order[own:]] = np.minimum(np.arange(len(runs)) - np.searchsorted(runs, runs), leaves - 1)
+        key = of * leaves + leaf
+        held = np.bincount(key, mass, n * leaves)
+        symbol = np.bincount(of, mass, n)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = np.log(held.reshape(n, leaves) / symbol[:, None])[own:]
+        share = np.where(np.isfinite(share), share, -1e9).astype(np.float32)
+        rest = (np.log(mass) - np.log(held[key])).astype(np.float32)
+        return cls(of, (np.log(mass) - np.log(symbol)[of]).astype(np.float32), n, leaf, rest, share)
 
     def inputs(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids >= 0, self.of[np.maximum(ids, 0)], np.where(ids == -1, self.n, self.n + 1))
 
 
 class Model:
-    """One causal attention layer and one feed-forward layer over symbols."""
+    """One causal attention layer and one feed-forward layer over symbols; with ``share``, over the leaves of the last ones too."""
 
-    def __init__(self, symbols: int, flat: np.ndarray | None = None, seed: int = 5) -> None:
+    def __init__(self, symbols: int, flat: np.ndarray | None = None, seed: int = 5, share: np.ndarray | None = None) -> None:
         d, h = WIDTH, HIDDEN
+        self.share = share
         self.shapes = {"E": (symbols + 2, d), "P": (W, d), "Q": (d, d), "K": (d, d), "V": (d, d), "O": (d, d), "A": (d, h), "a": (h,), "B": (h, d), "U": (d, symbols), "c": (symbols,)}
+        if share is not None:
+            self.shapes |= {"L": (len(share), d, share.shape[1]), "l": share.shape}
         sizes = [int(np.prod(s)) for s in self.shapes.values()]
         if flat is None:
             rng = np.random.default_rng(seed)
-            flat = np.concatenate([np.zeros(n) if len(s) == 1 else rng.normal(0, 0.1 if k in "EP" else s[0] ** -0.5, n) for (k, s), n in zip(self.shapes.items(), sizes)])
+            flat = np.concatenate([np.zeros(n) if len(s) == 1 or k in "Ll" else rng.normal(0, 0.1 if k in "EP" else s[0] ** -0.5, n) for (k, s), n in zip(self.shapes.items(), sizes)])
         self.flat = flat.astype(np.float32)
         self.w = {k: part.reshape(s) for (k, s), part in zip(self.shapes.items(), np.split(self.flat, np.cumsum(sizes)[:-1]))}
 
+    def leaves(self, m: np.ndarray, targets: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each tail symbol: its number among them, the places whose target it is, the log-probabilities of its
+        leaves there, and of the target's leaf; for places laid end to end."""
+        first = self.w["U"].shape[1] - len(self.share)
+        order = np.argsort(targets, kind="stable")
+        ends = np.searchsorted(targets[order], np.arange(first, first + len(self.share) + 1))
+        for i in range(len(self.share)):
+            at = order[ends[i] : ends[i + 1]]
+            if len(at):
+                z = m[at] @ self.w["L"][i] + (self.w["l"][i] + self.share[i])
+                z -= z.max(axis=1, keepdims=True)
+                z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+                yield i, at, z, z[np.arange(len(at)), leaf[at]]
+
     def forward(self, inputs: np.ndarray, keep: bool = False):
         """Log-probabilities of the symbols at each place of the block."""
         w = self.w
@@ -134,11 +172,11 @@ class Model:
         e = np.exp(z)
         total = e @ np.ones((e.shape[2], 1), np.float32)
         if not keep:
-            return z, np.log(total[..., 0])
+            return z, np.log(total[..., 0]), m
         return x, xq, q, k, v, s / mass, r, h, u, m, z - np.log(total), e / total
 
-    def loss_and_slope(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray]:
-        """Mean negative log-probability of the target symbols (-1: none), and its gradient, flat."""
+    def loss_and_slope(self, inputs: np.ndarray, targets: np.ndarray, leaf: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+        """Mean negative log-probability of the target symbols (-1: none) and leaves, and its gradient, flat."""
         w = self.w
         x, xq, q, k, v, s, r, h, u, m, logp, p = self.forward(inputs, keep=True)
         there = targets >= 0
@@ -151,6 +189,17 @@ class Model:
         flat2 = lambda y: y.reshape(-1, y.shape[-1])
         g = {"U": flat2(m).T @ flat2(dz), "c": flat2(dz).sum(0)}
         dm = dz @ w["U"].T
+        if self.share is not None:
+            g["L"], g["l"] = np.zeros_like(w["L"]), np.zeros_like(w["l"])
+            m2, dm2, leaf = flat2(m), flat2(dm), leaf.ravel()
+            for i, at, z, hit in self.leaves(m2, targets.ravel(), leaf):
+                loss -= float(hit.sum()) / n
+                dl = np.exp(z)
+                dl[np.arange(len(at)), leaf[at]] -= 1
+                dl /= np.float32(n)
+                g["L"][i], g["l"][i] = m2[at].T @ dl, dl.sum(0)
+                dm2[at] += dl @ w["L"][i].T
+            dm = dm2.reshape(dm.shape)
         g["B"] = flat2(u).T @ flat2(dm)
         du = (dm @ w["B"].T) * (u > 0)
         g["A"], g["a"] = flat2(h).T @ flat2(du), flat2(du).sum(0)
@@ -168,12 +217,14 @@ class Model:
         g["E"] = np.stack([np.bincount(flat_in, dx[..., i].ravel(), len(w["E"])) for i in range(WIDTH)], axis=1)
         return loss, np.concatenate([g[key].ravel() for key in self.shapes]).astype(np.float32)
 
-    def train(self, inputs: np.ndarray, targets: np.ndarray, rate: float = RATE, batch: int = BATCH) -> float:
-        """One pass by Adam; the mean loss on the way."""
+    def train(self, symbols: Symbols, windows: np.ndarray, rate: float = RATE, batch: int = BATCH) -> float:
+        """One pass by Adam over windows (inputs, then targets); the mean loss on the way."""
         first, second, losses = np.zeros_like(self.flat), np.zeros_like(self.flat), []
-        steps = range(0, len(inputs), batch)
+        steps = range(0, len(windows), batch)
         for i, a in enumerate(steps, 1):
-            loss, slope = self.loss_and_slope(inputs[a : a + batch], targets[a : a + batch])
+            inputs, target = windows[a : a + batch, :W], windows[a : a + batch, W:]
+            ids = np.maximum(target, 0)
+            loss, slope = self.loss_and_slope(symbols.inputs(inputs), np.where(target >= 0, symbols.of[ids], -1), symbols.leaf[ids])
             first += 0.1 * (slope - first)
             second += 0.01 * (slope * slope - second)
             step = rate * (1 - (i - 1) / len(steps)) / (1 - 0.9**i)
@@ -226,11 +277,11 @@ def _gather(path: str, every: int):
 def _replica(symbols: Symbols, flat: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = b"".join(x for batch in batches for x in batch.column(0).to_pylist())
-        both = np.frombuffer(raw, np.int32).reshape(-1, W + STRIDE).astype(np.int64)
+        both = np.frombuffer(raw, np.int32).reshape(-1, W + STRIDE)
         if not len(both):
             return
-        model, target = Model(symbols.n, flat.copy()), both[:, W:]
-        loss = model.train(symbols.inputs(both[:, :W]), np.where(target >= 0, symbols.of[np.maximum(target, 0)], -1))
+        model = Model(symbols.n, flat.copy(), share=symbols.share)
+        loss = model.train(symbols, both)
         yield _row(model.flat, len(both), loss, int(both[0].sum()))
 
     return run
@@ -260,7 +311,7 @@ def fit(gathered: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS) -> tu
     for i, n in pairs:
         counts[i] = n
     symbols = Symbols.fit(counts)
-    flat, losses = Model(symbols.n).flat, []
+    flat, losses = Model(symbols.n, share=symbols.share).flat, []
     kind = "flat binary, weight double, loss double, key long"
     # replicas get even shares of windows from all over the corpus, not the documents of one file
     parts = max(1, gathered.rdd.getNumPartitions())
@@ -283,13 +334,22 @@ def log_probabilities(model: Model, symbols: Symbols, ids: np.ndarray, first: np
     out = np.empty(len(ids), np.float32)
     doc, inputs, goal = windows(symbols.of[ids], first, symbols.n, symbols.n + 1)
     got = np.empty(goal.shape, np.float32)
+    there = goal >= 0
+    if model.share is not None:
+        leaf = np.zeros(goal.shape, np.int64)
+        leaf[there] = symbols.leaf[ids]
     rows, places = np.arange(batch)[:, None], np.arange(STRIDE)[None]
     for a in range(0, len(doc), batch):
-        z, total = model.forward(inputs[a : a + batch])
-        got[a : a + batch] = z[rows[: len(z)], places, goal[a : a + batch]] - total
+        z, total, m = model.forward(inputs[a : a + batch])
+        here = z[rows[: len(z)], places, goal[a : a + batch]] - total
+        if model.share is not None:
+            flat = here.reshape(-1)
+            for _, at, _, hit in model.leaves(m.reshape(-1, WIDTH), goal[a : a + batch].ravel(), leaf[a : a + batch].ravel()):
+                flat[at] += hit
+        got[a : a + batch] = here
     # windows run through each document in order, so their targets do too
-    out[:] = got[goal >= 0]
-    return out + symbols.within[ids]
+    out[:] = got[there]
+    return out + (symbols.within if model.share is None else symbols.rest)[ids]
 
 
 def score(gathered: DataFrame, symbols: Symbols, flat: np.ndarray, path: str = VOCABULARY) -> DataFrame:
@@ -297,7 +357,7 @@ def score(gathered: DataFrame, symbols: Symbols, flat: np.ndarray, path: str = V
     small = narrow(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(symbols.n, flat)
+        model = Model(symbols.n, flat, share=symbols.share)
         for whole in batches:
             for a in range(0, whole.num_rows, 64):
                 part = whole.slice(a, 64)

@@ -93,3 +93,33 @@ def test_edges(messy, nothing):
     one, two = [r.log_prob for r in rows if r.doc_id == 1]
     assert one == two
     assert lm_scores(nothing).count() == 0
+
+
+def test_leaves_of_tail_symbols_depend_on_the_context():
+    rng = np.random.default_rng(3)
+    symbols = Symbols.fit(rng.integers(0, 50, 300), own=20, tail=5, leaves=8)
+    assert Symbols.fit(rng.integers(0, 50, 60_000)).n >= 128  # what a cut had taken
+    model = Model(symbols.n, share=symbols.share)
+    assert np.allclose(log_probabilities(model, symbols, np.array([7]), np.array([0, 1])), log_probabilities(Model(symbols.n), symbols, np.array([7]), np.array([0, 1])), atol=1e-4)
+    model.flat[:] += rng.normal(0, 0.1, len(model.flat)).astype(np.float32)
+    model = Model(symbols.n, model.flat, share=symbols.share)
+    alone = np.array([log_probabilities(model, symbols, np.array([i]), np.array([0, 1]))[0] for i in range(300)])
+    after = np.array([log_probabilities(model, symbols, np.array([5, i]), np.array([0, 2]))[1] for i in range(300)])
+    assert abs(np.exp(alone).sum() - 1) < 1e-3 and abs(np.exp(after).sum() - 1) < 1e-3
+    ids = np.flatnonzero(symbols.of == 22)
+    assert np.ptp((after - alone)[ids]) > 1e-3  # the context tells apart the ids of one tail symbol
+    _, inputs, targets = windows(rng.integers(0, 300, 100), np.array([0, 100]))
+    there = np.maximum(targets, 0)
+    x, y, leaf = symbols.inputs(inputs), np.where(targets >= 0, symbols.of[there], -1), symbols.leaf[there]
+    _, slope = model.loss_and_slope(x, y, leaf)
+    checked = 0
+    for k in rng.choice(len(slope), 300, replace=False):
+        if abs(slope[k]) > 2e-3:
+            was, losses = model.flat[k], []
+            for step in (1e-2, -1e-2):
+                model.flat[k] = was + step
+                losses.append(Model(symbols.n, model.flat, share=symbols.share).loss_and_slope(x, y, leaf)[0])
+            model.flat[k] = was
+            assert abs((losses[0] - losses[1]) / 2e-2 - slope[k]) < 0.05 * abs(slope[k]) + 1e-3
+            checked += 1
+    assert checked > 10
