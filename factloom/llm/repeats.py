@@ -7,12 +7,13 @@ stands. The operators differ in how they choose and name anchors; from there on:
 1. names are counted over the distinct texts, and anchors whose name occurs in one are
    dropped; texts that several documents have repeat as wholes and need one copy here;
 2. the rest fetch their context from the text: words to the left and to the right;
-3. the anchors of a name are sorted by what follows them, as suffixes, and neighbours
-   are compared and extended word by word in both directions;
+3. for every split of ``min_words`` between left and right, the anchors of a name that
+   agree on both parts are grouped; a group of two documents or more repeats, and the
+   widest splits of an anchor are its extent;
 4. extents of ``min_words`` or more are joined up within each document.
 
-Every step is linear in the anchors: a passage that thousands of documents share is
-compared along the sorted order, not pairwise.
+Every step is linear in the anchors, up to sorting: a passage that thousands of documents
+share is grouped, not compared pairwise. The anchors of one name are in a task's memory at once.
 """
 
 from __future__ import annotations
@@ -29,8 +30,6 @@ from factloom.llm.common import col, cut
 from factloom.llm.textkit import U, Chunk, chunks, mix, word_hashes
 
 MIN_WORDS = 50
-#: How many neighbours down the sorted order each suffix is compared with.
-LAGS = 3
 
 #: Gets a chunk's word hashes and each row's first word; gives positions (word numbers in the chunk) and names.
 Anchors = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -94,41 +93,72 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(data, np.uint32, len(column) * width, int(start)).reshape(len(column), width) if len(column) else np.zeros((0, width), np.uint32)
 
 
-def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many leading entries agree and aren't 0."""
-    same = (x == y) & (x != 0)
-    return np.where(same.all(axis=1), x.shape[1], np.argmin(same, axis=1))
+def _extents(name: np.ndarray, d: np.ndarray, g: np.ndarray, pos: np.ndarray, before: np.ndarray, after: np.ndarray, min_words: int) -> list[np.ndarray]:
+    """For each anchor that shares ``min_words`` around it with another document: d, g, start, stop, the least other document, where it starts there."""
+    order = np.lexsort((pos, g, d))
+    name, d, g, pos, before, after = (x[order] for x in (name, d, g, pos, before, after))
+    n = len(name)
+    other_doc = np.ones(n, bool)
+    other_doc[1:] = (d[1:] != d[:-1]) | (g[1:] != g[:-1])
+    unit = np.cumsum(other_doc)
+    ahead, key = [], mix(name.view(U))
+    for b in range(after.shape[1]):
+        key = mix(key * U(0xA0761D6478BD642F) + after[:, b].astype(U))
+        ahead.append(key)
+    behind = np.zeros(n, U)
+    least, most = np.full(n, np.iinfo(np.int32).max, np.int64), np.full(n, -1, np.int64)
+    other, place = np.full(n, n), np.zeros(n, np.int64)
+    for a in range(min(before.shape[1], min_words - 1) + 1):
+        if a:
+            behind = mix(behind * U(0xD6E8FEB86659FD93) + before[:, a - 1].astype(U))
+        b = min_words - a
+        if b > after.shape[1]:
+            continue
+        there = np.flatnonzero((after[:, b - 1] != 0) & ((before[:, a - 1] != 0) if a else True))
+        if not len(there):
+            continue
+        key = mix(ahead[b - 1][there] ^ mix(behind[there] + U(a)))
+        along = np.argsort(key, kind="stable")  # within a group by document and place
+        row, key = there[along], key[along]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(row))))
+        differs = unit[row] != unit[row[start]][group]
+        second = np.minimum.reduceat(np.where(differs, np.arange(len(row)), len(row)), start)
+        shared = second[group] < len(row)
+        row, group, differs = row[shared], group[shared], differs[shared]
+        least[row], most[row] = np.minimum(least[row], a), a
+        met = np.where(differs, there[along][start[group]], there[along][np.minimum(second[group], len(along) - 1)])
+        nearer = met < other[row]
+        other[row[nearer]] = met[nearer]
+        place[row[nearer]] = pos[met[nearer]] - a
+    x = np.flatnonzero(most >= 0)
+    return [d[x], g[x], pos[x] - most[x], pos[x] + min_words - least[x], d[other[x]], place[x]]
 
 
 def _compare(left: int, right: int, min_words: int):
-    """Rows sorted by name and context: the extents that an anchor shares with its neighbours in that order."""
+    """Rows sorted by name: the extents that each anchor shares with any other of its name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            name, d, g, pos = (batch.column(i).to_numpy() for i in range(4))
-            block = [name, d, g, pos, _matrix(batch.column(4), left), _matrix(batch.column(5), right)]
-            old = 0
-            if held is not None:
-                old = len(held[0])
-                block = [np.concatenate(x) for x in zip(held, block)]
-            name, d, g, pos, before, after = block
-            n, out = len(name), []
-            for lag in range(1, LAGS + 1):
-                j = np.arange(max(lag, old), n)
-                i = j - lag
-                alike = (name[i] == name[j]) & ((d[i] != d[j]) | (g[i] != g[j]))
-                i, j = i[alike], j[alike]
-                ahead = _agree(after[i], after[j])
-                behind = _agree(before[i], before[j])
-                long = ahead + behind >= min_words
-                i, j, ahead, behind = i[long], j[long], ahead[long], behind[long]
-                for x, y in ((i, j), (j, i)):
-                    out.append([d[x], g[x], pos[x] - behind, pos[x] + ahead, d[y], pos[y] - behind])
-            held = [x[max(0, n - LAGS) :] for x in block]
-            columns = [np.concatenate(x) for x in zip(*out)]
+        held: list[list[np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = _extents(*(np.concatenate(x) for x in zip(*held)), min_words)
             kinds = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(kind)) for x, kind in zip(columns, kinds)], ["d", "g", "start", "stop", "other", "other_start"])
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(kind)) for x, kind in zip(columns, kinds)], ["d", "g", "start", "stop", "other", "other_start"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = [*(batch.column(i).to_numpy() for i in range(4)), _matrix(batch.column(4), left), _matrix(batch.column(5), right)]
+            name = block[0]
+            last = int(np.searchsorted(name, name[-1]))  # the last name may go on in the next batch
+            if last or (held and held[-1][0][-1] != name[-1]):
+                held.append([x[:last] for x in block])
+                yield flush()
+                held = []
+            held.append([x[last:].copy() for x in block])
+        if held:
+            yield flush()
 
     return run
 
@@ -138,7 +168,7 @@ def long_repeats(docs: DataFrame, anchors: Anchors, left: int, right: int, doc_i
     of ``min_words`` or more, that stand in another document too.
 
     ``other`` is a document that shares part of the stretch: the one with the least
-    id that was met, and where that part starts in it. Rows of one id and text are
+    id, and where that part starts in it. Rows of one id and text are
     one document; other texts under one id are documents of their own. Null ids and
     null texts take no part.
     """
@@ -152,7 +182,7 @@ def long_repeats(docs: DataFrame, anchors: Anchors, left: int, right: int, doc_i
     first = places.join(texts.select("g", "d"), "g")
     once = units.join(first.hint("shuffle_hash"), ["d", "g"]).select("d", "g", "t", "pos", "names")
     context = once.mapInArrow(_context(left, right), "name long, d long, g long, pos int, before binary, after binary")
-    ordered = context.repartition("name").sortWithinPartitions("name", "after", "before", "d", "g", "pos")
+    ordered = context.repartition("name").sortWithinPartitions("name")
     extents = ordered.mapInArrow(_compare(left, right, min_words), "d long, g long, start int, stop int, other long, other_start int")
     # a text that several documents have: each of them as a whole, with the first (the first with the last)
     copied = rows.where("pos < 0").select("d", "g").distinct().join(texts.where("d <> last").select("g", "n", F.col("d").alias("one"), "last"), "g")

@@ -62,3 +62,20 @@ def test_edges(operator, messy, nothing):
     assert out.columns == ["doc_id", "start_word", "end_word", "n_words", "other_doc_id", "other_start_word"]
     assert {1, 2, 6} <= ids and not ids & {3, 4, 5, 7, 8, 10, None}
     assert operator(nothing).count() == 0
+
+
+@BOTH
+def test_partners_far_along_the_order(spark, operator):
+    rng = random.Random(4)
+    flat = lambda n: " ".join(prose(rng, n, 99).split())
+    # a long document holds a passage many times in other surroundings, another document once
+    passage = flat(60)
+    rows = [(0, " ".join(x for _ in range(40) for x in (flat(25), passage))), (1, " ".join((flat(30), passage, flat(30))))]
+    # pairs share 20 words before a passage of 40 that many documents have
+    common = flat(40)
+    for i in range(10, 30, 2):
+        own = flat(20)
+        rows += [(j, " ".join((flat(30), own, common, flat(30)))) for j in (i, i + 1)]
+    rows += [(i, " ".join((flat(30), common, flat(30)))) for i in range(100, 400)]
+    docs = spark.createDataFrame([row(i, t) for i, t in rows], SCHEMA).repartition(5)
+    check(operator, docs, rows, 50, 1.0 if operator is suffix_repeats else 0.98)
