@@ -1,14 +1,13 @@
 """Scores of documents under a causal self-attention model that is trained on the corpus.
 
 Texts are encoded by a public subword vocabulary. One pass over all documents counts
-every id and takes training windows from every document, in proportion to its
-length. The model predicts a *symbol*: the commonest ids are symbols of their own,
+every id. All blocks of all documents train the model, each in one of the rounds. It predicts a *symbol*: the commonest ids are symbols of their own,
 the others share tail symbols of about equal mass. Within a tail symbol a second
 softmax over its *leaves* depends on the context too: the commonest ids of the symbol are
 leaves of their own, the rest share the last one, within which the corpus counts give
 an id's probability. The model has one attention layer and one feed-forward layer, in
 numpy. Training is data-parallel: in a round each partition trains a replica on its
-windows, and the replicas are averaged in a tree of tasks, weighted by their windows.
+share of the windows, and the replicas are averaged in a tree of tasks, weighted by their windows.
 
 For scoring, a document is cut into blocks of ``STRIDE`` tokens. A window is a block
 and the ``CONTEXT`` tokens before it, so that windows overlap but every token is
@@ -18,6 +17,7 @@ scored in exactly one of them, by masked attention over a batch of windows.
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -37,7 +37,7 @@ WIDTH, HIDDEN, OWN, TAIL = 16, 32, 104, 24
 LEAVES = 64
 ROUNDS, BATCH, RATE = 3, 32, 0.01
 #: One training window is taken from each started run of so many blocks of a document.
-EVERY = 128
+EVERY = 1
 FAN_IN = 16
 W = STRIDE + CONTEXT
 _CAUSAL = np.where(np.arange(W)[None] <= CONTEXT + np.arange(STRIDE)[:, None], 0, -1e9).astype(np.float32)
@@ -143,7 +143,8 @@ class Model:
         for i in range(len(self.share)):
             at = order[ends[i] : ends[i + 1]]
             if len(at):
-                z = m[at] @ self.w["L"][i] + (self.w["l"][i] + self.share[i])
+                # in doubles, so that a place's rounded result doesn't hang on what it is multiplied together with
+                z = m[at].astype(float) @ self.w["L"][i].astype(float) + (self.w["l"][i] + self.share[i])
                 z -= z.max(axis=1, keepdims=True)
                 z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
                 yield i, at, z, z[np.arange(len(at)), leaf[at]]
@@ -198,7 +199,7 @@ class Model:
                 dl[np.arange(len(at)), leaf[at]] -= 1
                 dl /= np.float32(n)
                 g["L"][i], g["l"][i] = m2[at].T @ dl, dl.sum(0)
-                dm2[at] += dl @ w["L"][i].T
+                dm2[at] += (dl @ w["L"][i].T).astype(np.float32)
             dm = dm2.reshape(dm.shape)
         g["B"] = flat2(u).T @ flat2(dm)
         du = (dm @ w["B"].T) * (u > 0)
@@ -240,10 +241,10 @@ def _encode(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]
 
 
 def _gather(path: str, every: int):
-    """Rows (doc, tokens, ids, counts, window): every document's ids, counts of all ids, and training windows of every document."""
+    """Rows (doc, tokens, chosen, ids, counts): every document's ids and the numbers of its training blocks (null: all), and counts of all ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = {"doc": pa.int64(), "tokens": pa.binary(), "ids": pa.list_(pa.int32()), "counts": pa.list_(pa.int64()), "window": pa.binary()}
+        fields = {"doc": pa.int64(), "tokens": pa.binary(), "chosen": pa.list_(pa.int32()), "ids": pa.list_(pa.int32()), "counts": pa.list_(pa.int64())}
         total, small = np.zeros(0, np.int64), narrow(path)
 
         def rows_of(n: int, **columns) -> pa.RecordBatch:
@@ -257,29 +258,46 @@ def _gather(path: str, every: int):
                 if len(seen) > len(total):
                     total, seen = seen, total
                 total[: len(seen)] += seen
-                doc, inputs, targets = windows(ids, first)
-                blocks = -(-np.diff(first) // STRIDE)
-                start = np.concatenate(([0], np.cumsum(blocks)))
-                salt = part.column(0).to_numpy()
-                chosen = np.concatenate([start[i] + np.arange(0, n, every) + (np.arange(0, n, every) * 7 + salt[i] % 1009) % np.minimum(every, n - np.arange(0, n, every)) for i, n in enumerate(blocks) if n] or [np.empty(0, np.int64)]).astype(np.int64)
-                both = np.concatenate((inputs[chosen], targets[chosen]), axis=1).astype(np.int32)
-                rows = [x.tobytes() for x in both]
-                if rows:
-                    yield rows_of(len(rows), window=pa.array(rows, pa.binary()))
+                chosen = None
+                if every > 1:
+                    steps = [np.arange(0, -(-n // STRIDE), every) for n in np.diff(first)]
+                    salt = part.column(0).to_numpy()
+                    chosen = pa.array([(x + (x * 7 + k % 1009) % np.minimum(every, -(-n // STRIDE) - x)).tolist() for x, k, n in zip(steps, salt, np.diff(first))], fields["chosen"])
                 short = ids.astype(small)
-                yield rows_of(len(part), doc=part.column(2), tokens=pa.array([short[i:j].tobytes() for i, j in zip(first, first[1:])], pa.binary()))
+                yield rows_of(len(part), doc=part.column(2), **({} if chosen is None else {"chosen": chosen}), tokens=pa.array([short[i:j].tobytes() for i, j in zip(first, first[1:])], pa.binary()))
         used = np.flatnonzero(total)
         yield rows_of(1, ids=pa.array([used.tolist()], fields["ids"]), counts=pa.array([total[used].tolist()], fields["counts"]))
 
     return run
 
 
-def _replica(symbols: Symbols, flat: np.ndarray):
+def training(tokens: list[bytes], chosen: list[list[int] | None], kind: type, number: int, rounds: int) -> np.ndarray:
+    """A round's windows (inputs, then targets) of documents: every ``rounds``-th one, so that all rounds together have each once."""
+    parts = [np.frombuffer(x, kind) for x in tokens]
+    first = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64)
+    doc, inputs, targets = windows(np.concatenate([*parts, np.empty(0, kind)]).astype(np.int32), first)
+    start = np.searchsorted(doc, np.arange(len(parts) + 1))
+    if any(x is not None for x in chosen):
+        at = np.concatenate([np.arange(i, j) if x is None else i + np.array(x, np.int64) for x, i, j in zip(chosen, start, start[1:])])
+    else:
+        at = np.arange(len(doc))
+    # short documents' blocks are spread over the rounds by what they hold
+    turn = (at - start[doc[at]] + np.array([zlib.crc32(x) for x in tokens], np.int64)[doc[at]]) % rounds
+    at = at[turn == number]
+    return np.concatenate((inputs[at], targets[at]), axis=1)
+
+
+def _replica(symbols: Symbols, flat: np.ndarray, kind: type, number: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = b"".join(x for batch in batches for x in batch.column(0).to_pylist())
-        both = np.frombuffer(raw, np.int32).reshape(-1, W + STRIDE)
+        both = [np.empty((0, W + STRIDE), np.int32)]
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                both.append(training(part.column(0).to_pylist(), part.column(1).to_pylist(), kind, number, rounds))
+        both = np.concatenate(both)
         if not len(both):
             return
+        both = both[np.random.default_rng(number).permutation(len(both))]
         model = Model(symbols.n, flat.copy(), share=symbols.share)
         loss = model.train(symbols, both)
         yield _row(model.flat, len(both), loss, int(both[0].sum()))
@@ -299,9 +317,9 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def gather(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY, every: int = EVERY) -> DataFrame:
-    """What one pass over the texts leaves in the checkpoint folder: ids of all documents, counts and training windows."""
+    """What one pass over the texts leaves in the checkpoint folder: ids of all documents, their training blocks, and counts."""
     keyed = docs.where(col(text).isNotNull()).select(F.abs(F.xxhash64(col(doc_id), F.length(col(text)))).alias("salt"), col(text).alias("t"), col(doc_id).cast("long").alias("doc"))
-    return cut(keyed.mapInArrow(_gather(path, every), "doc long, tokens binary, ids array<int>, counts array<bigint>, window binary"))
+    return cut(keyed.mapInArrow(_gather(path, every), "doc long, tokens binary, chosen array<int>, ids array<int>, counts array<bigint>"))
 
 
 def fit(gathered: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS) -> tuple[Symbols, np.ndarray, list[float]]:
@@ -313,17 +331,17 @@ def fit(gathered: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS) -> tu
     symbols = Symbols.fit(counts)
     flat, losses = Model(symbols.n, share=symbols.share).flat, []
     kind = "flat binary, weight double, loss double, key long"
-    # replicas get even shares of windows from all over the corpus, not the documents of one file
+    # replicas get documents from all over the corpus, not those of one file
     parts = max(1, gathered.rdd.getNumPartitions())
-    training = cut(gathered.where("window is not null").select("window").repartition(parts, F.xxhash64("window")))
-    for _ in range(rounds):
-        level, left = training.mapInArrow(_replica(symbols, flat), kind), parts
+    blocks = cut(gathered.where("length(tokens) > 0").select("tokens", "chosen").repartition(parts, F.xxhash64("tokens")))
+    for number in range(rounds):
+        level, left = blocks.mapInArrow(_replica(symbols, flat, narrow(path), number, rounds), kind), parts
         while left > 1:
             left = -(-left // FAN_IN)
             level = level.repartition(left, F.abs(F.col("key")) % left).mapInArrow(_average, kind)
         got = level.first()
         if got is None:
-            break
+            continue
         flat = np.frombuffer(bytes(got["flat"]), np.float32).copy()
         losses.append(got["loss"])
     return symbols, flat, losses

@@ -123,3 +123,16 @@ def test_leaves_of_tail_symbols_depend_on_the_context():
             assert abs((losses[0] - losses[1]) / 2e-2 - slope[k]) < 0.05 * abs(slope[k]) + 1e-3
             checked += 1
     assert checked > 10
+
+
+def test_all_rounds_together_train_on_every_block_once(spark):
+    from factloom.llm.lm_score import narrow, training
+
+    texts = [prose(random.Random(k), n) for k, n in enumerate((2, 40, 400, 3_000))]
+    rows = gather(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)).where("tokens is not null").collect()
+    kind = narrow(VOCABULARY)
+    used = np.concatenate([training([bytes(r.tokens) for r in rows], [r.chosen for r in rows], kind, k, 3) for k in range(3)])
+    parts = [np.frombuffer(bytes(r.tokens), kind).astype(np.int32) for r in rows]
+    _, inputs, targets = windows(np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts]))))
+    every = np.concatenate((inputs, targets), axis=1)
+    assert sorted(map(bytes, used)) == sorted(map(bytes, every))
