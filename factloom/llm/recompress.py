@@ -7,6 +7,9 @@ a function of its parts (a 64-bit hash of them) and a side one of the symbol and
 round, so names are global: equal passages get equal symbols in every document, but
 for a few at their borders, and no dictionary has to be exchanged. A symbol that has
 grown to ``grown`` words stands still: it is an *interior symbol* of that level.
+The name of a run hangs on its length, so a run of that many words has anchors named
+by its symbol alone as well: each copy of it in the first ``EDGE`` words, and from
+there on one for each ``grown`` words. Runs of different lengths share these.
 
 Spark counts the interior symbols over the corpus. Those in two documents or more
 reveal repeats, which are verified and extended word by word.
@@ -21,16 +24,22 @@ from factloom.llm.repeats import MIN_WORDS, Anchors, long_repeats
 from factloom.llm.textkit import U, mix
 
 GROWN, ROUNDS = 8, 24
+EDGE = 100
 
 
-def _round(symbols: np.ndarray, sizes: np.ndarray, starts: np.ndarray, rows: np.ndarray, number: int, grown: int) -> tuple[np.ndarray, ...]:
-    """One round: runs of a symbol are named, then pairs across the partition."""
+def _round(symbols: np.ndarray, sizes: np.ndarray, starts: np.ndarray, rows: np.ndarray, number: int, grown: int, edge: int = EDGE) -> tuple[np.ndarray, ...]:
+    """One round: runs of a symbol are named, then pairs across the partition. Last come the anchors within runs, and their names."""
     n = len(symbols)
     head = np.ones(n, bool)
+    inner, names = starts[:0], symbols[:0]
     head[1:] = (symbols[1:] != symbols[:-1]) | (rows[1:] != rows[:-1]) | (sizes[1:] >= grown)
     if not head.all():
         at = np.flatnonzero(head)
         many = np.diff(np.append(at, n))
+        run = np.cumsum(head) - 1
+        copy, size = np.arange(n) - at[run], sizes[at][run]
+        held = np.flatnonzero((many[run] > 1) & (many[run] * size >= grown) & ((copy * size < edge) | (copy % -(-grown // size) == 0)))
+        inner, names = starts[held], mix(symbols[held] ^ U(0xE7037ED1A0B428DB))
         named = mix(symbols[at] * U(0xD6E8FEB86659FD93) + many.astype(U))
         symbols, starts, rows = np.where(many > 1, named, symbols[at]), starts[at], rows[at]
         sizes = np.add.reduceat(sizes, at)
@@ -45,20 +54,23 @@ def _round(symbols: np.ndarray, sizes: np.ndarray, starts: np.ndarray, rows: np.
     symbols, sizes = symbols.copy(), sizes.copy()
     symbols[left] = mix(mix(symbols[left]) * U(0xA0761D6478BD642F) + mix(symbols[left + 1] ^ U(0x589965CC75374CC3)))
     sizes[left] += sizes[left + 1]
-    return symbols[keep], sizes[keep], starts[keep], rows[keep]
+    return symbols[keep], sizes[keep], starts[keep], rows[keep], inner, names
 
 
-def interior_anchors(grown: int = GROWN, rounds: int = ROUNDS) -> Anchors:
+def interior_anchors(grown: int = GROWN, rounds: int = ROUNDS, edge: int = EDGE) -> Anchors:
     def choose(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(hashes)
+        found = []
         state = (hashes, np.ones(n, np.int64), np.arange(n), np.repeat(np.arange(len(first) - 1), np.diff(first)))
         for number in range(1, rounds + 1):
             if not len(state[0]):
                 break
-            state = _round(*state, number, grown)
+            *state, at, names = _round(*state, number, grown, edge)
+            found.append((at, names))
         symbols, sizes, starts, _ = state
         interior = sizes >= grown
-        return starts[interior], symbols[interior]
+        found.append((starts[interior], symbols[interior]))
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
     return choose
 
@@ -70,4 +82,4 @@ def recompression_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     words than that shares nothing; an empty table gives no rows.
     """
     # the anchor itself is `grown` words of the stretch
-    return long_repeats(docs, interior_anchors(grown), left=max(1, min_words - grown), right=min_words, doc_id=doc_id, text=text, min_words=min_words)
+    return long_repeats(docs, interior_anchors(grown, edge=max(EDGE, 2 * min_words)), left=max(1, min_words - grown), right=min_words, doc_id=doc_id, text=text, min_words=min_words)

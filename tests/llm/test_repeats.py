@@ -79,3 +79,15 @@ def test_partners_far_along_the_order(spark, operator):
     rows += [(i, " ".join((flat(30), common, flat(30)))) for i in range(100, 400)]
     docs = spark.createDataFrame([row(i, t) for i, t in rows], SCHEMA).repartition(5)
     check(operator, docs, rows, 50, 1.0 if operator is suffix_repeats else 0.98)
+
+
+@BOTH
+def test_periodic_texts_of_different_lengths(spark, operator):
+    rng = random.Random(8)
+    flat = lambda n: " ".join(prose(rng, n, 99).split())
+    rows = []
+    for k, period in enumerate((["junk"], ["home", "about", "news"], ["a", "b", "c", "d", "e"])):
+        for j, words in enumerate((90, 120, 400)):
+            rows.append((10 * k + j, " ".join([flat(20), *(period * words)[:words], flat(20)])))
+    docs = spark.createDataFrame([row(i, t) for i, t in rows], SCHEMA).repartition(3)
+    check(operator, docs, rows, 50, 0.98)
