@@ -9,7 +9,6 @@ from test_quality import junk
 from test_simhash import brute as copies_brute
 
 from factloom.llm.bpe import VOCABULARY, vocabulary
-from factloom.llm.line_dedup import MIN_BYTES
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -39,7 +38,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     good = seen["quality classifier"]
     ids = {r.doc_id for r in good}
     assert len(ids & set(range(160))) >= 158 and len(ids & set(range(400, 430))) <= 2 and not {500, 501} & ids
-    want = line_brute([(r.doc_id, r.text) for r in good], MIN_BYTES)
+    want = line_brute([(r.doc_id, r.text) for r in good])
     lined = seen["line dedup"]
     assert Counter((r.doc_id, r.text) for r in lined) == Counter(want) and all(r.n_chars == len(r.text) for r in lined)
     known = [(r.doc_id, r.text) for r in lined if r.doc_id is not None]
