@@ -6,9 +6,10 @@ from the end that its own coordinate favours; every vector met is scored in full
 (random access), and the coordinates at the depth reached bound all vectors not yet
 met. The reading stops when that bound is below the kth best score.
 
-A first round runs every query in its own block, which gives it a kth score to
-beat. In the second round a query goes to those other blocks only whose bound at
-depth 0 reaches that score: the same threshold test before anything is read.
+The queries are the vectors whose id is divisible by ``every``. A first round runs each in
+its own block, which gives it a kth score to beat. In the second round a query goes to
+those other blocks only whose bound at depth 0 reaches that score: the same threshold
+test before anything is read. Queries travel to the blocks, not vectors to the queries.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import col, cut
+from factloom.llm.common import col, cut, number
 
-K, BLOCK, QUERIES, FIRST_DEPTH, TILE = 10, 8192, 8192, 4, 256
+K, BLOCK, QUERIES, FIRST_DEPTH, TILE = 10, 8192, 65_536, 4, 256
+#: Pivots at most, vectors chosen by the hashes of their ids; a pivot with more than a block's vectors has several blocks.
+PIVOTS = 1024
 #: Block summaries that one pass of the second round holds; more are taken in further passes.
 SUMMARIES = 4096
 
@@ -144,7 +147,8 @@ def _routes(blocks: np.ndarray, low: np.ndarray, high: np.ndarray):
             for i in range(0, whole.num_rows, TILE):
                 batch = whole.slice(i, TILE)
                 vectors, home, floor = _matrix(batch.column(1)), batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                bound = np.maximum(vectors, 0) @ high.T + np.minimum(vectors, 0) @ low.T + 1e-9
+                bound = np.maximum(vectors, 0) @ high.T + np.minimum(vectors, 0) @ low.T
+                bound += 1e-9 * (1 + np.abs(vectors) @ np.maximum(np.abs(high), np.abs(low)).T)
                 row, at = np.nonzero((bound >= floor[:, None]) & (home[:, None] != blocks[None]))
                 if len(row):
                     part = batch.take(pa.array(row))
@@ -153,58 +157,71 @@ def _routes(blocks: np.ndarray, low: np.ndarray, high: np.ndarray):
     return run
 
 
-def top_k(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """Rows (query_id, neighbour_id, rank, score): for every vector its ``k`` best others by inner product.
+def top_k(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK, every: int = 1) -> DataFrame:
+    """Rows (query_id, neighbour_id, rank, score): for every query its ``k`` best other vectors by inner product.
 
+    The queries are the vectors whose id is divisible by ``every``; all vectors are searched.
     Equal scores rank by id. Fewer than ``k`` rows for a query if there are fewer
-    other vectors. Rows with a null id, a null, empty or partly null vector, or one
-    whose length isn't the commonest, take no part; of rows that share an id the
-    least vector counts. Scores are sums in double precision.
+    other vectors. Rows with a null id, a null or empty vector, one with a null, NaN or infinite
+    coordinate, or one whose length isn't the commonest (of equally common ones, the least), take
+    no part; of rows that share an id the least vector counts. Other columns are left aside. An empty
+    table gives no rows. Scores are sums in double precision.
     """
     spark = vectors.sparkSession
     vec = col(embedding).cast("array<double>")
-    given = vectors.select(col(vec_id).cast("long").alias("id"), vec.alias("vec")).where("id is not null and vec is not null and size(vec) > 0 and not exists(vec, x -> x is null or isnan(x))")
+    given = vectors.select(number(vectors, vec_id).alias("id"), vec.alias("vec")).where("id is not null and vec is not null and size(vec) > 0 and not exists(vec, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
     lengths = given.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), "dims").head()
     found = "query_id long, neighbour_id long, rank int, score double"
     if lengths is None:
         return spark.createDataFrame([], found)
     given = cut(given.where(F.size("vec") == lengths["dims"]).groupBy("id").agg(F.min("vec").alias("vec")))
     n = given.count()
-    blocks = max(1, round(n / block))
-    pivots = np.array([r["vec"] for r in given.orderBy(F.xxhash64("id"), "id").limit(blocks).collect()])
+    pivots = np.array([r["vec"] for r in given.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, max(1, round(n / block)))).collect()])
     placed = given.mapInArrow(_place(pivots), "id long, vec array<double>, pivot long")
     sizes = placed.groupBy("pivot").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / block))
-    home = cut(placed.join(sizes, "pivot").select("id", "vec", (F.col("pivot") * (1 << 20) + F.pmod(F.xxhash64("id"), "parts")).alias("block")))
+    home = cut(placed.join(F.broadcast(sizes), "pivot").select("id", "vec", (F.col("pivot") * (1 << 32) + F.pmod(F.xxhash64("id"), "parts")).alias("block")))  # at most PIVOTS sizes
+    queries = home.where(F.col("id") % every == 0)
     nothing = F.lit(float("-inf"))
 
-    def side(df: DataFrame, number: int, tile, floor=nothing) -> DataFrame:
-        return df.select(tile.alias("tile"), F.lit(number).cast("long").alias("side"), "id", "vec", floor.alias("floor"))
+    def side(df: DataFrame, number: int, group, floor=nothing) -> DataFrame:
+        return df.select("block", group.cast("long").alias("group"), F.lit(number).cast("long").alias("side"), "id", "vec", floor.alias("floor"))
 
     def tiles(rows: DataFrame) -> DataFrame:
-        return rows.repartition("tile").sortWithinPartitions("tile", "side").mapInArrow(_tiles(k), "q long, v long, score double")
-
-    groups = max(1, -(-n // QUERIES))
-    own = side(home.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), 0, F.col("block") * groups + F.col("t"))
-    asked = side(home, 1, F.col("block") * groups + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)))
-    first = cut(tiles(own.union(asked)))
+        ordered = rows.repartition("block", "group").sortWithinPartitions("block", "group", "side")
+        tile = F.xxhash64("block", "group").alias("tile")  # told apart by those around it: tiles of one partition only
+        return ordered.select(tile, "side", "id", "vec", "floor").mapInArrow(_tiles(k), "q long, v long, score double")
+
+    # a block's queries are asked in groups of about QUERIES, and a group has the block's vectors once
+    groups = max(1, -(-n // (every * QUERIES)))
+    group = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups))
+    first = cut(tiles(side(home, 0, F.lit(0)).union(side(queries, 1, F.lit(0)))))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "v")
     kth = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select(F.col("q").alias("id"), F.col("score").alias("floor"))
-    floors = cut(home.join(kth, "id", "left").select("id", "vec", "block", F.coalesce("floor", nothing).alias("floor")))
+    floors = cut(queries.join(kth, "id", "left").select("id", "vec", "block", F.coalesce("floor", nothing).alias("floor")))
     reach = home.select("block", F.posexplode("vec").alias("d", "x")).groupBy("block", "d").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    reach = reach.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("d", "low", "high"))).alias("r")).orderBy("block").collect()
+    reach = reach.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("d", "low", "high"))).alias("r"))
+    numbers = [r[0] for r in reach.select("block").orderBy("block").collect()]
     out = first
-    for a in range(0, len(reach), SUMMARIES):
-        some = reach[a : a + SUMMARIES]
+    for a in range(0, len(numbers), SUMMARIES):
+        least, most = numbers[a], numbers[min(a + SUMMARIES, len(numbers)) - 1]
+        some = reach.where(F.col("block").between(least, most)).orderBy("block").collect()
         low, high = (np.array([[x[i] for x in r["r"]] for r in some]) for i in (1, 2))
         routed = floors.mapInArrow(_routes(np.array([r["block"] for r in some], np.int64), low, high), "block long, id long, vec array<double>, floor double")
-        asked = side(routed, 1, F.col("block") * groups + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)), F.col("floor"))
-        out = out.union(tiles(own.where(F.col("block").between(int(some[0]["block"]), int(some[-1]["block"]))).union(asked)))
+        asked = side(routed, 1, group, F.col("floor"))
+        if groups > 1:  # only the blocks that a group of queries needs
+            needed = asked.select("block", "group").distinct()
+            there = side(home.join(needed, "block"), 0, F.col("group"))
+        else:
+            there = side(home.join(asked.select("block").distinct(), "block", "left_semi"), 0, F.lit(0))
+        out = out.union(tiles(there.union(asked)))
     ranked = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias("query_id"), F.col("v").alias("neighbour_id"), "rank", "score")
 
 
+#: Queries of ``op4_topk``: the ids that are divisible by this.
+EVERY = 100
 TOP_K_SQL = f"""
 SELECT query_id, neighbour_id, rank::INT AS rank, score FROM (
   SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score,
          row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= {K}"""
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % {EVERY} = 0) WHERE rank <= {K}"""

@@ -12,7 +12,7 @@ def brute(vectors, k):
     return out
 
 
-def test_against_all_pairs(spark):
+def test_against_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(4, 12))
     x = (centres[rng.integers(0, 4, 300)] + rng.normal(size=(300, 12)) * 0.3).astype(np.float32)
@@ -20,9 +20,24 @@ def test_against_all_pairs(spark):
     x[40] = 0
     vectors = {int(i): [float(y) for y in v] for i, v in zip(rng.permutation(1000)[:300], x)}
     df = spark.createDataFrame([(i, v, "z") for i, v in vectors.items()], "vec_id long, embedding array<float>, floor string")
+    want = brute(vectors, 7)
     for block in (8192, 40):
         got = {(r.query_id, r.neighbour_id, r["rank"]) for r in top_k(df, 7, block=block).collect()}
-        assert got == brute(vectors, 7)
+        assert got == want
+    got = {(r.query_id, r.neighbour_id, r["rank"]) for r in top_k(df, 7, block=40, every=10).collect()}
+    assert got == {x for x in want if x[0] % 10 == 0}
+    monkeypatch.setattr("factloom.llm.topk.QUERIES", 9)  # a block's queries in many groups, few block summaries at once
+    monkeypatch.setattr("factloom.llm.topk.SUMMARIES", 3)
+    got = {(r.query_id, r.neighbour_id, r["rank"]) for r in top_k(df, 7, block=40, every=10).collect()}
+    assert got == {x for x in want if x[0] % 10 == 0}
+
+
+def test_infinite_coordinates_take_no_part_and_large_ones_do(spark):
+    big = 1e9
+    rows = [(1, [big, 1.0]), (2, [big, 2.0]), (3, [-big, 1.0]), (4, [float("inf"), 1.0]), (5, [1.0, float("-inf")]), (6, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.neighbour_id, r["rank"]) for r in top_k(df, 2).collect()}
+    assert got == brute({i: v for i, v in rows if i not in (4, 5)}, 2)
 
 
 def test_stops_early_where_the_lists_are_steep():
