@@ -1,7 +1,9 @@
 """Quality classifier without gold labels.
 
-Heuristic labellers vote on each document (good, bad or no opinion). Expectation
-maximisation over the vote patterns of the whole corpus estimates how far each
+Heuristic labellers vote on each document (good, bad or no opinion). A labeller that looks
+for one fault votes "good" where it could have found the fault and didn't, so that its
+silence and its false alarms are weighed; it has no opinion only on texts too short for it.
+Expectation maximisation over the vote patterns of the whole corpus estimates how far each
 labeller is to be trusted for either class, and so the posterior of every pattern.
 The posteriors of a bounded sample train a linear scorer over hashed features, which
 then judges every document. Votes and scores are computed from whole texts.
@@ -17,12 +19,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import col, fresh
+from factloom.llm.common import col, cut, fresh
 from factloom.llm.textkit import U, Chunk, chunks, kgrams, segment_hash, words
 
-#: Rows that the scorer is fitted on at most (a bounded sample by hash of the id); all else uses every document.
+#: Different rows that the scorer is fitted on at most: those whose hashes of id and text are least. All else uses every document.
 TRAIN_ROWS, BUCKETS, THRESHOLD = 6_000, 1 << 16, 0.5
-#: The first ones speak up against a document only; the last three judge most documents and overlap with them.
+#: The first ones look for one fault each; the last three judge several figures and overlap with them.
 LABELLERS = ("capitals", "symbols", "stutter", "loops", "bars", "variety", "word_length", "sentences", "plain", "marked", "surface", "repetition", "prose")
 
 _CLASS = np.full(256, ord("?"), np.uint8)  # the shape of a byte
@@ -83,25 +85,25 @@ class Facts:
 
     def votes(self) -> np.ndarray:
         """One column a labeller: 1 good, -1 bad, 0 no opinion. A row without words gets no vote."""
-        long = self.count >= 20
-        against = [
-            self.upper > 0.45,
-            self.marks > 0.05,
-            (self.stutter > 0.2) & (self.count > 3),
-            (self.loops > 0.45) & long,
-            self.bars > 0.12,
-            (self.variety < 2) & long,
-            (self.length < 2.2) | (self.length > 14),
-            (self.stops > 0.5) & long,
-            self.letters < 0.68,
-            self.marked > 0.25,
+        long, some = self.count >= 20, self.count > 3
+        faults = [
+            (self.upper > 0.45, True),
+            (self.marks > 0.05, True),
+            (self.stutter > 0.2, some),
+            (self.loops > 0.45, long),
+            (self.bars > 0.12, True),
+            (self.variety < 2, long),
+            ((self.length < 2.2) | (self.length > 14), True),
+            (self.stops > 0.5, long),
+            (self.letters < 0.68, True),
+            (self.marked > 0.25, True),
         ]
         surface = np.where((self.upper > 0.4) | (self.marks > 0.04) | (self.bars > 0.1), -1, np.where((self.upper < 0.2) & (self.marks < 0.015) & (self.bars < 0.03), 1, 0))
         repetition = np.where((self.loops > 0.4) & long | (self.stutter > 0.2), -1, np.where((self.loops < 0.15) & (self.stutter < 0.05), 1, 0))
         usual = (self.length > 3) & (self.length < 9) & (self.letters > 0.72) & (self.marked < 0.1) & (self.variety > 3)
         odd = (self.letters < 0.66) | (self.marked > 0.2) | (self.variety < 2.5) | (self.length < 2.5) | (self.length > 12)
         prose = np.where(~long, 0, np.where(odd, -1, np.where(usual, 1, 0)))
-        v = np.stack([*(-x.astype(np.int64) for x in against), surface, repetition, prose], axis=1)
+        v = np.stack([*(np.where(able, np.where(fault, -1, 1), 0) for fault, able in faults), surface, repetition, prose], axis=1)
         v[self.count == 0] = 0
         return v
 
@@ -134,7 +136,9 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -
     Returns the posterior of "good" of each pattern, and each labeller's accuracy on
     good and on bad documents, given that it votes. Labellers are taken as independent
     given the class, with no opinion telling nothing; at first each is trusted at 0.9 on
-    good documents and at 0.6 on bad ones.
+    good documents and at 0.6 on bad ones. A labeller of one fault may end up with a low
+    accuracy on bad documents, most of which have other faults; what its vote against a document
+    weighs is that accuracy over its share of false alarms.
     """
     votes = patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
     good, bad, prior = np.full(len(LABELLERS), 0.9), np.full(len(LABELLERS), 0.6), 0.8
@@ -146,8 +150,8 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -
         p, q = (weight * posterior)[:, None], (weight * (1 - posterior))[:, None]
         # a pinch of prior votes settles a labeller that never speaks
         tiny = 1e-4
-        good = np.clip(((p * (votes == 1)).sum(0) + 0.9 * tiny) / ((p * (votes != 0)).sum(0) + tiny), 0.02, 0.99)
-        bad = np.clip(((q * (votes == -1)).sum(0) + 0.6 * tiny) / ((q * (votes != 0)).sum(0) + tiny), 0.02, 0.99)
+        good = np.clip(((p * (votes == 1)).sum(0) + 0.9 * tiny) / ((p * (votes != 0)).sum(0) + tiny), 0.02, 0.999)
+        bad = np.clip(((q * (votes == -1)).sum(0) + 0.6 * tiny) / ((q * (votes != 0)).sum(0) + tiny), 0.005, 0.99)
         prior = float(np.clip(p.sum(), 0.05, 0.95))
     return posterior, good, bad
 
@@ -183,38 +187,43 @@ def fit_scorer(row: np.ndarray, feature: np.ndarray, value: np.ndarray, target:
 
 
 def scorer(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, dict[str, tuple[float, float]]]:
-    """The trained weights, and each labeller's estimated accuracy on good and bad documents."""
-    keyed = docs.where(col(text).isNotNull()).select(F.xxhash64(col(doc_id), F.lit(1)).alias("key"), col(text).alias("t"))
-    votes = keyed.mapInArrow(_vote, "key long, pattern long")
+    """The trained weights, and each labeller's estimated accuracy on good and bad documents.
+
+    Rows that share id and text are one to the sample. Without a single text the weights are 0 and no labeller has figures.
+    """
+    if train_rows < 1:
+        raise ValueError("the scorer needs a row to be fitted on")
+    keyed = docs.where(col(text).isNotNull()).select(F.xxhash64(col(doc_id), col(text)).alias("key"), col(text).alias("t"))
+    votes = cut(keyed.mapInArrow(_vote, "key long, pattern long"))
     tally = votes.groupBy("pattern").agg(F.count("*").alias("n")).toPandas()  # bounded by the labellers, not by the corpus
     if not len(tally):
         return np.zeros(BUCKETS + 1), {}
     posterior, good, bad = fit_labellers(tally["pattern"].to_numpy(), tally["n"].to_numpy())
-    total = int(tally["n"].sum())
-    share = min(1.0, train_rows / total)
-    chosen = keyed.where(F.pmod("key", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     known = dict(zip(tally["pattern"].tolist(), posterior.tolist()))
+    # copies of a row count once here, so that they can't take up the sample
+    last = votes.select("key").distinct().orderBy("key").limit(train_rows).agg(F.max("key")).first()[0]
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for voted, made in zip(_vote([batch]), _features([batch])):
                 target = [known[p] for p in voted.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(target), made.column(1), made.column(2)], ["target", "features", "values"])
+                yield pa.RecordBatch.from_arrays([voted.column(0), pa.array(target), made.column(1), made.column(2)], ["key", "target", "features", "values"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, sizes, feature, value = ([np.empty(0, kind)] for kind in (float, np.int64, np.int32, np.float32))
         for batch in batches:
-            target.append(batch.column(0).to_numpy())
-            sizes.append(pa.compute.list_value_length(batch.column(1)).to_numpy())
-            feature.append(batch.column(1).flatten().to_numpy())
-            value.append(batch.column(2).flatten().to_numpy())
+            target.append(batch.column(1).to_numpy())
+            sizes.append(pa.compute.list_value_length(batch.column(2)).to_numpy())
+            feature.append(batch.column(2).flatten().to_numpy())
+            value.append(batch.column(3).flatten().to_numpy())
         goal = np.concatenate(target)
         row = np.repeat(np.arange(len(goal), dtype=np.int32), np.concatenate(sizes))
-        weights = fit_scorer(row, np.concatenate(feature), np.concatenate(value), goal) if len(goal) else np.zeros(BUCKETS + 1)
+        weights = fit_scorer(row, np.concatenate(feature), np.concatenate(value), goal)
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()])], ["weights"])
 
-    made = chosen.mapInArrow(labelled, "target double, features array<int>, values array<float>").repartition(1).mapInArrow(fit, "weights binary")
-    weights = np.frombuffer(bytes(made.first()[0]), np.float32).astype(float)
+    made = keyed.where(F.col("key") <= last).mapInArrow(labelled, "key long, target double, features array<int>, values array<float>").dropDuplicates(["key"])
+    # in the order of the keys, so that sums don't hang on which task came first; train_rows rows at most
+    weights = np.frombuffer(bytes(made.repartition(1).sortWithinPartitions("key").mapInArrow(fit, "weights binary").first()[0]), np.float32).astype(float)
     return weights, {name: (float(a), float(b)) for name, a, b in zip(LABELLERS, good, bad)}
 
 
@@ -240,11 +249,13 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "
 
 
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS, out: str | None = None) -> DataFrame:
-    """The documents whose score reaches ``threshold``; all columns pass through.
+    """The documents whose score reaches ``threshold`` (a tie with it stays); all columns pass through.
 
     ``out`` names a column for the score (in place of a clashing one). A null text
-    and a text without words have no score and are rejected. Rows with a null or
-    repeated id are judged by their texts like any other.
+    and a text without words have no score and are rejected. Ids only help to choose the rows
+    that the scorer is fitted on: rows with a null or repeated id are judged by their texts like
+    any other, and repeated rows alike. An empty table, or one without a text, gives an empty one.
+    A long text is judged whole; the arrays for it take about thirty bytes a byte of text while it is.
     """
     weights, _ = scorer(docs, doc_id, text, train_rows)
     name = fresh(docs, "quality_score")[0]
