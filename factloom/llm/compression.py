@@ -2,8 +2,9 @@
 
 A document's zstandard ratio (bytes in over bytes out) says how repetitive it is,
 once its length is allowed for: a short text has little to refer back to. The limits
-therefore depend on the length. Fixed chunks are judged as well, all by one band, so
-that a long document can't hide a repetitive or random part.
+therefore depend on the length. Fixed chunks are judged as well, whole ones by one band
+and the shorter one at the end by the band of its length, so that a long document can't
+hide a repetitive or random part anywhere.
 """
 
 from __future__ import annotations
@@ -25,17 +26,28 @@ BANDS = ((64, 0.0, float("inf")), (256, 0.85, 2.2), (1024, 1.25, 2.6), (4096, 1.
 CHUNK_BAND, CHUNK_SHARE = (1.3, 2.7), 0.25
 
 
-def judge(size: int, ratio: float, chunk_ratios: list[float], bands=BANDS, chunk_band=CHUNK_BAND, share: float = CHUNK_SHARE) -> str:
-    """"keep", or the reason to reject: repetitive, incompressible, repetitive_chunks, incompressible_chunks, empty."""
+def band(size: int, bands=BANDS) -> tuple[float, float]:
+    """The least and the greatest ratio of a text of ``size`` bytes; a limit itself is within."""
+    return next((low, high) for below, low, high in bands if size < below)
+
+
+def judge(size: int, ratio: float, chunk_ratios: list[float], bands=BANDS, chunk_band=CHUNK_BAND, share: float = CHUNK_SHARE, tail: tuple[int, float] | None = None) -> str:
+    """"keep", or the reason to reject: repetitive, incompressible, repetitive_chunks, incompressible_chunks, empty.
+
+    ``chunk_ratios`` are those of whole chunks, ``tail`` the size and ratio of a shorter last one.
+    """
     if size == 0:
         return "empty"
-    low, high = next((low, high) for below, low, high in bands if size < below)
+    low, high = band(size, bands)
     if not low <= ratio <= high:
         return "repetitive" if ratio > high else "incompressible"
+    limits = [chunk_band] * len(chunk_ratios)
+    if tail is not None:
+        chunk_ratios, limits = [*chunk_ratios, tail[1]], [*limits, band(tail[0], bands)]
     n = len(chunk_ratios)
-    if n and sum(r > chunk_band[1] for r in chunk_ratios) > share * n:
+    if n and sum(r > high for r, (_, high) in zip(chunk_ratios, limits)) > share * n:
         return "repetitive_chunks"
-    if n and sum(r < chunk_band[0] for r in chunk_ratios) > share * n:
+    if n and sum(r < low for r, (low, _) in zip(chunk_ratios, limits)) > share * n:
         return "incompressible_chunks"
     return "keep"
 
@@ -44,8 +56,11 @@ def measure(docs: DataFrame, text: str = "text", level: int = LEVEL, chunk_bytes
     """All columns and zstd_ratio, chunk_low, chunk_high (least and greatest ratio of a whole chunk) and verdict.
 
     Clashing columns are replaced. An empty text is "empty" and has no ratio, a null
-    text has nulls throughout; a text shorter than a chunk has no chunk figures.
-    Repeated rows and ids don't matter: each row is judged alone, in one pass.
+    text has nulls throughout; a text of at most a chunk has no chunk figures, as its whole is
+    judged by the same band. A ratio equal to a limit is within it. Ids aren't looked at and
+    repeated rows don't matter: each row is judged alone, in one pass without an exchange, so an
+    empty table gives an empty one. A text of any length is compressed as one frame, whose
+    compressed form is all that is held besides the text.
     """
     new = ["zstd_ratio", "chunk_low", "chunk_high", "verdict"]
     kept = [c for c in docs.columns if c.lower() not in new]
@@ -66,7 +81,9 @@ def measure(docs: DataFrame, text: str = "text", level: int = LEVEL, chunk_bytes
                     data = memoryview(np.ascontiguousarray(part.data[a:b]))
                     ratio = (b - a) / len(size_of(data)) if b > a else None
                     parts = [chunk_bytes / len(size_of(data[i : i + chunk_bytes])) for i in range(0, b - a - chunk_bytes + 1, chunk_bytes)]
-                    rows.append((ratio, min(parts, default=None), max(parts, default=None), judge(b - a, ratio or 0.0, parts, bands, chunk_band, share)))
+                    left = (b - a) % chunk_bytes
+                    tail = (left, left / len(size_of(data[-left:]))) if parts and left else None
+                    rows.append((ratio, min(parts, default=None), max(parts, default=None), judge(b - a, ratio or 0.0, parts, bands, chunk_band, share, tail)))
                 columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.float64(),) * 3 + (pa.string(),))]
                 yield pa.RecordBatch.from_arrays([*batch.slice(part.first, len(part)).columns[: len(kept)], *columns], [*kept, *new])
 
@@ -74,7 +91,11 @@ def measure(docs: DataFrame, text: str = "text", level: int = LEVEL, chunk_bytes
 
 
 def compression_filter(docs: DataFrame, text: str = "text", figures: bool = False, **limits) -> DataFrame:
-    """The documents within their bands; empty and null texts are rejected. ``figures`` keeps the measured columns."""
+    """The documents within their bands; all columns pass through, clashing ones unharmed.
+
+    Empty and null texts are rejected; all else is as in ``measure``. ``figures`` keeps the
+    measured columns, in place of clashing ones.
+    """
     if figures:
         measured = measure(docs, text, **limits)
         return measured.where("verdict = 'keep'").drop("verdict")

@@ -31,7 +31,37 @@ def test_figures_by_hand(spark):
         parts = [CHUNK_BYTES / size(raw[i : i + CHUNK_BYTES]) for i in range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES)]
         assert abs(r.zstd_ratio - len(raw) / size(raw)) < 1e-9
         assert (r.chunk_low, r.chunk_high) == ((min(parts), max(parts)) if parts else (None, None))
-        assert r.verdict == judge(len(raw), len(raw) / size(raw), parts)
+        assert r.verdict == judge(len(raw), len(raw) / size(raw), parts, tail=(len(raw) % 1024, len(raw[-(len(raw) % 1024) :]) / size(raw[-(len(raw) % 1024) :])) if parts and len(raw) % 1024 else None)
+
+
+def plain_verdict(raw):
+    """The rule once more, by hand: out of band as a whole, or more than a quarter of the chunks, the last one included."""
+    size = lambda b: len(zstandard.ZstdCompressor(level=3).compress(b))
+    if not raw:
+        return "empty"
+    limits = lambda n: next((low, high) for below, low, high in BANDS if n < below)
+    low, high = limits(len(raw))
+    ratio = len(raw) / size(raw)
+    if ratio > high or ratio < low:
+        return "repetitive" if ratio > high else "incompressible"
+    over = under = n = 0
+    for a in range(0, len(raw) if len(raw) > 1024 else 0, 1024):
+        part = raw[a : a + 1024]
+        low, high = (1.3, 2.7) if len(part) == 1024 else limits(len(part))
+        r, n = len(part) / size(part), n + 1
+        over, under = over + (r > high), under + (r < low)
+    return "repetitive_chunks" if n and over > n / 4 else "incompressible_chunks" if n and under > n / 4 else "keep"
+
+
+def test_against_a_plain_version(spark):
+    rng = random.Random(5)
+    noise = lambda n: base64.b85encode(rng.randbytes(n)).decode()
+    texts = [prose(rng, rng.randint(1, 700)) + rng.choice(["", noise(rng.randint(1, 900)), "so " * rng.randint(1, 500)]) for _ in range(120)]
+    texts += [(prose(rng, 300)[:1024] + noise(800))[: 1024 + 700], (prose(rng, 300)[:1024] + "la " * 300)[: 1024 + 800]]  # only the end is odd
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.verdict for r in measure(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain_verdict(t.encode()) for t in texts]
+    assert got[120] == "incompressible_chunks" and got[121] != "keep"
 
 
 def test_bands_grow_with_length():
