@@ -1,13 +1,18 @@
 """Scores of documents under a causal self-attention model that is trained on the corpus.
 
 Texts are encoded by a public subword vocabulary. One pass over all documents counts
-every id. All blocks of all documents train the model, each in one of the rounds. It predicts a *symbol*: the commonest ids are symbols of their own,
+every id and keeps all ids. The model reads ids as *units* and predicts a unit in two steps. The first
+softmax is over *symbols*: the commonest ids are symbols of their own,
 the others share tail symbols of about equal mass. Within a tail symbol a second
 softmax over its *leaves* depends on the context too: the commonest ids of the symbol are
 leaves of their own, the rest share the last one, within which the corpus counts give
-an id's probability. The model has one attention layer and one feed-forward layer, in
-numpy. Training is data-parallel: in a round each partition trains a replica on its
-share of the windows, and the replicas are averaged in a tree of tasks, weighted by their windows.
+an id's probability. A unit is a symbol of its own or a leaf. The model has one attention layer and
+one feed-forward layer, in numpy.
+
+Training is data-parallel and covers every token of every document once: documents are dealt to
+rounds and, within a round, to replicas, by a hash of id and ids. A replica trains on the windows of its share,
+and the replicas are averaged in a tree of tasks, weighted by their windows. How many replicas there
+are follows the corpus (one for each ``REPLICA`` windows of a round), and nothing hangs on Spark's partitions.
 
 For scoring, a document is cut into blocks of ``STRIDE`` tokens. A window is a block
 and the ``CONTEXT`` tokens before it, so that windows overlap but every token is
@@ -17,7 +22,7 @@ scored in exactly one of them, by masked attention over a batch of windows.
 from __future__ import annotations
 
 import base64
-import zlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,22 +30,29 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.bpe import PATTERN, VOCABULARY
-from factloom.llm.common import col, cut
+from factloom.llm.bpe import PATTERN
+from factloom.llm.common import col, cut, number
+from factloom.llm.textkit import ragged
 
+#: The vocabulary for many languages: fewer tokens than the other one takes for texts that aren't all English.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 STRIDE, CONTEXT = 32, 16
 WIDTH, HIDDEN, OWN, TAIL = 16, 32, 104, 24
 #: Leaves of a tail symbol: so many ids less one have an output of their own in it.
 LEAVES = 64
-ROUNDS, BATCH, RATE = 3, 32, 0.01
-#: One training window is taken from each started run of so many blocks of a document.
-EVERY = 1
+ROUNDS, BATCH, RATE = 3, 128, 0.01
+#: Windows of a round for which there is a replica.
+REPLICA = 24_576
 FAN_IN = 16
-W = STRIDE + CONTEXT
-_CAUSAL = np.where(np.arange(W)[None] <= CONTEXT + np.arange(STRIDE)[:, None], 0, -1e9).astype(np.float32)
+#: Tokens of a document that are kept in one row; a longer one has several.
+PIECE = 1 << 15
+#: Inputs of a window, and the tokens before a block that the first of them needs.
+W, LEAD = STRIDE + CONTEXT, CONTEXT + 1
+_CAUSAL = (np.arange(W)[None] <= CONTEXT + np.arange(STRIDE)[:, None]).astype(np.float32)
 
 
 @lru_cache(maxsize=2)
@@ -50,257 +62,349 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("subwords", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def narrow(path: str) -> type:
-    """The integers that hold the vocabulary's ids."""
-    return np.uint16 if encoder(path).max_token_value < 1 << 16 else np.int32
+def size_of(path: str) -> int:
+    """Ids of the vocabulary; the two numbers that follow stand for the beginning of a text, and for what lies before that."""
+    return encoder(path).max_token_value + 1
 
 
-def windows(ids: np.ndarray, first: np.ndarray, begin: int = -1, outside: int = -2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of documents laid end to end (``first``: where each starts, n + 1 of them).
-
-    Gives the document of each window, its inputs (W of them: the token before each
-    place, ``begin`` for the beginning of the text, ``outside`` for what lies before
-    that or after its end) and its targets (STRIDE of them, -1 past the end).
-    """
-    sizes = np.diff(first)
-    blocks = -(-sizes // STRIDE)
-    start = np.concatenate(([0], np.cumsum(blocks * STRIDE + CONTEXT)))  # each document's place in the layout
-    doc = np.repeat(np.arange(len(sizes)), blocks)
-    at = start[doc] + STRIDE * (np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-    place = np.arange(len(ids)) + np.repeat(start[:-1] + CONTEXT - first[:-1], sizes)
-    before, after = np.full(start[-1] + W, outside, ids.dtype), np.full(start[-1] + W, -1, ids.dtype)
-    after[place] = ids
-    before[place + 1] = ids
-    before[start[1:]] = outside  # where the last token of a full last block went
-    before[(start[:-1] + CONTEXT)[sizes > 0]] = begin
-    slide = np.lib.stride_tricks.sliding_window_view
-    return doc, slide(before, W)[at], slide(after, STRIDE)[at + CONTEXT]
+def narrow(path: str) -> type:
+    """The integers that hold the vocabulary's ids."""
+    return np.uint16 if size_of(path) + 2 <= 1 << 16 else np.int32
 
 
 @dataclass
 class Symbols:
-    """The symbol of each id, the log-probability of an id within its symbol; BOS and padding follow the symbols.
+    """The unit of each id, the symbol and the leaf of each unit, and what the corpus counts say within these.
 
-    The tail symbols are the last ones. ``leaf`` is an id's leaf in its tail symbol, ``rest`` its
-    log-probability within that, and ``share`` a leaf's within its symbol, by the corpus counts.
+    Units: the symbols of their own, then the leaves of each tail symbol. Two more that follow stand for the beginning of a text
+    and for what lies before that. ``rest`` is an id's log-probability within its unit, ``share``
+    a leaf's within its tail symbol.
     """
 
     of: np.ndarray
-    within: np.ndarray
-    n: int
-    leaf: np.ndarray
-    rest: np.ndarray
+    own: int
     share: np.ndarray
+    rest: np.ndarray
+
+    @property
+    def symbols(self) -> int:
+        return self.own + len(self.share)
+
+    @property
+    def units(self) -> int:
+        return self.own + self.share.size
 
     @classmethod
     def fit(cls, counts: np.ndarray, own: int = OWN, tail: int = TAIL, leaves: int = LEAVES) -> Symbols:
         mass = counts + 1.0
         order = np.lexsort((np.arange(len(mass)), -counts))
         own = min(own, len(mass) - 1)
-        rest = np.cumsum(mass[order[own:]])
-        of = np.empty(len(mass), np.int64)
+        held = mass[order[own:]]
+        sums = np.cumsum(held)
+        symbol = np.minimum((sums - held) / sums[-1] * tail, tail - 1).astype(np.int64)  # ascending, the commonest ids of a symbol first
+        leaf = np.minimum(np.arange(len(symbol)) - np.searchsorted(symbol, symbol), leaves - 1)
+        of = np.empty(len(mass) + 2, np.int16 if own + tail * leaves + 2 < 1 << 15 else np.int32)
         of[order[:own]] = np.arange(own)
-        of[order[own:]] = own + np.minimum((rest - mass[order[own:]]) / rest[-1] * tail, tail - 1).astype(np.int64)
-        n = own + tail
-        leaf = np.zeros(len(mass), np.int64)
-        runs = of[order[own:]]  # ascending, the commonest ids of a symbol first
-        leaf[order[own:]] = np.minimum(np.arange(len(runs)) - np.searchsorted(runs, runs), leaves - 1)
-        key = of * leaves + leaf
-        held = np.bincount(key, mass, n * leaves)
-        symbol = np.bincount(of, mass, n)
+        of[order[own:]] = own + symbol * leaves + leaf
+        of[len(mass) :] = own + tail * leaves + np.arange(2)
+        unit = np.bincount(of[: len(mass)], mass, own + tail * leaves)
         with np.errstate(divide="ignore", invalid="ignore"):
-            share = np.log(held.reshape(n, leaves) / symbol[:, None])[own:]
-        share = np.where(np.isfinite(share), share, -1e9).astype(np.float32)
-        rest = (np.log(mass) - np.log(held[key])).astype(np.float32)
-        return cls(of, (np.log(mass) - np.log(symbol)[of]).astype(np.float32), n, leaf, rest, share)
+            inner = unit[own:].reshape(tail, leaves)
+            share = np.log(inner / inner.sum(axis=1, keepdims=True))
+        rest = np.append(np.log(mass) - np.log(unit[of[: len(mass)]]), (0, 0))
+        return cls(of, own, np.where(np.isfinite(share), share, -1e9).astype(np.float32), rest.astype(np.float32))
+
+
+def windows(units: np.ndarray, first: np.ndarray, outside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of pieces laid end to end, each with ``LEAD`` units before its targets (``first``: where each starts, n + 1 of them).
 
-    def inputs(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids >= 0, self.of[np.maximum(ids, 0)], np.where(ids == -1, self.n, self.n + 1))
+    Gives the piece of each window, its inputs (W of them) and its targets (STRIDE of them, ``outside`` past the end).
+    """
+    sizes = np.diff(first)
+    blocks = -(-(sizes - LEAD) // STRIDE)
+    room = LEAD + blocks * STRIDE
+    start = np.concatenate(([0], np.cumsum(room)))
+    flat = np.full(start[-1] + W, outside, units.dtype)
+    flat[np.arange(len(units)) + np.repeat(start[:-1] - first[:-1], sizes)] = units
+    piece = np.repeat(np.arange(len(sizes)), blocks)
+    at = start[piece] + STRIDE * (np.arange(len(piece)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+    slide = np.lib.stride_tricks.sliding_window_view
+    return piece, slide(flat, W)[at], slide(flat, STRIDE)[at + LEAD]
+
+
+def _exp(z: np.ndarray) -> None:
+    """exp in place, of 60 at most, so that sums stay finite."""
+    if z.size and z.max() > 60:
+        np.minimum(z, 60, out=z)
+    np.exp(z, out=z)
+
+
+def _keep_heap() -> None:
+    """Has the C library reuse the memory of large arrays, which would otherwise be mapped anew for each."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 30)
+        libc.mallopt(-1, 1 << 28)
+    except OSError:  # another C library
+        pass
+
+
+def _ones(n: int) -> np.ndarray:
+    return np.ones((n, 1), np.float32)
 
 
 class Model:
-    """One causal attention layer and one feed-forward layer over symbols; with ``share``, over the leaves of the last ones too."""
-
-    def __init__(self, symbols: int, flat: np.ndarray | None = None, seed: int = 5, share: np.ndarray | None = None) -> None:
-        d, h = WIDTH, HIDDEN
-        self.share = share
-        self.shapes = {"E": (symbols + 2, d), "P": (W, d), "Q": (d, d), "K": (d, d), "V": (d, d), "O": (d, d), "A": (d, h), "a": (h,), "B": (h, d), "U": (d, symbols), "c": (symbols,)}
-        if share is not None:
-            self.shapes |= {"L": (len(share), d, share.shape[1]), "l": share.shape}
-        sizes = [int(np.prod(s)) for s in self.shapes.values()]
+    """One causal attention layer and one feed-forward layer over units, a softmax over symbols and one over the leaves of each tail symbol."""
+
+    def __init__(self, symbols: Symbols, flat: np.ndarray | None = None, seed: int = 5) -> None:
+        d, h, s, share = WIDTH, HIDDEN, symbols.symbols, symbols.share
+        self.symbols, self.begin = symbols, symbols.units
+        self.shapes = {"E": (symbols.units + 2, d), "P": (W, d), "Q": (d, d), "K": (d, d), "V": (d, d), "O": (d, d), "A": (d, h), "a": (h,), "B": (h, d), "U": (d, s), "c": (s,), "L": (len(share), d, share.shape[1]), "l": share.shape}
+        sizes = [int(np.prod(x)) for x in self.shapes.values()]
         if flat is None:
             rng = np.random.default_rng(seed)
-            flat = np.concatenate([np.zeros(n) if len(s) == 1 or k in "Ll" else rng.normal(0, 0.1 if k in "EP" else s[0] ** -0.5, n) for (k, s), n in zip(self.shapes.items(), sizes)])
+            flat = np.concatenate([np.zeros(n) if len(x) == 1 or k in "Ll" else rng.normal(0, 0.1 if k in "EP" else x[0] ** -0.5, n) for (k, x), n in zip(self.shapes.items(), sizes)])
         self.flat = flat.astype(np.float32)
-        self.w = {k: part.reshape(s) for (k, s), part in zip(self.shapes.items(), np.split(self.flat, np.cumsum(sizes)[:-1]))}
-
-    def leaves(self, m: np.ndarray, targets: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each tail symbol: its number among them, the places whose target it is, the log-probabilities of its
-        leaves there, and of the target's leaf; for places laid end to end."""
-        first = self.w["U"].shape[1] - len(self.share)
-        order = np.argsort(targets, kind="stable")
-        ends = np.searchsorted(targets[order], np.arange(first, first + len(self.share) + 1))
-        for i in range(len(self.share)):
-            at = order[ends[i] : ends[i + 1]]
-            if len(at):
-                # in doubles, so that a place's rounded result doesn't hang on what it is multiplied together with
-                z = m[at].astype(float) @ self.w["L"][i].astype(float) + (self.w["l"][i] + self.share[i])
-                z -= z.max(axis=1, keepdims=True)
-                z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-                yield i, at, z, z[np.arange(len(at)), leaf[at]]
-
-    def forward(self, inputs: np.ndarray, keep: bool = False):
-        """Log-probabilities of the symbols at each place of the block."""
-        w = self.w
-        x = w["E"][inputs] + w["P"]
-        xq = x[:, CONTEXT:]
-        q, k, v = xq @ w["Q"] * np.float32(WIDTH**-0.5), x @ w["K"], x @ w["V"]
+        self.w = {k: part.reshape(x) for (k, x), part in zip(self.shapes.items(), np.split(self.flat, np.cumsum(sizes)[:-1]))}
+
+    def state(self, inputs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What each place of the block knows (the last array), and the arrays on the way to it."""
+        w, n = self.w, len(inputs)
+        x = w["E"].take(inputs, axis=0)
+        x += w["P"]
+        flat = x.reshape(-1, WIDTH)
+        k, v = ((flat @ w[c]).reshape(n, W, WIDTH) for c in "KV")
+        xq = np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, WIDTH)
+        q = (xq @ (w["Q"] * np.float32(WIDTH**-0.5))).reshape(n, STRIDE, WIDTH)
         s = q @ k.transpose(0, 2, 1)
-        s += _CAUSAL
-        outside = inputs == len(w["E"]) - 1
-        some = outside.any(axis=1)
-        if some.any():
-            s[some] += np.where(outside[some], np.float32(-1e9), np.float32(0))[:, None, :]
-        np.minimum(s, 60, out=s)  # in place of taking the maximum off: a place sees itself, so no row is all masked
-        np.exp(s, out=s)
-        mass = s @ np.ones((W, 1), np.float32) + np.float32(1e-30)
-        r = (s @ v) / mass
-        h = xq + r @ w["O"]
-        u = np.maximum(h @ w["A"] + w["a"], 0)
-        m = h + u @ w["B"]
-        z = (m.reshape(-1, WIDTH) @ w["U"] + w["c"]).reshape(len(m), STRIDE, -1)
-        np.minimum(z, 60, out=z)
-        e = np.exp(z)
-        total = e @ np.ones((e.shape[2], 1), np.float32)
-        if not keep:
-            return z, np.log(total[..., 0]), m
-        return x, xq, q, k, v, s / mass, r, h, u, m, z - np.log(total), e / total
-
-    def loss_and_slope(self, inputs: np.ndarray, targets: np.ndarray, leaf: np.ndarray | None = None) -> tuple[float, np.ndarray]:
-        """Mean negative log-probability of the target symbols (-1: none) and leaves, and its gradient, flat."""
+        _exp(s)  # without taking the maximum off: a place sees itself, so no row is all masked
+        s *= _CAUSAL
+        some = np.flatnonzero(inputs[:, 0] == self.begin + 1)
+        if len(some):
+            s[some] *= (inputs[some] != self.begin + 1)[:, None, :]
+        mass = s.reshape(-1, W) @ _ones(W)
+        mass += np.float32(1e-30)
+        r = (s @ v).reshape(-1, WIDTH)
+        r /= mass
+        h = r @ w["O"]
+        h += xq
+        u = h @ w["A"]
+        u += w["a"]
+        np.maximum(u, 0, out=u)
+        m = u @ w["B"]
+        m += h
+        return x, xq, q, k, v, s, mass, r, h, u, m
+
+    def outputs(self, m: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The places that have a target, what is known there (with a 1 at its end, for the biases), the target's symbol, those that are tail
+        symbols (by symbol), their leaves, and where each tail symbol ends among them."""
+        goal = targets.ravel()
+        there = np.flatnonzero(goal < self.begin)
+        known = np.ones((len(there), WIDTH + 1), np.float32)
+        known[:, :-1] = m if len(there) == len(m) else m[there]
+        goal = goal[there]
+        own, leaves = self.symbols.own, self.symbols.share.shape[1]
+        tail = np.flatnonzero(goal >= own)
+        tail = tail[np.argsort(goal[tail], kind="stable")]
+        inner = goal[tail] - own
+        symbol = goal.astype(np.int64)
+        symbol[tail] = own + inner // leaves
+        ends = np.searchsorted(inner, np.arange(1, len(self.symbols.share) + 1) * leaves)
+        return there, known, symbol, tail, inner % leaves, ends
+
+    def leaves(self, known: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Scores of the leaves of each place's tail symbol."""
+        w, begin = self.w, 0
+        y = np.empty((len(known), self.symbols.share.shape[1]), np.float32)
+        weights = np.concatenate((w["L"], (w["l"] + self.symbols.share)[:, None]), axis=1)
+        for i, end in enumerate(ends.tolist()):
+            if begin < end:
+                np.matmul(known[begin:end], weights[i], out=y[begin:end])
+            begin = end
+        return y
+
+    def loss_and_slope(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean negative log-probability of the target units, and its gradient, flat."""
         w = self.w
-        x, xq, q, k, v, s, r, h, u, m, logp, p = self.forward(inputs, keep=True)
-        there = targets >= 0
-        n = max(int(there.sum()), 1)
-        b, t = np.nonzero(there)
-        loss = -float(logp[b, t, targets[b, t]].sum()) / n
-        dz = p
-        dz[b, t, targets[b, t]] -= 1
-        dz *= there[..., None] / np.float32(n)
-        flat2 = lambda y: y.reshape(-1, y.shape[-1])
-        g = {"U": flat2(m).T @ flat2(dz), "c": flat2(dz).sum(0)}
-        dm = dz @ w["U"].T
-        if self.share is not None:
-            g["L"], g["l"] = np.zeros_like(w["L"]), np.zeros_like(w["l"])
-            m2, dm2, leaf = flat2(m), flat2(dm), leaf.ravel()
-            for i, at, z, hit in self.leaves(m2, targets.ravel(), leaf):
-                loss -= float(hit.sum()) / n
-                dl = np.exp(z)
-                dl[np.arange(len(at)), leaf[at]] -= 1
-                dl /= np.float32(n)
-                g["L"][i], g["l"][i] = m2[at].T @ dl, dl.sum(0)
-                dm2[at] += (dl @ w["L"][i].T).astype(np.float32)
-            dm = dm2.reshape(dm.shape)
-        g["B"] = flat2(u).T @ flat2(dm)
-        du = (dm @ w["B"].T) * (u > 0)
-        g["A"], g["a"] = flat2(h).T @ flat2(du), flat2(du).sum(0)
-        dh = dm + du @ w["A"].T
-        g["O"] = flat2(r).T @ flat2(dh)
+        x, xq, q, k, v, s, mass, r, h, u, m = self.state(inputs)
+        there, known, symbol, tail, leaf, ends = self.outputs(m, targets)
+        n = max(len(there), 1)
+        rows = np.arange(len(there))
+        z = known @ np.concatenate((w["U"], w["c"][None]))
+        hit = z[rows, symbol]
+        _exp(z)
+        total = z @ _ones(z.shape[1])
+        loss = float(np.log(total).sum()) - float(hit.sum())
+        z *= 1 / (total * np.float32(n))
+        z[rows, symbol] -= np.float32(1 / n)
+        slope = known.T @ z
+        g = {"U": slope[:-1], "c": slope[-1], "L": np.zeros_like(w["L"]), "l": np.zeros_like(w["l"])}
+        dmt = z @ w["U"].T
+        if len(tail):
+            own = known[tail]
+            y = self.leaves(own, ends)
+            inner = np.arange(len(tail))
+            hit = y[inner, leaf]
+            _exp(y)
+            total = y @ _ones(y.shape[1])
+            loss += float(np.log(total).sum()) - float(hit.sum())
+            y *= 1 / (total * np.float32(n))
+            y[inner, leaf] -= np.float32(1 / n)
+            back, begin = np.empty((len(tail), WIDTH), np.float32), 0
+            for i, end in enumerate(ends.tolist()):
+                if begin < end:
+                    slope = own[begin:end].T @ y[begin:end]
+                    g["L"][i], g["l"][i] = slope[:-1], slope[-1]
+                    np.matmul(y[begin:end], w["L"][i].T, out=back[begin:end])
+                begin = end
+            dmt[tail] += back
+        if len(there) == len(m):
+            dm = dmt
+        else:
+            dm = np.zeros_like(m)
+            dm[there] = dmt
+        b = len(inputs)
+        g["B"] = u.T @ dm
+        du = dm @ w["B"].T
+        du *= u > 0
+        g["A"], g["a"] = h.T @ du, du.sum(0)
+        dh = du @ w["A"].T
+        dh += dm
+        g["O"] = r.T @ dh
         dr = dh @ w["O"].T
-        ds, dv = dr @ v.transpose(0, 2, 1), s.transpose(0, 2, 1) @ dr
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
-        dq, dk = ds @ k * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ q
-        g["Q"], g["K"], g["V"] = flat2(xq).T @ flat2(dq), flat2(x).T @ flat2(dk), flat2(x).T @ flat2(dv)
-        dx = dk @ w["K"].T + dv @ w["V"].T
-        dx[:, CONTEXT:] += dh + dq @ w["Q"].T
+        # s is not normalised: with y = s v / mass, ds = s (dr v' - dr y) / mass
+        inner = (dr * r).sum(axis=1, keepdims=True)
+        dr3 = dr.reshape(b, STRIDE, WIDTH)
+        ds = dr3 @ v.transpose(0, 2, 1)
+        ds -= inner.reshape(b, STRIDE, 1)
+        s /= mass.reshape(b, STRIDE, 1)
+        ds *= s
+        dv = (s.transpose(0, 2, 1) @ dr3).reshape(-1, WIDTH)
+        dk = (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
+        dq = (ds @ k).reshape(-1, WIDTH)
+        dq *= np.float32(WIDTH**-0.5)
+        flat = x.reshape(-1, WIDTH)
+        g["Q"], g["K"], g["V"] = xq.T @ dq, flat.T @ dk, flat.T @ dv
+        dx = dk @ w["K"].T
+        dx += dv @ w["V"].T
+        dh += dq @ w["Q"].T
+        dx = dx.reshape(b, W, WIDTH)
+        dx[:, CONTEXT:] += dh.reshape(b, STRIDE, WIDTH)
         g["P"] = dx.sum(0)
         flat_in = inputs.ravel()
-        g["E"] = np.stack([np.bincount(flat_in, dx[..., i].ravel(), len(w["E"])) for i in range(WIDTH)], axis=1)
-        return loss, np.concatenate([g[key].ravel() for key in self.shapes]).astype(np.float32)
-
-    def train(self, symbols: Symbols, windows: np.ndarray, rate: float = RATE, batch: int = BATCH) -> float:
-        """One pass by Adam over windows (inputs, then targets); the mean loss on the way."""
+        order = np.argsort(flat_in, kind="stable")
+        sorted_ = flat_in[order]
+        edge = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+        g["E"] = np.zeros_like(w["E"])
+        g["E"][sorted_[edge]] = np.add.reduceat(dx.reshape(-1, WIDTH).take(order, axis=0), edge, axis=0)
+        return loss / n, np.concatenate([g[key].ravel() for key in self.shapes])
+
+    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """The log-probability of each target unit, row by row without those that are none."""
+        m = self.state(inputs)[-1]
+        there, known, symbol, tail, leaf, ends = self.outputs(m, targets)
+        z = known @ np.concatenate((self.w["U"], self.w["c"][None]))
+        out = z[np.arange(len(there)), symbol]
+        _exp(z)
+        out -= np.log(z @ _ones(z.shape[1]))[:, 0]
+        if len(tail):
+            y = self.leaves(known[tail], ends)
+            hit = y[np.arange(len(tail)), leaf]
+            _exp(y)
+            out[tail] += hit - np.log(y @ _ones(y.shape[1]))[:, 0]
+        return out
+
+    def train(self, inputs: np.ndarray, targets: np.ndarray, rate: float = RATE, batch: int = BATCH) -> float:
+        """One pass by Adam over windows; the mean loss on the way."""
         first, second, losses = np.zeros_like(self.flat), np.zeros_like(self.flat), []
-        steps = range(0, len(windows), batch)
+        steps = range(0, len(inputs), batch)
         for i, a in enumerate(steps, 1):
-            inputs, target = windows[a : a + batch, :W], windows[a : a + batch, W:]
-            ids = np.maximum(target, 0)
-            loss, slope = self.loss_and_slope(symbols.inputs(inputs), np.where(target >= 0, symbols.of[ids], -1), symbols.leaf[ids])
-            first += 0.1 * (slope - first)
-            second += 0.01 * (slope * slope - second)
+            loss, slope = self.loss_and_slope(inputs[a : a + batch], targets[a : a + batch])
+            first += np.float32(0.1) * (slope - first)
+            slope *= slope
+            second += np.float32(0.01) * (slope - second)
             step = rate * (1 - (i - 1) / len(steps)) / (1 - 0.9**i)
-            self.flat -= (step * first / (np.sqrt(second / (1 - 0.99**i)) + 1e-8)).astype(np.float32)
+            np.divide(second, np.float32(1 - 0.99**i), out=slope)
+            np.sqrt(slope, out=slope)
+            slope += np.float32(1e-8)
+            np.divide(first, slope, out=slope)
+            slope *= np.float32(step)
+            self.flat -= slope
             losses.append(loss)
         return float(np.mean(losses)) if losses else 0.0
 
 
-def _encode(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
-    encode = encoder(path).encode_to_numpy
-    parts = [encode(t, allowed_special=set(), disallowed_special=()).astype(np.int64) if t else np.empty(0, np.int64) for t in texts]
-    return np.concatenate([*parts, np.empty(0, np.int64)]), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
-
+def _gather(path: str):
+    """Rows (doc, row, piece, tokens, ids, counts): every document's ids in pieces, and counts of all ids.
 
-def _gather(path: str, every: int):
-    """Rows (doc, tokens, chosen, ids, counts): every document's ids and the numbers of its training blocks (null: all), and counts of all ids."""
+    ``row`` numbers the rows of a task; ``tokens`` has ``LEAD`` ids before those of the piece.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = {"doc": pa.int64(), "tokens": pa.binary(), "chosen": pa.list_(pa.int32()), "ids": pa.list_(pa.int32()), "counts": pa.list_(pa.int64())}
-        total, small = np.zeros(0, np.int64), narrow(path)
+        fields = {"doc": pa.int64(), "row": pa.int64(), "piece": pa.int32(), "tokens": pa.binary(), "ids": pa.list_(pa.int32()), "counts": pa.list_(pa.int64())}
+        small, size, encode = narrow(path), size_of(path), encoder(path).encode_to_numpy
+        total, seen, none = np.zeros(size + 2, np.int64), 0, np.empty(0, np.uint32)
+        lead = np.array([size + 1] * CONTEXT + [size], np.uint32)
 
         def rows_of(n: int, **columns) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(n, kind) for k, kind in fields.items()], list(fields))
 
-        for whole in batches:
-            for a in range(0, whole.num_rows, 128):
-                part = whole.slice(a, 128)
-                ids, first = _encode(part.column(1).to_pylist(), path)
-                seen = np.bincount(ids)
-                if len(seen) > len(total):
-                    total, seen = seen, total
-                total[: len(seen)] += seen
-                chosen = None
-                if every > 1:
-                    steps = [np.arange(0, -(-n // STRIDE), every) for n in np.diff(first)]
-                    salt = part.column(0).to_numpy()
-                    chosen = pa.array([(x + (x * 7 + k % 1009) % np.minimum(every, -(-n // STRIDE) - x)).tolist() for x, k, n in zip(steps, salt, np.diff(first))], fields["chosen"])
-                short = ids.astype(small)
-                yield rows_of(len(part), doc=part.column(2), **({} if chosen is None else {"chosen": chosen}), tokens=pa.array([short[i:j].tobytes() for i, j in zip(first, first[1:])], pa.binary()))
-        used = np.flatnonzero(total)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 128):
+                chunk = batch.slice(begin, 128)
+                each = [encode(t, allowed_special=set(), disallowed_special=()) if t else none for t in chunk.column(1).to_pylist()]
+                # a lead for each row, so that a piece and its own is one stretch
+                led = np.concatenate([x for ids in each for x in (lead, ids)]).astype(small)
+                total += np.bincount(led, minlength=size + 2)
+                sizes = np.array([len(x) for x in each], np.int64)
+                start = np.cumsum(sizes + LEAD) - sizes - LEAD
+                parts = np.maximum(-(-sizes // PIECE), 1)
+                row = np.repeat(np.arange(len(chunk)), parts)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                a = start[row] + PIECE * piece
+                b = np.minimum(a + LEAD + PIECE, (start + LEAD + sizes)[row])
+                if (parts == 1).all():
+                    ends, flat = np.append(a, len(led)), led
+                else:
+                    ends, flat = np.concatenate(([0], np.cumsum(b - a))), ragged(led, a, b - a)
+                if int(ends[-1]) * small().itemsize >= 1 << 31:
+                    raise ValueError("a text of more than 2 GB of ids")
+                packed = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((ends * small().itemsize).astype(np.int32)), pa.py_buffer(flat)])
+                yield rows_of(len(row), doc=chunk.column(0).take(pa.array(row)), row=pa.array(row + seen), piece=pa.array(piece.astype(np.int32)), tokens=packed)
+                seen += len(chunk)
+        used = np.flatnonzero(total[:size])
         yield rows_of(1, ids=pa.array([used.tolist()], fields["ids"]), counts=pa.array([total[used].tolist()], fields["counts"]))
 
     return run
 
 
-def training(tokens: list[bytes], chosen: list[list[int] | None], kind: type, number: int, rounds: int) -> np.ndarray:
-    """A round's windows (inputs, then targets) of documents: every ``rounds``-th one, so that all rounds together have each once."""
-    parts = [np.frombuffer(x, kind) for x in tokens]
-    first = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64)
-    doc, inputs, targets = windows(np.concatenate([*parts, np.empty(0, kind)]).astype(np.int32), first)
-    start = np.searchsorted(doc, np.arange(len(parts) + 1))
-    if any(x is not None for x in chosen):
-        at = np.concatenate([np.arange(i, j) if x is None else i + np.array(x, np.int64) for x, i, j in zip(chosen, start, start[1:])])
-    else:
-        at = np.arange(len(doc))
-    # short documents' blocks are spread over the rounds by what they hold
-    turn = (at - start[doc[at]] + np.array([zlib.crc32(x) for x in tokens], np.int64)[doc[at]]) % rounds
-    at = at[turn == number]
-    return np.concatenate((inputs[at], targets[at]), axis=1)
+def units_of(tokens: pa.Array, kind: type, symbols: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units of pieces end to end, where each starts (n + 1 of them), and the log-probability of each id within its unit."""
+    tokens = tokens.cast(pa.large_binary())
+    _, offsets, data = tokens.buffers()
+    at = np.frombuffer(offsets, np.int64)[tokens.offset : tokens.offset + len(tokens) + 1]
+    ids = np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind)
+    return symbols.of[ids], (at - at[0]) // np.dtype(kind).itemsize, symbols.rest[ids]
 
 
-def _replica(symbols: Symbols, flat: np.ndarray, kind: type, number: int, rounds: int):
+def _replica(symbols: Symbols, flat: np.ndarray, kind: type, round_: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = [np.empty((0, W + STRIDE), np.int32)]
+        inputs, targets = [np.empty((0, W), symbols.of.dtype)], [np.empty((0, STRIDE), symbols.of.dtype)]
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                both.append(training(part.column(0).to_pylist(), part.column(1).to_pylist(), kind, number, rounds))
-        both = np.concatenate(both)
-        if not len(both):
+            if batch.num_rows:
+                units, first, _ = units_of(batch.column(0), kind, symbols)
+                _, x, y = windows(units, first, symbols.units + 1)
+                inputs.append(x)
+                targets.append(y)
+        x, y = np.concatenate(inputs), np.concatenate(targets)
+        if not len(x):
             return
-        both = both[np.random.default_rng(number).permutation(len(both))]
-        model = Model(symbols.n, flat.copy(), share=symbols.share)
-        loss = model.train(symbols, both)
-        yield _row(model.flat, len(both), loss, int(both[0].sum()))
+        number_ = TaskContext.get().partitionId()
+        _keep_heap()
+        order = np.random.default_rng([round_, number_]).permutation(len(x))
+        model = Model(symbols, flat.copy())
+        loss = model.train(x[order], y[order])
+        yield _row(model.flat, len(x), loss, number_)
 
     return run
 
@@ -310,35 +414,40 @@ def _row(flat: np.ndarray, weight: float, loss: float, key: int) -> pa.RecordBat
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["key"], r["weight"]))
+    rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["key"])
     total = sum(r["weight"] for r in rows)
     if total:
         yield _row(sum(np.frombuffer(r["flat"], np.float32).astype(float) * (r["weight"] / total) for r in rows), total, sum(r["loss"] * r["weight"] / total for r in rows), rows[0]["key"])
 
 
-def gather(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY, every: int = EVERY) -> DataFrame:
-    """What one pass over the texts leaves in the checkpoint folder: ids of all documents, their training blocks, and counts."""
-    keyed = docs.where(col(text).isNotNull()).select(F.abs(F.xxhash64(col(doc_id), F.length(col(text)))).alias("salt"), col(text).alias("t"), col(doc_id).cast("long").alias("doc"))
-    return cut(keyed.mapInArrow(_gather(path, every), "doc long, tokens binary, chosen array<int>, ids array<int>, counts array<bigint>"))
+def gather(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """What one pass over the texts leaves in the checkpoint folder: ids of all documents, and counts."""
+    keyed = docs.where(col(text).isNotNull()).select(number(docs, doc_id).alias("doc"), col(text).alias("t"))
+    return cut(keyed.mapInArrow(_gather(path), "doc long, row long, piece int, tokens binary, ids array<int>, counts array<bigint>"))
+
 
+def deal(gathered: DataFrame, path: str, round_: int, rounds: int, parts: int) -> DataFrame:
+    """The pieces that a round trains on, one partition a replica. Copies of a text have ids of their own, so they are spread over both."""
+    some = gathered.where(F.length("tokens") > LEAD * np.dtype(narrow(path)).itemsize).withColumn("key", F.xxhash64("doc", "piece", "tokens"))
+    share = some.where(F.pmod("key", F.lit(rounds)) == round_).select("key", "tokens")
+    return share.repartition(parts, F.xxhash64("key", F.lit(round_))).sortWithinPartitions("key").select("tokens")
 
-def fit(gathered: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS) -> tuple[Symbols, np.ndarray, list[float]]:
+
+def fit(gathered: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS, replica: int = REPLICA) -> tuple[Symbols, np.ndarray, list[float]]:
     """The symbols, the trained parameters, and the mean training loss of each round, from what ``gather`` left."""
     pairs = gathered.where("ids is not null").select(F.explode(F.arrays_zip("ids", "counts")).alias("p")).groupBy("p.ids").agg(F.sum("p.counts").alias("n")).collect()  # as many as the vocabulary has
-    counts = np.zeros(encoder(path).max_token_value + 1, np.int64)
+    counts = np.zeros(size_of(path), np.int64)
     for i, n in pairs:
         counts[i] = n
     symbols = Symbols.fit(counts)
-    flat, losses = Model(symbols.n, share=symbols.share).flat, []
+    flat, losses = Model(symbols).flat, []
     kind = "flat binary, weight double, loss double, key long"
-    # replicas get documents from all over the corpus, not those of one file
-    parts = max(1, gathered.rdd.getNumPartitions())
-    blocks = cut(gathered.where("length(tokens) > 0").select("tokens", "chosen").repartition(parts, F.xxhash64("tokens")))
-    for number in range(rounds):
-        level, left = blocks.mapInArrow(_replica(symbols, flat, narrow(path), number, rounds), kind), parts
+    parts = max(1, round(int(counts.sum()) / (STRIDE * rounds * replica)))
+    for round_ in range(rounds):
+        level, left = deal(gathered, path, round_, rounds, parts).mapInArrow(_replica(symbols, flat, narrow(path), round_), kind), parts
         while left > 1:
             left = -(-left // FAN_IN)
-            level = level.repartition(left, F.abs(F.col("key")) % left).mapInArrow(_average, kind)
+            level = level.repartition(left, F.col("key") % left).mapInArrow(_average, kind)
         got = level.first()
         if got is None:
             continue
@@ -347,56 +456,53 @@ def fit(gathered: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS) -> tu
     return symbols, flat, losses
 
 
-def log_probabilities(model: Model, symbols: Symbols, ids: np.ndarray, first: np.ndarray, batch: int = 64) -> np.ndarray:
-    """The log-probability of every token of documents laid end to end, each given the tokens before it in its window."""
-    out = np.empty(len(ids), np.float32)
-    doc, inputs, goal = windows(symbols.of[ids], first, symbols.n, symbols.n + 1)
-    got = np.empty(goal.shape, np.float32)
-    there = goal >= 0
-    if model.share is not None:
-        leaf = np.zeros(goal.shape, np.int64)
-        leaf[there] = symbols.leaf[ids]
-    rows, places = np.arange(batch)[:, None], np.arange(STRIDE)[None]
-    for a in range(0, len(doc), batch):
-        z, total, m = model.forward(inputs[a : a + batch])
-        here = z[rows[: len(z)], places, goal[a : a + batch]] - total
-        if model.share is not None:
-            flat = here.reshape(-1)
-            for _, at, _, hit in model.leaves(m.reshape(-1, WIDTH), goal[a : a + batch].ravel(), leaf[a : a + batch].ravel()):
-                flat[at] += hit
-        got[a : a + batch] = here
-    # windows run through each document in order, so their targets do too
-    out[:] = got[there]
-    return out + (symbols.within if model.share is None else symbols.rest)[ids]
-
-
 def score(gathered: DataFrame, symbols: Symbols, flat: np.ndarray, path: str = VOCABULARY) -> DataFrame:
     """Rows (doc_id, n_tokens, log_prob, mean_nll, perplexity), one a document that ``gather`` saw."""
-    small = narrow(path)
+    kind = narrow(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(symbols.n, flat, share=symbols.share)
-        for whole in batches:
-            for a in range(0, whole.num_rows, 64):
-                part = whole.slice(a, 64)
-                parts = [np.frombuffer(x, small) for x in part.column(1).to_pylist()]
-                first = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64)
-                ids = np.concatenate(parts).astype(np.int64)
-                sums = np.concatenate(([0.0], np.cumsum(log_probabilities(model, symbols, ids, first), dtype=float)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), pa.array(sums[first[1:]] - sums[first[:-1]])], ["doc_id", "n_tokens", "log_prob"])
-
-    scored = gathered.where("tokens is not null").select("doc", "tokens").mapInArrow(run, "doc_id long, n_tokens long, log_prob double")
-    mean = F.when(F.col("n_tokens") > 0, -F.col("log_prob") / F.col("n_tokens"))
-    return scored.withColumn("mean_nll", mean).withColumn("perplexity", F.exp("mean_nll"))
-
-
-def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY, rounds: int = ROUNDS, every: int = EVERY) -> DataFrame:
+        _keep_heap()
+        model, held = Model(symbols, flat), []
+
+        def rows(done: list[list]) -> pa.RecordBatch:
+            doc, _, n, log_prob = zip(*done) if done else ((),) * 4
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(log_prob, pa.float64())], ["doc_id", "n_tokens", "log_prob"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            units, first, rest = units_of(batch.column(2), kind, symbols)
+            piece, inputs, targets = windows(units, first, symbols.units + 1)
+            found = [model.log_probabilities(inputs[a : a + BATCH], targets[a : a + BATCH]) for a in range(0, len(piece), BATCH)]
+            target = np.ones(len(units), bool)
+            target[(first[:-1, None] + np.arange(LEAD)).ravel()] = False
+            sums = np.concatenate(([0.0], np.cumsum(np.concatenate([*found, np.empty(0, np.float32)]).astype(float) + rest[target])))
+            ends = first - LEAD * np.arange(len(first))
+            for doc, row, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                if held and held[-1][1] == row:  # a further piece of the same document
+                    held[-1][2] += b - a
+                    held[-1][3] += sums[b] - sums[a]
+                else:
+                    held.append([doc, row, b - a, sums[b] - sums[a]])
+            if len(held) > 1:
+                yield rows(held[:-1])
+                held = held[-1:]
+        yield rows(held)
+
+    scored = gathered.where("tokens is not null").select("doc", "row", "tokens").mapInArrow(run, "doc_id long, n_tokens long, log_prob double")
+    log_prob = F.round("log_prob", 3)  # what is left of floating point's order of summation
+    return scored.withColumn("log_prob", log_prob).withColumn("mean_nll", F.when(F.col("n_tokens") > 0, -F.col("log_prob") / F.col("n_tokens"))).withColumn("perplexity", F.exp("mean_nll"))
+
+
+def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY, rounds: int = ROUNDS, replica: int = REPLICA) -> DataFrame:
     """Trains on the documents and scores each of them: one row (doc_id, n_tokens, log_prob, mean_nll, perplexity) a row of ``docs``.
 
     A null text has nulls; an empty one no tokens, log_prob 0 and no mean. Repeated
-    rows score alike; other columns are left aside.
+    rows score alike, as do equal texts under any ids, null ones included (log_prob to about a thousandth). A text of any length is
+    trained on and scored whole, in pieces of ``PIECE`` tokens that know what came before (up to 2 GB of ids).
+    An empty table gives an empty one; other columns are left aside.
     """
-    gathered = gather(docs, doc_id, text, path, every)
-    symbols, flat, _ = fit(gathered, path, rounds)
-    without = docs.where(col(text).isNull()).select(col(doc_id).cast("long").alias("doc_id"), *(F.lit(None).cast(kind).alias(c) for c, kind in (("n_tokens", "long"), ("log_prob", "double"), ("mean_nll", "double"), ("perplexity", "double"))))
+    gathered = gather(docs, doc_id, text, path)
+    symbols, flat, _ = fit(gathered, path, rounds, replica)
+    without = docs.where(col(text).isNull()).select(number(docs, doc_id).alias("doc_id"), *(F.lit(None).cast(kind).alias(c) for c, kind in (("n_tokens", "long"), ("log_prob", "double"), ("mean_nll", "double"), ("perplexity", "double"))))
     return score(gathered, symbols, flat, path).union(without)

@@ -54,6 +54,12 @@ def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
 
 
+def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[start : start + size] for each pair, end to end."""
+    ends = np.cumsum(sizes)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
 @dataclass
 class Chunk:
     """Consecutive rows of a batch: ``offsets[i]:offsets[i + 1]`` of ``data`` is the text of row ``first + i``."""
