@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, compression, line_dedup, lm_score, mixing, quality, recompress, simhash, suffix_dedup, topk
+from factloom.llm import bpe, compression, line_dedup, lm_score, mixing, quality, recompress, repeats, simhash, suffix_dedup, topk
 from factloom.llm.common import table
 
 
@@ -72,4 +72,4 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_line_dedup": op10_line_dedup,
 }
-SQL: dict[str, str] = {"op2_mixing": mixing.mix_sql(), "op4_topk": topk.TOP_K_SQL, "op10_line_dedup": line_dedup.LINE_SQL}
+SQL: dict[str, str] = {"op2_mixing": mixing.mix_sql(), "op4_topk": topk.TOP_K_SQL, "op5_suffix_dedup": repeats.REPEATS_SQL, "op8_recompression": repeats.REPEATS_SQL, "op10_line_dedup": line_dedup.LINE_SQL}

@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from factloom.llm.repeats import MIN_WORDS, Anchors, long_repeats
+from factloom.llm.repeats import HOT, MIN_WORDS, Anchors, long_repeats
 from factloom.llm.textkit import U, mix
 
 GROWN, ROUNDS = 8, 24
@@ -75,11 +75,11 @@ def interior_anchors(grown: int = GROWN, rounds: int = ROUNDS, edge: int = EDGE)
     return choose
 
 
-def recompression_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, grown: int = GROWN) -> DataFrame:
+def recompression_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, grown: int = GROWN, hot: int = HOT) -> DataFrame:
     """Stretches of ``min_words`` or more words that two documents share (see ``long_repeats``).
 
     ``grown`` is the length in words from which a symbol is interior. A text of fewer
     words than that shares nothing; an empty table gives no rows.
     """
     # the anchor itself is `grown` words of the stretch
-    return long_repeats(docs, interior_anchors(grown, edge=max(EDGE, 2 * min_words)), left=max(1, min_words - grown), right=min_words, doc_id=doc_id, text=text, min_words=min_words)
+    return long_repeats(docs, interior_anchors(grown, edge=max(EDGE, 2 * min_words)), left=max(1, min_words - grown), right=min_words, doc_id=doc_id, text=text, min_words=min_words, hot=hot)

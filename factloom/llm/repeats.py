@@ -13,7 +13,9 @@ stands. The operators differ in how they choose and name anchors; from there on:
 4. extents of ``min_words`` or more are joined up within each document.
 
 Every step is linear in the anchors, up to sorting: a passage that thousands of documents
-share is grouped, not compared pairwise. The anchors of one name are in a task's memory at once.
+share is grouped, not compared pairwise. The anchors of a name are grouped in a task's memory, if there
+are at most ``HOT`` of them. Those of a hotter name become rows, one a split, that Spark groups by
+a hash of name and split; partial sums on the way take the heat out of it.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import col, cut
+from factloom.llm.common import col, cut, number
 from factloom.llm.textkit import U, Chunk, chunks, mix, word_hashes
 
 MIN_WORDS = 50
+#: Anchors of one name that a task groups in memory at most (some 6 MB of context); a name with more is grouped by Spark.
+HOT = 1 << 14
 
 #: Gets a chunk's word hashes and each row's first word; gives positions (word numbers in the chunk) and names.
 Anchors = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -54,9 +58,8 @@ def _name(anchors: Anchors, min_words: int):
     return run
 
 
-def windows(hashes: np.ndarray, first: np.ndarray, row: np.ndarray, at: np.ndarray, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit word codes before each position, nearest first, and from it on; 0 outside the row."""
-    codes = np.append((mix(hashes) >> U(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
+def windows(codes: np.ndarray, first: np.ndarray, row: np.ndarray, at: np.ndarray, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of word codes (and a 0 after all of them) those before each position, nearest first, and those from it on; 0 outside the row."""
     back = at[:, None] - 1 - np.arange(left)
     ahead = at[:, None] + np.arange(right)
     none = len(codes) - 1
@@ -64,24 +67,25 @@ def windows(hashes: np.ndarray, first: np.ndarray, row: np.ndarray, at: np.ndarr
 
 
 def _context(left: int, right: int):
-    """Rows (d, g, text, positions, names): one row an anchor with its context."""
+    """Rows (d, g, text, positions, names, hot): one row an anchor with its context, 32-bit codes of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(2)):
                 hashes, first = word_hashes(chunk)
+                codes = np.append((mix(hashes) >> U(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
                 part = batch.slice(chunk.first, len(chunk))
                 lists = part.column(3)
                 counts = pa.compute.list_value_length(lists).to_numpy()
                 row = np.repeat(np.arange(len(chunk)), counts)
                 pos = lists.flatten().to_numpy()
-                names = part.column(4).flatten()
+                names, hot = part.column(4).flatten(), part.column(5).flatten()
                 for a in range(0, len(row), 4096):
                     r, p = row[a : a + 4096], pos[a : a + 4096]
-                    before, after = windows(hashes, first, r, first[r] + p, left, right)
+                    before, after = windows(codes, first, r, first[r] + p, left, right)
                     binary = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * 4), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary()) for x in (before, after)]
                     take = pa.array(r)
-                    yield pa.RecordBatch.from_arrays([names.slice(a, 4096), part.column(0).take(take), part.column(1).take(take), pa.array(p.astype(np.int32)), *binary], ["name", "d", "g", "pos", "before", "after"])
+                    yield pa.RecordBatch.from_arrays([names.slice(a, 4096), part.column(0).take(take), part.column(1).take(take), pa.array(p.astype(np.int32)), *binary, hot.slice(a, 4096)], ["name", "d", "g", "pos", "before", "after", "hot"])
 
     return run
 
@@ -93,21 +97,13 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(data, np.uint32, len(column) * width, int(start)).reshape(len(column), width) if len(column) else np.zeros((0, width), np.uint32)
 
 
-def _extents(name: np.ndarray, d: np.ndarray, g: np.ndarray, pos: np.ndarray, before: np.ndarray, after: np.ndarray, min_words: int) -> list[np.ndarray]:
-    """For each anchor that shares ``min_words`` around it with another document: d, g, start, stop, the least other document, where it starts there."""
-    order = np.lexsort((pos, g, d))
-    name, d, g, pos, before, after = (x[order] for x in (name, d, g, pos, before, after))
-    n = len(name)
-    other_doc = np.ones(n, bool)
-    other_doc[1:] = (d[1:] != d[:-1]) | (g[1:] != g[:-1])
-    unit = np.cumsum(other_doc)
+def _splits(name: np.ndarray, before: np.ndarray, after: np.ndarray, min_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each split of ``min_words``: how many words lie left of the anchor, the rows that have so many on either side, and the hash of name, split and words of these."""
     ahead, key = [], mix(name.view(U))
     for b in range(after.shape[1]):
         key = mix(key * U(0xA0761D6478BD642F) + after[:, b].astype(U))
         ahead.append(key)
-    behind = np.zeros(n, U)
-    least, most = np.full(n, np.iinfo(np.int32).max, np.int64), np.full(n, -1, np.int64)
-    other, place = np.full(n, n), np.zeros(n, np.int64)
+    behind = np.zeros(len(name), U)
     for a in range(min(before.shape[1], min_words - 1) + 1):
         if a:
             behind = mix(behind * U(0xD6E8FEB86659FD93) + before[:, a - 1].astype(U))
@@ -115,9 +111,21 @@ def _extents(name: np.ndarray, d: np.ndarray, g: np.ndarray, pos: np.ndarray, be
         if b > after.shape[1]:
             continue
         there = np.flatnonzero((after[:, b - 1] != 0) & ((before[:, a - 1] != 0) if a else True))
-        if not len(there):
-            continue
-        key = mix(ahead[b - 1][there] ^ mix(behind[there] + U(a)))
+        if len(there):
+            yield a, there, mix(ahead[b - 1][there] ^ mix(behind[there] + U(a)))
+
+
+def _extents(name: np.ndarray, d: np.ndarray, g: np.ndarray, pos: np.ndarray, before: np.ndarray, after: np.ndarray, min_words: int) -> list[np.ndarray]:
+    """For each anchor that shares ``min_words`` around it with another document: d, g, start, stop, the least other document, the first place there that is shared."""
+    order = np.lexsort((pos, g, d))
+    name, d, g, pos, before, after = (x[order] for x in (name, d, g, pos, before, after))
+    n = len(name)
+    other_doc = np.ones(n, bool)
+    other_doc[1:] = (d[1:] != d[:-1]) | (g[1:] != g[:-1])
+    unit = np.cumsum(other_doc)
+    least, most = np.full(n, np.iinfo(np.int32).max, np.int64), np.full(n, -1, np.int64)
+    other, place, at = np.full(n, n + 1), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for a, there, key in _splits(name, before, after, min_words):
         along = np.argsort(key, kind="stable")  # within a group by document and place
         row, key = there[along], key[along]
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -128,11 +136,35 @@ def _extents(name: np.ndarray, d: np.ndarray, g: np.ndarray, pos: np.ndarray, be
         row, group, differs = row[shared], group[shared], differs[shared]
         least[row], most[row] = np.minimum(least[row], a), a
         met = np.where(differs, there[along][start[group]], there[along][np.minimum(second[group], len(along) - 1)])
-        nearer = met < other[row]
-        other[row[nearer]] = met[nearer]
-        place[row[nearer]] = pos[met[nearer]] - a
+        begin = pos[met] - a
+        nearer = (unit[met] < other[row]) | (unit[met] == other[row]) & (begin < place[row])
+        row, met, begin = row[nearer], met[nearer], begin[nearer]
+        other[row], place[row] = unit[met], begin
+        at[row] = met
     x = np.flatnonzero(most >= 0)
-    return [d[x], g[x], pos[x] - most[x], pos[x] + min_words - least[x], d[other[x]], place[x]]
+    return [d[x], g[x], pos[x] - most[x], pos[x] + min_words - least[x], d[at[x]], place[x]]
+
+
+def _keyed(left: int, right: int, min_words: int):
+    """Rows (key, d, g, start): every stretch of ``min_words`` around an anchor, keyed by its name, split and words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            name, d, g, pos = (batch.column(i).to_numpy() for i in range(4))
+            for a, there, key in _splits(name, _matrix(batch.column(4), left), _matrix(batch.column(5), right), min_words):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), d[there], g[there], (pos[there] - a).astype(np.int32))], ["key", "d", "g", "start"])
+
+    return run
+
+
+def _hot_extents(context: DataFrame, left: int, right: int, min_words: int) -> DataFrame:
+    """What ``_extents`` finds, by Spark's groupings."""
+    keyed = context.mapInArrow(_keyed(left, right, min_words), "key long, d long, g long, start int")
+    unit = F.struct("d", "g", "start")
+    met = keyed.groupBy("key").agg(F.min(unit).alias("one"), F.max(unit).alias("last")).where("one.d <> last.d or one.g <> last.g")
+    both = keyed.join(met, "key")
+    own = (F.col("one.d") == F.col("d")) & (F.col("one.g") == F.col("g"))
+    return both.select("d", "g", "start", (F.col("start") + min_words).alias("stop"), F.when(own, F.col("last.d")).otherwise(F.col("one.d")).alias("other"), F.when(own, F.col("last.start")).otherwise(F.col("one.start")).alias("other_start"))
 
 
 def _compare(left: int, right: int, min_words: int):
@@ -163,34 +195,59 @@ def _compare(left: int, right: int, min_words: int):
     return run
 
 
-def long_repeats(docs: DataFrame, anchors: Anchors, left: int, right: int, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def long_repeats(docs: DataFrame, anchors: Anchors, left: int, right: int, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, hot: int = HOT) -> DataFrame:
     """Rows (doc_id, start_word, end_word, n_words, other_doc_id, other_start_word): the stretches of a document,
     of ``min_words`` or more, that stand in another document too.
 
-    ``other`` is a document that shares part of the stretch: the one with the least
-    id, and where that part starts in it. Rows of one id and text are
+    ``other`` is the document with the least id that shares ``min_words`` or more of the stretch, and where the
+    first such part starts in it. Rows of one id and text are
     one document; other texts under one id are documents of their own. Null ids and
-    null texts take no part.
+    null texts take no part, and other columns of ``docs``, whatever their names, are left aside.
+    A text of any length is taken whole.
     """
-    units = docs.select(col(doc_id).cast("long").alias("d"), F.xxhash64(col(text)).alias("g"), col(text).alias("t")).where("d is not null and t is not null")
+    units = docs.select(number(docs, doc_id).alias("d"), F.xxhash64(col(text)).alias("g"), col(text).alias("t")).where("d is not null and t is not null")
     rows = cut(units.mapInArrow(_name(anchors, min_words), "d long, g long, pos int, name long"))
-    texts = rows.where("pos < 0").groupBy("g", (-F.col("pos")).alias("n")).agg(F.min("d").alias("d"), F.max("d").alias("last"))
+    units_ = rows.where("pos < 0").select("d", "g", (-F.col("pos")).alias("n")).distinct()
+    texts = units_.groupBy("g", "n").agg(F.min("d").alias("d"), F.max("d").alias("last"))
     named = rows.where("pos >= 0")
-    shared = named.groupBy("name").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("name")
-    kept = named.join(shared, "name", "left_semi").select("g", "pos", "name").distinct()
-    places = kept.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("p")).select("g", F.col("p.pos").alias("pos"), F.col("p.name").alias("names"))
+    shared = cut(named.groupBy("name").agg(F.min("g").alias("a"), F.max("g").alias("b"), F.count("*").alias("n")).where("a <> b").select("name", (F.col("n") > hot).alias("hot")))
+    kept = named.join(shared, "name").select("g", "pos", "name", "hot").distinct()
+    places = kept.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "hot"))).alias("p")).select("g", *(F.col(f"p.{c}").alias(c) for c in ("pos", "name", "hot")))
     first = places.join(texts.select("g", "d"), "g")
-    once = units.join(first.hint("shuffle_hash"), ["d", "g"]).select("d", "g", "t", "pos", "names")
-    context = once.mapInArrow(_context(left, right), "name long, d long, g long, pos int, before binary, after binary")
-    ordered = context.repartition("name").sortWithinPartitions("name")
+    once = units.join(first.hint("shuffle_hash"), ["d", "g"]).select("d", "g", "t", "pos", "name", "hot")
+    context = once.mapInArrow(_context(left, right), "name long, d long, g long, pos int, before binary, after binary, hot boolean")
+    ordered = context.where("not hot").drop("hot").repartition("name").sortWithinPartitions("name")
     extents = ordered.mapInArrow(_compare(left, right, min_words), "d long, g long, start int, stop int, other long, other_start int")
-    # a text that several documents have: each of them as a whole, with the first (the first with the last)
-    copied = rows.where("pos < 0").select("d", "g").distinct().join(texts.where("d <> last").select("g", "n", F.col("d").alias("one"), "last"), "g")
-    copies = copied.select("d", "g", F.lit(0).alias("start"), F.col("n").alias("stop"), F.when(F.col("d") == F.col("one"), F.col("last")).otherwise(F.col("one")).alias("other"), F.lit(0).alias("other_start"))
-    extents = extents.union(copies).distinct()
+    if shared.where("hot").limit(1).count():
+        extents = extents.union(_hot_extents(context.where("hot"), left, right, min_words))
+    extents = extents.distinct()
+    # a text that several documents have is one stretch in each of them
+    many = texts.where("d <> last").select("g", F.col("d").alias("one"))
+    copied = units_.join(many, "g")
+    second = copied.where("d > one").groupBy("g").agg(F.min("d").alias("second"))
+    found = extents.join(many, "g", "left_semi").groupBy("g").agg(F.min(F.struct("other", "other_start")).alias("o"))
+    twin = F.struct(F.when(F.col("d") == F.col("one"), F.col("second")).otherwise(F.col("one")).alias("other"), F.lit(0).alias("other_start"))
+    copies = copied.join(second, "g").join(found, "g", "left").select("d", F.lit(0).alias("start_word"), F.col("n").alias("end_word"), F.least(twin, "o").alias("o"))
+    extents = extents.join(many, "g", "left_anti")
     # extents that touch or overlap are one stretch
     along = Window.partitionBy("d", "g").orderBy("start", F.desc("stop"))
     reach = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
     stretch = extents.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     joined = stretch.groupBy("d", "g", "run").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min(F.struct("other", "other_start")).alias("o"))
+    joined = joined.select("d", "start_word", "end_word", "o").union(copies)
     return joined.select(F.col("d").alias("doc_id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.col("o.other").alias("other_doc_id"), F.col("o.other_start").alias("other_start_word"))
+
+
+#: Every window of ``MIN_WORDS`` words that another document has, joined up: what both operators find.
+REPEATS_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0b\f\r]+') AS words FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+p AS (SELECT doc_id, words, unnest(range(0, len(words) - {MIN_WORDS} + 1)) AS i FROM d WHERE len(words) >= {MIN_WORDS}),
+w AS MATERIALIZED (SELECT doc_id, i, hash(array_to_string(words[i + 1:i + {MIN_WORDS}], ' ')) AS h FROM p),
+m AS MATERIALIZED (SELECT h, doc_id, min(i) AS i FROM w GROUP BY h, doc_id),
+s AS MATERIALIZED (SELECT h, list_sort(list(doc_id))[1:2] AS two FROM m GROUP BY h HAVING count(*) > 1),
+o AS (SELECT w.doc_id, w.i, w.h, CASE WHEN w.doc_id = two[1] THEN two[2] ELSE two[1] END AS other FROM w JOIN s ON w.h = s.h),
+q AS (SELECT o.*, m.i AS there FROM o JOIN m ON o.h = m.h AND o.other = m.doc_id),
+n AS (SELECT *, CASE WHEN i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {MIN_WORDS}, -1) THEN 1 ELSE 0 END AS new FROM q),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM n),
+g AS (SELECT doc_id, min(i)::INT AS start_word, (max(i) + {MIN_WORDS})::INT AS end_word, min((other, there)) AS o FROM r GROUP BY doc_id, run)
+SELECT doc_id, start_word, end_word, end_word - start_word AS n_words, o[1] AS other_doc_id, o[2]::INT AS other_start_word FROM g"""

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from factloom.llm.repeats import MIN_WORDS, Anchors, long_repeats
+from factloom.llm.repeats import HOT, MIN_WORDS, Anchors, long_repeats
 from factloom.llm.textkit import kgrams, minimisers
 
 K = 18
@@ -27,7 +27,7 @@ def minimiser_anchors(k: int, w: int) -> Anchors:
     return choose
 
 
-def suffix_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, k: int = K) -> DataFrame:
+def suffix_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, k: int = K, hot: int = HOT) -> DataFrame:
     """Stretches of ``min_words`` or more words that two documents share (see ``long_repeats``).
 
     ``k`` is at most ``min_words``. A text of fewer words than that shares nothing;
@@ -36,4 +36,4 @@ def suffix_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     k = min(k, min_words)
     w = min_words - k + 1
     # a shared passage's first minimiser is within w - 1 words of its start, its last one within w - 1 + k of its end
-    return long_repeats(docs, minimiser_anchors(k, w), left=max(1, w - 1), right=w - 1 + k, doc_id=doc_id, text=text, min_words=min_words)
+    return long_repeats(docs, minimiser_anchors(k, w), left=max(1, w - 1), right=w - 1 + k, doc_id=doc_id, text=text, min_words=min_words, hot=hot)

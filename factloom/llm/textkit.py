@@ -18,6 +18,10 @@ U = np.uint64
 BASE, BASE2 = U(0x9E3779B97F4A7C15 | 1), U(0xC2B2AE3D27D4EB4F | 1)
 #: Bytes of text handled at once; a longer document is a chunk of its own.
 CHUNK = 1 << 20
+#: Bytes of a single text that are hashed at once.
+PART = 1 << 24
+#: k-grams whose minimisers are chosen at once.
+SPAN = 1 << 22
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 TOP = U(0xFFFFFFFFFFFFFFFF)
@@ -112,9 +116,27 @@ def words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def word_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word; the index of each row's first word."""
-    starts, ends, first = words(chunk)
-    return segment_hash(chunk.data, starts, ends), first
+    """Hash of each word; the index of each row's first word.
+
+    A giant text is taken in parts that end at white space, so that what is held at once is some
+    ten bytes a word besides the text, not thirty a byte.
+    """
+    data = chunk.data
+    if len(data) <= PART or len(chunk) > 1:
+        starts, ends, first = words(chunk)
+        return segment_hash(data, starts, ends), first
+    found, a = [], 0
+    while a < len(data):
+        b = min(a + PART, len(data))
+        while b < len(data) and not SPACE[data[b]]:  # to the end of the word
+            gap = np.flatnonzero(SPACE[data[b : b + CHUNK]])
+            b = b + int(gap[0]) if len(gap) else min(b + CHUNK, len(data))
+        part = Chunk(0, data[a:b], np.array([0, b - a]), chunk.valid)
+        starts, ends, _ = words(part)
+        found.append(segment_hash(part.data, starts, ends))
+        a = b
+    hashes = np.concatenate(found)
+    return hashes, np.array([0, len(hashes)])
 
 
 def kgrams(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,8 +158,20 @@ def minimisers(grams: np.ndarray, first: np.ndarray, k: int, w: int) -> np.ndarr
     k + w - 1 words has the same positions chosen wherever it stands.
     """
     n = len(grams)
-    if n >= 1 << 26:
-        raise ValueError("a chunk holds too many words")
+    if n > SPAN:  # in parts that overlap by a window
+        parts, row = [], np.repeat(np.arange(len(first) - 1), np.diff(first))
+        for a in range(0, n - w + 1, SPAN - w):
+            b = min(a + SPAN, n)
+            rows = np.arange(row[a], row[b - 1] + 2)
+            # a row's k-grams reach over the part's end; those that reach over its row's end are told by the row's real end
+            parts.append(a + _minimisers(grams[a:b], np.repeat(first[rows[1:]] - a, np.diff(np.clip(first[rows], a, b))), k, w))
+        return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
+    return _minimisers(grams, np.repeat(first[1:], np.diff(first)), k, w)
+
+
+def _minimisers(grams: np.ndarray, row_end: np.ndarray, k: int, w: int) -> np.ndarray:
+    """``minimisers`` of up to SPAN k-grams, given where the row of each ends."""
+    n = len(grams)
     if n < w:
         return np.empty(0, np.int64)
     low = U((1 << 26) - 1)
@@ -148,5 +182,4 @@ def minimisers(grams: np.ndarray, first: np.ndarray, k: int, w: int) -> np.ndarr
         least = np.minimum(least[: len(least) - step], least[step:])
         span += step
     at = np.arange(len(least))
-    row_end = np.repeat(first[1:], np.diff(first))[: len(least)]
-    return np.unique((least[at + w + k - 1 <= row_end] & low).astype(np.int64))
+    return np.unique((least[at + w + k - 1 <= row_end[: len(least)]] & low).astype(np.int64))

@@ -1,11 +1,14 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from conftest import SCHEMA, prose, row
 
+from factloom.llm import textkit
 from factloom.llm.recompress import recompression_repeats
 from factloom.llm.suffix_dedup import suffix_repeats
+from factloom.llm.textkit import chunks, kgrams, minimisers, word_hashes
 
 BOTH = pytest.mark.parametrize("operator", [suffix_repeats, recompression_repeats])
 
@@ -26,10 +29,10 @@ def brute(rows, least):
     return covered
 
 
-def check(operator, docs, rows, least, recall):
+def check(operator, docs, rows, least, recall, **options):
     want, got = brute(rows, least), defaultdict(set)
     texts = dict(rows)
-    for r in operator(docs, min_words=least).collect():
+    for r in operator(docs, min_words=least, **options).collect():
         got[r.doc_id].update(range(r.start_word, r.end_word))
         assert r.n_words == r.end_word - r.start_word >= least and r.other_doc_id in texts
     total = sum(map(len, want.values()))
@@ -52,7 +55,8 @@ def test_many_share_a_passage_with_other_surroundings(spark, operator):
     passages = [" ".join(prose(rng, 55, 99).split()) for _ in range(4)]
     rows = [(i, " ".join([prose(rng, rng.randint(0, 60), 99), rng.choice(passages), rng.choice([" ".join(passages[0].split()[:30]), ""]), prose(rng, rng.randint(0, 60), 99)])) for i in range(200)]
     docs = spark.createDataFrame([row(i, t) for i, t in rows], SCHEMA).repartition(7)
-    check(operator, docs, rows, 50, 0.99 if operator is suffix_repeats else 0.9)
+    check(operator, docs, rows, 50, 1.0 if operator is suffix_repeats else 0.95)
+    check(operator, docs, rows, 50, 1.0 if operator is suffix_repeats else 0.95, hot=20)  # every popular name by Spark's groupings
 
 
 @BOTH
@@ -91,3 +95,35 @@ def test_periodic_texts_of_different_lengths(spark, operator):
             rows.append((10 * k + j, " ".join([flat(20), *(period * words)[:words], flat(20)])))
     docs = spark.createDataFrame([row(i, t) for i, t in rows], SCHEMA).repartition(3)
     check(operator, docs, rows, 50, 0.98)
+
+
+def test_hot_names_give_what_others_give(spark):
+    rng = random.Random(5)
+    passage = " ".join(prose(rng, 80, 99).split())
+    rows = [(i, " ".join([prose(rng, rng.randint(0, 40), 99), passage if i % 3 else "", prose(rng, rng.randint(0, 40), 99)])) for i in range(60)]
+    docs = spark.createDataFrame([row(i, t) for i, t in rows], SCHEMA).repartition(5)
+    spans = [{(r.doc_id, r.start_word, r.end_word) for r in suffix_repeats(docs, hot=h).collect()} for h in (1, 1 << 14)]
+    assert spans[0] == spans[1] and len(spans[0]) == 40
+
+
+def test_long_texts_are_taken_in_parts(monkeypatch):
+    """Parts of a giant text, small ones here, change nothing."""
+    rng = random.Random(6)
+    (chunk,) = chunks(pa.array([" ".join(prose(rng, 3000, 99).split()) + "\n" + "x" * 500 + " end"]))
+    whole, first = word_hashes(chunk)
+    grams, _ = kgrams(whole, first, 18)
+    want = minimisers(grams, first, 18, 33)
+    monkeypatch.setattr(textkit, "PART", 300)
+    monkeypatch.setattr(textkit, "CHUNK", 64)
+    assert (word_hashes(chunk)[0] == whole).all() and (word_hashes(chunk)[1] == first).all()
+    for span in (100, 517):
+        monkeypatch.setattr(textkit, "SPAN", span)
+        assert (minimisers(grams, first, 18, 33) == want).all()
+    # rows end within parts
+    (many,) = chunks(pa.array([" ".join(prose(rng, rng.randint(0, 200), 99).split()) for _ in range(20)]), 1 << 20)
+    h, f = word_hashes(many)
+    grams, _ = kgrams(h, f, 5)
+    monkeypatch.setattr(textkit, "SPAN", 1 << 22)
+    want = minimisers(grams, f, 5, 9)
+    monkeypatch.setattr(textkit, "SPAN", 150)
+    assert (minimisers(grams, f, 5, 9) == want).all()
