@@ -2,12 +2,15 @@
 
 Every bit of a document's fingerprint is the majority, over its distinct words, of
 that bit of the word's hash, so frequent function words don't swamp it. Each tree
-of the forest is a trie over the fingerprint's bits in an order of its own. The
-depth at which documents meet follows the density: as deep as leaves of about
-``leaf`` documents need over the whole corpus, and deeper under a crowded prefix.
-From there queries climb: the forest holds as many trees as it takes for a pair at
-distance ``plan`` to share a prefix of that depth somewhere with probability
-``recall``. Every pair under a leaf is verified on all 128 bits, and, as the bits of
+of the forest is a trie over the fingerprint's bits in an order of its own.
+
+A document looks for its like under a prefix of its bits in every tree. How long the prefix is
+follows the density: from a long one, under which few would be missed, it climbs to
+shorter ones as long as no more than ``leaf`` documents are under it, and in any case
+up to the depth at which the trees together find a pair at distance ``radius`` with probability ``recall``.
+So sparse surroundings are searched beyond the target and dense ones up to it, completely. A subtree with more than ``crowd`` documents
+is a forest by itself: its documents are planted again in trees of their own.
+Every pair under a prefix is verified on all 128 bits, on the numbers of words and, as the bits of
 a short text say little, on the word sets themselves if both texts are short.
 """
 
@@ -21,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import col, cut, fresh
+from factloom.llm.common import col, cut, fresh, number
 from factloom.llm.graph import components
 from factloom.llm.textkit import U, Chunk, chunks, mix, word_hashes
 
-BITS, RADIUS, PLAN, RECALL, LEAF, CROWD = 128, 28, 22, 0.92, 64, 2048
+BITS, RADIUS, RECALL, LEAF, CROWD = 128, 28, 0.92, 1024, 1 << 17
+#: Levels of a tree that a document may climb above the depth of the target recall, and times that a crowd is planted again.
+CLIMB, AGAIN = 4, 3
 SIZE_RATIO = 0.6
 #: Texts of so many distinct words at most are compared by their word sets too, which must agree in this share of all words.
 SHORT, SHORT_JACCARD = 64, 0.65
@@ -81,155 +86,238 @@ def meets(depth: int, distance: int) -> float:
     return math.prod((BITS - distance - i) / (BITS - i) for i in range(depth))
 
 
-def forest_shape(n: int, leaf: int, plan: int, recall: float) -> tuple[int, int]:
-    """Depth for leaves of about ``leaf`` documents, and the trees that give the recall there."""
-    depth = min(40, max(4, math.ceil(math.log2(max(n, 1) / leaf)))) if n > leaf else 4
-    return depth, max(4, math.ceil(math.log(1 - recall) / math.log(1 - meets(depth, plan))))
+def forest_shape(n: int, leaf: int, radius: int, recall: float) -> tuple[int, int]:
+    """The depth at which ``n`` evenly spread documents have leaves of ``leaf``, and the trees that give the recall there."""
+    if n <= leaf:
+        return 0, 1
+    depth = min(40, math.ceil(math.log2(n / leaf)))
+    return depth, max(4, math.ceil(math.log(1 - recall) / math.log(1 - meets(depth, radius))))
 
 
-def _grow(depth: int, trees: int):
+def _grow(leaf: int, radius: int, recall: float, level: int):
+    """Rows (key, f0, f1, ...): every document once a tree, with its bits in the tree's order, under the subtree that it may climb to.
+
+    The last 6 bits of the key are the depth of the target recall.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = [np.random.default_rng(1000 + t).permutation(BITS) for t in range(trees)]
-        for batch in batches:
-            words = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2)], axis=1)
-            bits = np.unpackbits(words.view(np.uint8).reshape(-1, 16), axis=1)
-            for t, order in enumerate(orders):
-                turned = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u8").astype(U)
-                leaf = U(t << 40) | turned[:, 0] >> U(64 - depth)
-                columns = [pa.array(x.view(np.int64)) for x in (leaf, turned[:, 0].copy(), turned[:, 1].copy())]
-                yield pa.RecordBatch.from_arrays([*columns, batch.column(0), batch.column(3), batch.column(4)], ["leaf", "f0", "f1", "d", "n", "few"])
+        orders: list[np.ndarray] = []
+        for whole in batches:
+            size = whole.column(6).to_numpy()
+            shapes = {x: forest_shape(int(x), leaf, radius, recall) for x in np.unique(size).tolist()}
+            for x, (depth, trees) in shapes.items():
+                batch = whole if len(shapes) == 1 else whole.filter(pa.array(size == x))
+                words = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2)], axis=1)
+                bits = np.unpackbits(words.view(np.uint8).reshape(-1, 16), axis=1)
+                base = mix(batch.column(5).to_numpy().view(U))
+                while len(orders) < trees:
+                    orders.append(np.random.default_rng([1000 * level, len(orders)]).permutation(BITS))
+                top = U(max(depth - CLIMB, 0))
+                for t in range(trees):
+                    turned = np.ascontiguousarray(np.packbits(bits[:, orders[t]], axis=1)).view(">u8").astype(U)
+                    prefix = turned[:, 0] >> (U(64) - top) if top else np.zeros(len(bits), U)
+                    key = mix(base ^ mix(U(t << 40) | prefix)) & ~U(63) | U(depth)
+                    columns = [pa.array(x.view(np.int64)) for x in (key, turned[:, 0].copy(), turned[:, 1].copy())]
+                    yield pa.RecordBatch.from_arrays([*columns, batch.column(0), batch.column(3), batch.column(4)], ["key", "f0", "f1", "d", "n", "few"])
 
     return run
 
 
-def close_pairs(f: np.ndarray, n: np.ndarray, g: np.ndarray, m: np.ndarray, radius: int) -> np.ndarray:
-    """Which rows of (f, n) and (g, m) lie within the radius and don't differ too much in size."""
-    far = np.bitwise_count(f[:, None, 0] ^ g[None, :, 0]) + np.bitwise_count(f[:, None, 1] ^ g[None, :, 1])
-    small, large = np.minimum(n[:, None], m[None]), np.maximum(n[:, None], m[None])
-    return (far <= radius) & (small >= SIZE_RATIO * large)
-
-
-def apart(near: np.ndarray, few: np.ndarray) -> None:
-    """Takes out of ``near`` the pairs of short texts whose word sets differ too much."""
-    rows = [i for i in np.flatnonzero(near.any(axis=1)).tolist() if few[i] is not None]
-    sets = {i: frozenset(np.frombuffer(few[i], np.uint32).tolist()) for i in rows}
-    alike: dict[tuple[frozenset, frozenset], bool] = {}
-    for i in rows:
-        for j in np.flatnonzero(near[i, :i]).tolist():
-            if j in sets:
-                pair = sets[i], sets[j]
-                if pair not in alike:
-                    both = len(pair[0] & pair[1])
-                    alike[pair] = both >= SHORT_JACCARD * (len(pair[0]) + len(pair[1]) - both)
-                if not alike[pair]:
-                    near[i, j] = near[j, i] = False
-
-
-def _stars(d: np.ndarray, f: np.ndarray, n: np.ndarray, few: np.ndarray, radius: int, crowd: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Edges (member, centre) that join the verified pairs of a leaf; rows are in the order of their bits."""
-    todo = [(0, len(d))]
+def close(f: np.ndarray, g: np.ndarray, radius: int) -> np.ndarray:
+    """Which rows of f and g lie within the radius."""
+    return np.bitwise_count(f[:, None, 0] ^ g[None, :, 0]) + np.bitwise_count(f[:, None, 1] ^ g[None, :, 1]) <= radius
+
+
+class Node:
+    """The documents under a prefix, and the links between them."""
+
+    def __init__(self, f: np.ndarray, n: np.ndarray, few: np.ndarray, radius: int) -> None:
+        self.f, self.n, self.few, self.radius = f, n, few, radius
+        self.sets: dict[int, frozenset] = {}
+
+    def words(self, i: int) -> frozenset:
+        if i not in self.sets:
+            self.sets[i] = frozenset(np.frombuffer(self.few[i], np.uint32).tolist())
+        return self.sets[i]
+
+    def alike(self, i: int, j: int) -> bool:
+        """Whether two close documents have enough words in common, if both are short; else only their bits can tell."""
+        if self.few[i] is None or self.few[j] is None:
+            return True
+        a, b = self.words(i), self.words(j)
+        both = len(a & b)
+        return both >= SHORT_JACCARD * (len(a) + len(b) - both)
+
+    def sized(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = self.n[i], self.n[j]
+        return np.minimum(a, b) >= SIZE_RATIO * np.maximum(a, b)
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        """Members and centres: the connected components of the links, as stars."""
+        m, found, many = len(self.f), [], 0
+        for a in range(0, m, 256):
+            i, j = np.nonzero(close(self.f[a : a + 256], self.f[a:], self.radius))
+            i, j = i[j > i] + a, j[j > i] + a
+            ok = self.sized(i, j)
+            found.append((i[ok], j[ok]))
+            many += len(i)
+            if many > 32 * m:
+                return self.flood()  # a thicket, whose links are not all needed
+        i, j = (np.concatenate(x) for x in zip(*found))
+        if len(i):
+            ok = np.array([self.alike(x, y) for x, y in zip(i.tolist(), j.tolist())])
+            i, j = i[ok], j[ok]
+        root, before = np.arange(m), None
+        while before is None or (root != before).any():
+            before = root.copy()
+            low = np.minimum(root[i], root[j])
+            np.minimum.at(root, i, low)
+            np.minimum.at(root, j, low)
+            root = root[root]
+        member = np.flatnonzero(root != np.arange(m))
+        return member, root[member]
+
+    def flood(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same from one document to its neighbours and on; what is reached isn't compared again."""
+        left, members, centres = np.arange(len(self.f)), [], []
+        while len(left):
+            centre, border, left = int(left[0]), [int(left[0])], left[1:]
+            while border and len(left):
+                some, border = np.array(border[:256]), border[256:]
+                near = close(self.f[some], self.f[left], self.radius)
+                near &= self.sized(some[:, None], left[None])
+                hit = near.any(axis=0)
+                for k in np.flatnonzero(hit).tolist():
+                    hit[k] = any(self.alike(int(some[x]), int(left[k])) for x in np.flatnonzero(near[:, k]))
+                got, left = left[hit], left[~hit]
+                border += got.tolist()
+                members.append(got)
+                centres.append(np.full(len(got), centre))
+        none = np.empty(0, np.int64)
+        return np.concatenate([*members, none]), np.concatenate([*centres, none])
+
+
+def prefixes(f0: np.ndarray, depth: int, leaf: int) -> Iterator[tuple[int, int]]:
+    """The stretches of a subtree (bits in order) that are compared: climbing from ``depth`` while there are at most ``leaf``."""
+    todo = [(0, len(f0), max(depth - CLIMB, 0))]
     while todo:
-        a, b = todo.pop()
+        a, b, level = todo.pop()
         if b - a < 2:
             continue
-        if b - a > crowd:
-            # a crowded prefix: go down to where its bits first differ
-            high = 0 if f[a, 0] != f[b - 1, 0] else 1
-            if f[a, high] != f[b - 1, high]:
-                bit = U(int(f[a, high] ^ f[b - 1, high]).bit_length() - 1)
-                c = a + int(np.searchsorted(f[a:b, high] >> bit & U(1), 1))
-                todo += [(a, c), (c, b)]
-                continue
-        near = close_pairs(f[a:b], n[a:b], f[a:b], n[a:b], radius)
-        np.fill_diagonal(near, False)
-        apart(near, few[a:b])
-        left = near.any(axis=1)
-        while left.any():
-            centre = int(np.argmax(left))
-            inside = np.zeros(b - a, bool)
-            inside[centre] = True
-            border = inside
-            while border.any():
-                reached = near[border].any(axis=0) & ~inside
-                inside |= reached
-                border = reached
-            members = np.flatnonzero(inside)
-            left[members] = False
-            members = members[members != centre]
-            yield d[a:b][members], np.full(len(members), d[a + centre])
-
-
-def _verify(radius: int, crowd: int):
+        if b - a <= leaf or level >= depth:
+            yield a, b
+            continue
+        c = a + int(np.searchsorted(f0[a:b] >> U(63 - level) & U(1), 1))
+        todo += [(a, c, level + 1), (c, b, level + 1)]
+
+
+def _verify(radius: int, leaf: int):
     def edges(block: list[np.ndarray]) -> pa.RecordBatch:
-        leaf, f0, f1, d, n, few = block
-        bounds = np.concatenate(([0], np.flatnonzero(leaf[1:] != leaf[:-1]) + 1, [len(leaf)]))
+        key, f0, f1, d, n, few = block
+        bounds = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
         f, found = np.stack([f0, f1], axis=1).view(U), [(d[:0], d[:0])]
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            if b - a > 1:
-                found += _stars(d[a:b], f[a:b], n[a:b], few[a:b], radius, crowd)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            for x, y in prefixes(f[a:b, 0], int(key[a]) & 63, leaf):
+                part = slice(a + x, a + y)
+                member, centre = Node(f[part], n[part], few[part], radius).stars()
+                found.append((d[part][member], d[part][centre]))
         u, v = (np.concatenate(x) for x in zip(*found))
         pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[list[np.ndarray]] = []
         for batch in batches:
+            if not batch.num_rows:
+                continue
             block = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held is not None:
-                block = [np.concatenate(x) for x in zip(held, block)]
-            last = int(np.searchsorted(block[0], block[0][-1])) if len(block[0]) else 0
-            held = [x[last:] for x in block]  # its leaf may go on in the next batch
+            last = int(np.flatnonzero(block[0] == block[0][-1])[0])  # the last key may go on in the next batch
+            if held and held[-1][0][-1] != block[0][0]:
+                yield edges([np.concatenate(x) for x in zip(*held)])
+                held = []
             if last:
-                yield edges([x[:last] for x in block])
-        if held is not None:
-            yield edges(held)
+                yield edges([np.concatenate(x) for x in zip(*held, [c[:last] for c in block])])
+                held = []
+            held.append([c[last:] for c in block])
+        if held:
+            yield edges([np.concatenate(x) for x in zip(*held)])
 
     return run
 
 
 def prints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns d, g (text digest), f0, f1 (fingerprint), n (distinct words), few (these, if they are few) of the documents that have a word."""
-    units = docs.select(col(doc_id).cast("long").alias("d"), F.xxhash64(col(text)).alias("g"), col(text).alias("t"))
+    units = docs.select(number(docs, doc_id).alias("d"), F.xxhash64(col(text)).alias("g"), col(text).alias("t"))
     return cut(units.where("d is not null and t is not null").mapInArrow(_fingerprint, "d long, g long, f0 long, f1 long, n long, few binary"))
 
 
-def _groups(table: DataFrame, radius: int, plan: int, recall: float, leaf: int, crowd: int) -> DataFrame:
-    same = ["f0", "f1"]
-    distinct = cut(table.groupBy(*same).agg(F.min("d").alias("d"), F.max("n").alias("n"), F.min("few").alias("few")).select("d", "f0", "f1", "n", "few"))
-    depth, trees = forest_shape(distinct.count(), leaf, plan, recall)
-    grown = distinct.mapInArrow(_grow(depth, trees), "leaf long, f0 long, f1 long, d long, n long, few binary")
-    placed = grown.repartition("leaf").sortWithinPartitions("leaf", F.col("f0").bitwiseXOR(F.lit(-(1 << 63))), F.col("f1").bitwiseXOR(F.lit(-(1 << 63))))
-    near = placed.mapInArrow(_verify(radius, crowd), "u long, v long")
-    exact = table.join(distinct.select(*same, F.col("d").alias("v")), same).select(F.col("d").alias("u"), "v")
-    return components(near.union(exact))
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, plan: int = PLAN, recall: float = RECALL, leaf: int = LEAF, crowd: int = CROWD) -> DataFrame:
+ALIKE = ("f0", "f1", "n", "few")
+GROWN = "key long, f0 long, f1 long, d long, n long, few binary"
+
+
+def near_edges(distinct: DataFrame, radius: int, recall: float, leaf: int, crowd: int) -> DataFrame:
+    """Edges u, v that join up the near-duplicates among the rows (d, f0, f1, n, few)."""
+    rows = distinct.withColumn("base", F.lit(0).cast("long")).withColumn("size", F.lit(distinct.count()).cast("long"))
+    out = None
+    for level in range(AGAIN + 1):
+        grown = rows.select("d", *ALIKE, "base", "size").mapInArrow(_grow(leaf, radius, recall if level == 0 else 0.98, level), GROWN)
+        crowds = None
+        if level < AGAIN:
+            # as many keys as subtrees; in powers of two, so that there are few shapes of forests
+            size = F.pow(F.lit(2), F.ceil(F.log2(F.col("size")))).cast("long")
+            crowds = cut(grown.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > crowd).select("key", size.alias("size")))
+            if not crowds.limit(1).count():
+                crowds = None
+        placed = grown if crowds is None else grown.join(crowds, "key", "left_anti")
+        unsigned = [F.col(c).bitwiseXOR(F.lit(-(1 << 63))) for c in ("f0", "f1")]
+        near = placed.repartition("key").sortWithinPartitions("key", *unsigned).mapInArrow(_verify(radius, leaf), "u long, v long")
+        out = near if out is None else out.union(near)
+        if crowds is None:
+            return out
+        rows = cut(grown.join(crowds, "key").withColumnRenamed("key", "base"))
+    return out
+
+
+def _members(table: DataFrame, radius: int, recall: float, leaf: int, crowd: int) -> DataFrame:
+    """Rows (d, g, root): every document with the one of the least id of its group, which may be itself."""
+    distinct = cut(table.groupBy(*ALIKE).agg(F.min("d").alias("d")))
+    known = distinct.select(*(F.col(c).alias(f"{c}_") for c in ALIKE), F.col("d").alias("v"))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ALIKE]
+    # copies hang on the first of them and take no further part; several texts of one id hold together
+    members = cut(table.join(known, same).select("d", "g", "v"))
+    several = members.groupBy("d").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("d")
+    tied = members.join(several, "d").select(F.col("d").alias("u"), "v")
+    roots = components(near_edges(distinct, radius, recall, leaf, crowd).union(tied))
+    return members.join(roots, F.col("v") == F.col("node"), "left").select("d", "g", F.coalesce("root", "v").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, recall: float = RECALL, leaf: int = LEAF, crowd: int = CROWD) -> DataFrame:
     """Rows (doc_id, duplicate_of): each document of a group but the one with the least id, which the others duplicate.
 
     A group is a connected component of the pairs within ``radius`` bits of each
     other whose numbers of distinct words are in a ratio of at least
     ``SIZE_RATIO`` (and, for two short texts, whose sets of words agree in
-    ``SHORT_JACCARD`` of them). Rows of one id are one document. Null ids, null texts and texts
-    without a word take no part. Word order and repetition don't count.
+    ``SHORT_JACCARD`` of them); equal bits are no exception. Copies are in one group. Rows of one id are one document. Null ids, null texts and texts
+    without a word take no part, other columns are left aside, and an empty table gives no rows. Word order and repetition don't count.
+    ``recall`` is for a pair at distance ``radius``; nearer ones are found with more. Up to ``leaf`` different
+    fingerprints all pairs are compared. A long text is read whole, and its fingerprint needs the hashes of its words at once.
     """
-    roots = _groups(prints(docs, doc_id, text), radius, plan, recall, leaf, crowd)
-    return roots.where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))
+    members = _members(prints(docs, doc_id, text), radius, recall, leaf, crowd)
+    return members.where("d <> root").select(F.col("d").alias("doc_id"), F.col("root").alias("duplicate_of")).distinct()
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, recall: float = RECALL, leaf: int = LEAF, crowd: int = CROWD) -> DataFrame:
     """The documents without those that duplicate one of a smaller id; all columns pass through.
 
     Of rows that share an id, those with the least text digest stay, so that rows
     that repeat one another stay together. What takes no part (see
     ``near_duplicates``) stays.
     """
-    base = {"radius": RADIUS, "plan": PLAN, "recall": RECALL, "leaf": LEAF, "crowd": CROWD} | options
     table = prints(docs, doc_id, text)
+    members = _members(table, radius, recall, leaf, crowd)
     first = table.groupBy("d").agg(F.min("g").alias("first"), F.max("g").alias("last"))
-    roots = _groups(table, **base).where("node <> root")
     d, g = fresh(docs, "d", "g")
-    lost = table.select("d", "g").distinct().join(first.where("first <> last"), "d").where("g <> first").select(F.col("d").alias(d), F.col("g").alias(g))
-    gone = table.select("d", "g").join(roots.select(F.col("node").alias("d")), "d", "left_semi").select(F.col("d").alias(d), F.col("g").alias(g))
-    keyed = docs.withColumns({d: col(doc_id).cast("long"), g: F.xxhash64(col(text))})
+    lost = table.select("d", "g").join(first.where("first <> last"), "d").where("g <> first").select(F.col("d").alias(d), F.col("g").alias(g))
+    gone = members.where("d <> root").select(F.col("d").alias(d), F.col("g").alias(g))
+    keyed = docs.withColumns({d: number(docs, doc_id), g: F.xxhash64(col(text))})
     return keyed.join(gone.union(lost).distinct().hint("shuffle_hash"), [d, g], "left_anti").select(*map(col, docs.columns))
