@@ -223,7 +223,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY, text: str = "text", keep: li
     A null text has null ids and count, an empty one no ids and count 0. Repeated
     rows are encoded alike; a clashing input column is replaced. With ``verify``,
     ``round_trip`` says whether decoding the ids gives the text again (null for a
-    null text). One pass, no exchange; a text of any length is one unit.
+    null text). One pass, no exchange, so an empty table gives an empty one; a text of any length is one unit.
+    Ids aren't looked at, and there are no ties: a text has one encoding.
     """
     new = ["token_ids", "n_tokens"] + ["round_trip"] * verify
     keep = [c for c in (docs.columns if keep is None else keep) if c != text and c.lower() not in new]

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import col, fresh
+from factloom.llm.common import col, fresh, number
 
 SEED, UNIT = 17, 1_000_000
 #: Stretches of ids that a source is summed in: a constant that bounds neither rows nor copies.
@@ -36,15 +36,17 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, budget
     that isn't named gets none; None: the same for every source). ``budget`` is the
     number of characters to emit in expectation (None: as many as there are).
     ``copy`` names a column for the number of the copy, from 1. The order within a
-    source is by bucket (id modulo ``BUCKETS``), id and digest of the text.
+    source is by bucket (id modulo ``BUCKETS``; of null ids, the text's digest), id and digest of the text.
 
     A null source is a source of its own (named "" in ``weights``), a null text
     has no characters, and a source without any is left out. Null ids come first;
-    rows that repeat one another are sampled one by one. Other columns pass through.
+    rows that repeat one another, or tie otherwise, are sampled one by one. Other columns pass through, whatever their
+    names. An empty table gives an empty one. Texts are only measured, so their length doesn't matter.
     """
     b, s, g, rate, end, before, shift = fresh(docs, "b", "s", "g", "rate", "end", "before", "shift")
-    id_ = col(doc_id).cast("long")
-    bucket = F.coalesce(F.pmod(id_, F.lit(BUCKETS)), F.lit(-1)).cast("int").alias(b)
+    id_ = number(docs, doc_id)
+    # null ids have buckets of their own, by their texts, before the others
+    bucket = F.when(id_.isNull(), -1 - F.pmod(F.xxhash64(col(text)), F.lit(BUCKETS))).otherwise(F.pmod(id_, F.lit(BUCKETS))).cast("int").alias(b)
     name = F.coalesce(col(source).cast("string"), F.lit("")).alias(s)
     sizes = docs.select(name, bucket, F.coalesce(F.length(col(text)), F.lit(0)).alias(g)).groupBy(s, b).agg(F.count("*").alias("n"), F.sum(g).alias("chars"))
     total = sizes.groupBy(s).agg(F.sum("chars").alias("chars"))
@@ -61,7 +63,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, budget
     rates = total.crossJoin(F.broadcast(sums)).select(s, F.when(F.col("all_w") > 0, F.floor(wanted * F.col("w") * UNIT / (F.col("all_w") * F.col("chars").cast("double")))).otherwise(0).cast("long").alias(rate))
     ordered = Window.partitionBy(s).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     places = sizes.join(rates, s).select(s, b, rate, (F.coalesce(F.sum("n").over(ordered), F.lit(0)) * F.col(rate) + _offset(F.col(s), seed)).alias(before)).where(F.col(rate) > 0)
-    keyed = docs.withColumns({s: F.coalesce(col(source).cast("string"), F.lit("")), b: F.coalesce(F.pmod(id_, F.lit(BUCKETS)), F.lit(-1)).cast("int"), g: F.xxhash64(col(text))})
+    keyed = docs.withColumns({s: F.coalesce(col(source).cast("string"), F.lit("")), b: bucket, g: F.xxhash64(col(text))})
     placed = keyed.join(places.hint("shuffle_hash"), [s, b])
     rank = F.row_number().over(Window.partitionBy(s, b).orderBy(id_, g))
     stretch = placed.withColumn(end, F.col(before) + rank * F.col(rate))

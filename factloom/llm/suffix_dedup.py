@@ -3,8 +3,8 @@
 Of all suffixes (from each word on) only those are kept that start at a minimiser:
 the least k-gram of some window of ``w`` k-grams. A passage of k + w - 1 words or more
 has the same minimisers in every document, so no repeat of that length is left
-without a suffix. The suffixes whose first k words occur in two documents are sorted,
-neighbours in that order compared, and the matches extended left and right.
+without a suffix. The suffixes whose first k words occur in two documents are sorted by these,
+and those that agree in more words to the right, and to the left, are brought together.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ def minimiser_anchors(k: int, w: int) -> Anchors:
 def suffix_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, k: int = K, hot: int = HOT) -> DataFrame:
     """Stretches of ``min_words`` or more words that two documents share (see ``long_repeats``).
 
-    ``k`` is at most ``min_words``. A text of fewer words than that shares nothing;
-    an empty table gives no rows.
+    All of them are found. ``k`` is at most ``min_words``. A text of fewer words than that shares nothing;
+    an empty table gives no rows. Repeated rows are one document, and a tie between partners goes to the least id.
     """
     k = min(k, min_words)
     w = min_words - k + 1
