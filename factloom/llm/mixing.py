@@ -69,9 +69,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, budget
     stretch = placed.withColumn(end, F.col(before) + rank * F.col(rate))
     first, last = F.floor((F.col(end) - F.col(rate)) / UNIT), F.floor(F.col(end) / UNIT)
     copies = stretch.withColumn(shift, (last - first).cast("int")).where(F.col(shift) > 0)
-    number = F.explode(F.sequence(F.lit(1), F.col(shift)))
+    times = F.explode(F.sequence(F.lit(1), F.col(shift)))
     kept = [c for c in docs.columns if not copy or c.lower() != copy.lower()]
-    out = copies.select(*map(col, kept), number.alias(copy or shift))
+    out = copies.select(*map(col, kept), times.alias(copy or shift))
     return out if copy else out.select(*map(col, kept))
 
 
