@@ -220,22 +220,22 @@ def long_repeats(docs: DataFrame, anchors: Anchors, left: int, right: int, doc_i
     extents = ordered.mapInArrow(_compare(left, right, min_words), "d long, g long, start int, stop int, other long, other_start int")
     if shared.where("hot").limit(1).count():
         extents = extents.union(_hot_extents(context.where("hot"), left, right, min_words))
-    extents = extents.distinct()
     # a text that several documents have is one stretch in each of them
-    many = texts.where("d <> last").select("g", F.col("d").alias("one"))
-    copied = units_.join(many, "g")
-    second = copied.where("d > one").groupBy("g").agg(F.min("d").alias("second"))
-    found = extents.join(many, "g", "left_semi").groupBy("g").agg(F.min(F.struct("other", "other_start")).alias("o"))
-    twin = F.struct(F.when(F.col("d") == F.col("one"), F.col("second")).otherwise(F.col("one")).alias("other"), F.lit(0).alias("other_start"))
-    copies = copied.join(second, "g").join(found, "g", "left").select("d", F.lit(0).alias("start_word"), F.col("n").alias("end_word"), F.least(twin, "o").alias("o"))
-    extents = extents.join(many, "g", "left_anti")
+    many = texts.where("d <> last").select("g", F.col("d").alias("one"), "n")
+    copied = units_.select("g", F.col("d").alias("member")).join(many, "g")
+    second = copied.where("member > one").groupBy("g").agg(F.min("member").alias("second"))
+    extents = extents.distinct().union(many.select(F.col("one").alias("d"), "g", F.lit(0).alias("start"), F.col("n").alias("stop"), F.lit(None).cast("long"), F.lit(None).cast("int")))
     # extents that touch or overlap are one stretch
     along = Window.partitionBy("d", "g").orderBy("start", F.desc("stop"))
     reach = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
     stretch = extents.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = stretch.groupBy("d", "g", "run").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min(F.struct("other", "other_start")).alias("o"))
-    joined = joined.select("d", "start_word", "end_word", "o").union(copies)
-    return joined.select(F.col("d").alias("doc_id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.col("o.other").alias("other_doc_id"), F.col("o.other_start").alias("other_start_word"))
+    met = F.when(F.col("other").isNotNull(), F.struct("other", "other_start"))
+    joined = stretch.groupBy("d", "g", "run").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min(met).alias("o"))
+    # the stretch of a copied text's first document stands for all of its documents
+    each = joined.join(copied.join(second, "g").select("g", "member", "one", "second"), "g", "left")
+    twin = F.when(F.col("member").isNotNull(), F.struct(F.when(F.col("member") == F.col("one"), F.col("second")).otherwise(F.col("one")).alias("other"), F.lit(0).alias("other_start")))
+    out = each.withColumn("o", F.least("o", twin))
+    return out.select(F.coalesce("member", "d").alias("doc_id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.col("o.other").alias("other_doc_id"), F.col("o.other_start").alias("other_start_word"))
 
 
 #: Every window of ``MIN_WORDS`` words that another document has, joined up: what both operators find.
