@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +39,16 @@ def vert_aligned_center(a: Column, b: Column) -> Column:
     return F.coalesce(F.abs((a["left"] + a["right"]) / 2 - (b["left"] + b["right"]) / 2) <= 5, F.lit(False))
 
 
+def all_aligned(test: Callable[[Column, Column], Column], boxes: list[Column]) -> Column:
+    """Every box passes a test with the first one, which has to pass it with itself: a sliver is aligned with nothing."""
+    return reduce(lambda x, y: x & y, [test(b, boxes[0]) for b in boxes])
+
+
+def same_page(boxes: list[Column]) -> Column:
+    """All boxes are there and on one page."""
+    return all_aligned(lambda a, b: F.coalesce(a["page"] == b["page"], F.lit(False)), boxes)
+
+
 def page_vert_percentile(b: Column, page_height: float = 792) -> Column:
     return b["top"] / F.lit(float(page_height))
 

@@ -89,6 +89,52 @@ def same(values: list[Column]) -> Column:
     return F.coalesce(reduce(lambda x, y: x & y, [values[0].isNotNull(), *(v == values[0] for v in values[1:])]), F.lit(False))
 
 
+def same_table(args: list[Column]) -> Column:
+    """All arguments lie in one table of their document."""
+    return same([a["table_pos"] for a in args])
+
+
+def same_cell(args: list[Column]) -> Column:
+    return same_table(args) & same([a["cell_pos"] for a in args])
+
+
+def _all(args: list[Column], test) -> Column:
+    """One table, and every argument passes the test with the first."""
+    return reduce(lambda x, y: x & y, [same_table(args), *(F.coalesce(test(a, args[0]), F.lit(False)) for a in args)])
+
+
+def same_row(args: list[Column]) -> Column:
+    """One table, and every argument has a row in common with the first."""
+    return _all(args, is_row_aligned)
+
+
+def same_col(args: list[Column]) -> Column:
+    return _all(args, is_col_aligned)
+
+
+def is_tabular_aligned(args: list[Column]) -> Column:
+    """One table, and every argument has a row or a column in common with the first."""
+    return _all(args, is_axis_aligned)
+
+
+def min_row(arg: Column) -> Column:
+    """The first row that a mention's cell takes up; null outside tables. Of a candidate, its first argument's is asked."""
+    return arg["row_start"]
+
+
+def max_row(arg: Column) -> Column:
+    """The last row. Of a candidate, its last argument's is asked."""
+    return arg["row_end"]
+
+
+def min_col(arg: Column) -> Column:
+    return arg["col_start"]
+
+
+def max_col(arg: Column) -> Column:
+    return arg["col_end"]
+
+
 def enumerate_diff(starts_ends: list[tuple[int, int]], absolute: bool = True) -> int:
     """The distance by enumeration, as the closed form's check."""
     diffs = lambda t: [abs(x - y) if absolute else x - y for x, y in zip(t, t[1:])]

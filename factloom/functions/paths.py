@@ -11,17 +11,21 @@ def steps(path: Column) -> Column:
     return F.split(path, "/", -1)
 
 
-def common_ancestor(a: Column, b: Column) -> Column:
-    """The longest common prefix of two paths' steps, positions included."""
-    x, y = steps(a), steps(b)
-    same = F.zip_with(x, y, lambda i, j: F.coalesce(i == j, F.lit(False)))
-    first = F.array_position(same, False)
-    return F.slice(x, F.lit(1), F.when(first == 0, F.least(F.size(x), F.size(y))).otherwise(first - 1).cast("int"))
-
-
-def lowest_common_ancestor_depth(a: Column, b: Column) -> Column:
-    """How far the nearer of two elements lies below their lowest common ancestor."""
-    return F.least(F.size(steps(a)), F.size(steps(b))) - F.size(common_ancestor(a, b))
+def common_ancestor(*paths: Column) -> Column:
+    """The longest common prefix of paths' steps, positions included."""
+    out = steps(paths[0])
+    for p in paths[1:]:
+        y = steps(p)
+        same = F.zip_with(out, y, lambda i, j: F.coalesce(i == j, F.lit(False)))
+        first = F.array_position(same, False)
+        out = F.slice(out, F.lit(1), F.when(first == 0, F.least(F.size(out), F.size(y))).otherwise(first - 1).cast("int"))
+    return out
+
+
+def lowest_common_ancestor_depth(*paths: Column) -> Column:
+    """How far the nearest of some elements lies below their lowest common ancestor."""
+    sizes = [F.size(steps(p)) for p in paths]
+    return (F.least(*sizes) if len(sizes) > 1 else sizes[0]) - F.size(common_ancestor(*paths))
 
 
 def ancestor_tags(path: Column) -> Column:

@@ -5,8 +5,13 @@ Positions are 0-based and character ends inclusive, as in the mention tables.
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 SPACES = r"(?U)\s+"
 
@@ -27,11 +32,28 @@ def ngrams(tokens: Column, n_min: int = 1, n_max: int = 3, delim: str = " ", low
     return F.when(size >= n_min, F.flatten(F.transform(F.sequence(F.lit(0), size - n_min), at))).otherwise(F.array().cast("array<string>"))
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _running(lengths: pa.Array) -> pa.Array:
+    """Exclusive running sums of ``length + 1`` within each list, over a whole batch at once."""
+    sizes = np.diff(lengths.offsets.to_numpy())
+    step = lengths.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    ends = np.cumsum(sizes)
+    sums = np.concatenate(([0], np.cumsum(step)))
+    out = sums[:-1] - np.repeat(sums[ends - sizes], sizes)
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    missing = lengths.is_null().to_numpy(zero_copy_only=False)
+    marked = pa.array(offsets, mask=np.append(missing, False)) if missing.any() else pa.array(offsets)
+    return pa.ListArray.from_arrays(marked, pa.array(out.astype(np.int32)))
+
+
 def offsets(words: Column) -> Column:
-    """Where each word starts in the text that single spaces join."""
-    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("next"))
-    step = lambda acc, w: F.struct(F.concat(acc["at"], F.array(acc["next"])).alias("at"), (acc["next"] + F.length(w) + 1).alias("next"))
-    return F.aggregate(words, start, step, lambda acc: acc["at"])
+    """Where each word starts in the text that single spaces join. Linear in the words: only their lengths go to an array kernel, and the sums back."""
+    return _running(F.transform(words, F.length))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def char_to_word(char_offsets: Column, at: Column) -> Column:
@@ -95,3 +117,37 @@ def mark_pair(words: Column, a: tuple[Column, Column], b: tuple[Column, Column])
         return F.concat(*put, F.when(i < F.size(words), F.slice(words, i + 1, 1)).otherwise(F.array().cast("array<string>")))
 
     return F.flatten(F.transform(at, marks))
+
+
+def same_sentence(args: list[Column]) -> Column:
+    """All arguments of a candidate are spans of one sentence."""
+    first = args[0]["sent_pos"]
+    hit = first.isNotNull()
+    for a in args[1:]:
+        hit = hit & (a["sent_pos"] == first)
+    return F.coalesce(hit, F.lit(False))
+
+
+def subspan(span: Column, start: int | None = None, stop: int | None = None) -> Column:
+    """Part of a span by characters from its own start, as a struct of char_start and char_end (included) in the sentence.
+
+    A negative ``stop`` counts from the span's end.
+    """
+    begin = span["char_start"] + (start or 0)
+    end = span["char_end"] if stop is None else span["char_start"] + stop - 1 if stop >= 0 else span["char_end"] + stop
+    return F.struct(begin.alias("char_start"), end.alias("char_end"))
+
+
+def word_counter(sentence_words: list[Column]) -> Column:
+    """The words of the sentences of a candidate's arguments, to be counted over candidates."""
+    return F.concat(*sentence_words)
+
+
+def scrub(text: Column) -> Column:
+    """Without characters beyond ASCII."""
+    return F.regexp_replace(text, r"[^\x00-\x7F]", "")
+
+
+def singular(name: str) -> str:
+    """An attribute's name without the plural's ending."""
+    return re.sub(r"e?s$", "", name)

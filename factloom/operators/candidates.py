@@ -21,6 +21,11 @@ class CandidateSpec:
     names fields that all arguments share (such as ``sent_pos``): they become keys of
     the join. ``self_relations``, ``nested_relations`` and ``symmetric_relations``
     bear on binary relations only.
+
+    Arguments are spans (with char_start and char_end) or other contexts, such as cells and figures (with
+    context_type and position). Mentions of different kinds are never the same, nor inside one another; with
+    ``legacy_mixed_nesting`` they count as nested, so that a binary relation over two kinds is empty
+    unless ``nested_relations`` is on.
     """
 
     name: str
@@ -31,18 +36,35 @@ class CandidateSpec:
     nested_relations: bool = False
     symmetric_relations: bool = True
     nullables: tuple[bool, ...] = ()
+    legacy_mixed_nesting: bool = False
+
+
+#: What tells a mention of a kind from others of its document.
+SPAN, CONTEXT = ("sent_pos", "char_start", "char_end"), ("context_type", "position")
+
 
+def key_fields(columns: list[str]) -> tuple[str, ...]:
+    """The fields that identify a mention, by what columns it has."""
+    for fields in (SPAN, CONTEXT):
+        if set(fields) <= set(columns):
+            return fields
+    raise ValueError("a mention has sent_pos, char_start and char_end, or context_type and position")
 
-def index_mentions(mentions: DataFrame, order: tuple[str, ...] = ("sent_pos", "ord")) -> DataFrame:
-    """Adds mention_idx, a mention's place in its document's list."""
+
+def index_mentions(mentions: DataFrame, order: tuple[str, ...] | None = None) -> DataFrame:
+    """Adds mention_idx, a mention's place in its document's list: spans by sentence and order of generation, contexts by position."""
+    if order is None:
+        order = ("sent_pos", "ord") if "ord" in mentions.columns else key_fields(mentions.columns)
     return mentions.withColumn("mention_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1)
 
 
-def _same(a: Column, b: Column) -> Column:
-    return F.struct(*(a[f] for f in ("sent_pos", "char_start", "char_end"))).eqNullSafe(F.struct(*(b[f] for f in ("sent_pos", "char_start", "char_end"))))
+def _same(a: Column, b: Column, fields: tuple[str, ...]) -> Column:
+    return F.struct(*(a[f] for f in fields)).eqNullSafe(F.struct(*(b[f] for f in fields)))
 
 
-def _within(a: Column, b: Column) -> Column:
+def _within(a: Column, b: Column, fields: tuple[str, ...]) -> Column:
+    if fields == CONTEXT:
+        return _same(a, b, fields)
     return (a["sent_pos"] == b["sent_pos"]) & (a["char_start"] >= b["char_start"]) & (a["char_end"] <= b["char_end"])
 
 
@@ -76,10 +98,17 @@ def extract(spec: CandidateSpec) -> DataFrame:
     args = [F.col(f"a{i}") for i in range(n)]
     if n == 2:
         a, b = args
+        kinds = [key_fields(x.columns) for x in spec.arguments]
+        both = a.isNotNull() & b.isNotNull()
+        alike = kinds[0] == kinds[1]
+        same = _same(a, b, kinds[0]) if alike else F.lit(False)
+        # contexts of two types are of two kinds; whatever is the same is inside itself as well
+        mixed = ~F.coalesce(a["context_type"] == b["context_type"], F.lit(False)) if alike and kinds[0] == CONTEXT else F.lit(not alike)
+        nested = (_within(a, b, kinds[0]) | _within(b, a, kinds[0])) if alike else F.lit(False)
         if not spec.self_relations:
-            out = out.where(~((a.isNull() & b.isNull()) | (a.isNotNull() & b.isNotNull() & _same(a, b))))
+            out = out.where(~((a.isNull() & b.isNull()) | (both & same)))
         if not spec.nested_relations:
-            out = out.where(~F.coalesce(_within(a, b) | _within(b, a), F.lit(False)))
+            out = out.where(~F.coalesce(both & (nested | (mixed if spec.legacy_mixed_nesting else F.lit(False))), F.lit(False)))
         if not spec.symmetric_relations:
             out = out.where(F.coalesce(a["mention_idx"] <= b["mention_idx"], F.lit(True)))
     if spec.throttler is not None:
@@ -87,14 +116,18 @@ def extract(spec: CandidateSpec) -> DataFrame:
     return out.select("doc_id", *(f"a{i}" for i in range(n)))
 
 
-def span_id(doc: Column, a: Column) -> Column:
-    """A key of a span that doesn't depend on the run: null-safe, so that a missing argument has one too."""
-    return F.when(a.isNull(), F.lit("-")).otherwise(F.concat_ws(":", doc.cast("string"), a["sent_pos"].cast("string"), a["char_start"].cast("string"), a["char_end"].cast("string")))
+def mention_id(doc: Column, a: Column, fields: tuple[str, ...] = SPAN) -> Column:
+    """A key of a mention that doesn't depend on the run: null-safe, so that a missing argument has one too."""
+    return F.when(a.isNull(), F.lit("-")).otherwise(F.concat_ws(":", doc.cast("string"), *(a[f].cast("string") for f in fields)))
+
+
+def _ids(candidates: DataFrame, n: int) -> list[Column]:
+    return [mention_id(F.col("doc_id"), F.col(f"a{i}"), key_fields(candidates.schema[f"a{i}"].dataType.names)) for i in range(n)]
 
 
 def with_ids(candidates: DataFrame, name: str, n: int) -> DataFrame:
     """Adds candidate_id, a hash of the relation and its arguments' keys."""
-    return candidates.withColumn("candidate_id", F.sha2(F.concat_ws("|", F.lit(name), *(span_id(F.col("doc_id"), F.col(f"a{i}")) for i in range(n))), 256))
+    return candidates.withColumn("candidate_id", F.sha2(F.concat_ws("|", F.lit(name), *_ids(candidates, n)), 256))
 
 
 def new_only(candidates: DataFrame, stored: DataFrame) -> DataFrame:
@@ -114,4 +147,15 @@ def docs_from_split(candidates: DataFrame, documents: DataFrame, split: int) ->
 def get_candidates(candidates: DataFrame, docs: DataFrame | None = None, split: int = 0, n: int = 2, sort: bool = False) -> DataFrame:
     """Candidates of some documents (of all splits), or of a split; sorted by their arguments' keys if asked."""
     out = candidates.join(docs.select("doc_id").distinct(), "doc_id", "left_semi") if docs is not None else candidates.where(F.col("split") == split)
-    return out.orderBy(F.concat_ws("_", *(span_id(F.col("doc_id"), F.col(f"a{i}")) for i in range(n)))) if sort else out
+    return out.orderBy(F.concat_ws("_", *_ids(out, n))) if sort else out
+
+
+def get_mentions(classes: list[DataFrame], docs: DataFrame | None = None, sort: bool = False) -> list[DataFrame]:
+    """The mentions of each class, of some documents or of all; sorted by their keys if asked."""
+    out = []
+    for mentions in classes:
+        if docs is not None:
+            mentions = mentions.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+        key = F.concat_ws(":", F.col("doc_id").cast("string"), *(F.col(f).cast("string") for f in key_fields(mentions.columns)))
+        out.append(mentions.orderBy(key) if sort else mentions)
+    return out

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from factloom.functions import boxes, grid, paths
 from factloom.functions.tokens import left_ngrams, ngrams, part, right_ngrams
 from factloom.operators import neighbours
+from factloom.settings import Settings, Tabular, Textual
 
 FAMILIES = ("textual", "structural", "tabular", "visual")
 #: What a number looks like to the window features: what floats are written as, underscores between digits included.
@@ -91,12 +92,12 @@ def word_features(mentions: DataFrame, window: int = 7) -> DataFrame:
     return _rows(mentions, keys)
 
 
-def textual_features(mentions: DataFrame) -> DataFrame:
+def textual_features(mentions: DataFrame, settings: Textual = Settings().textual) -> DataFrame:
     """DDL_ sequence and window features and BASIC_ word features."""
     ddl = sequence_features(mentions)
     if "lemmas" in mentions.columns:
-        ddl = ddl.union(window_features(mentions))
-    return ddl.withColumn("key", F.concat(F.lit("DDL_"), "key")).union(word_features(mentions).withColumn("key", F.concat(F.lit("BASIC_"), "key")))
+        ddl = ddl.union(window_features(mentions, settings.window, settings.isolated, settings.combinations))
+    return ddl.withColumn("key", F.concat(F.lit("DDL_"), "key")).union(word_features(mentions, settings.word_window).withColumn("key", F.concat(F.lit("BASIC_"), "key")))
 
 
 def dependency_edges(sentences: DataFrame) -> DataFrame:
@@ -106,6 +107,29 @@ def dependency_edges(sentences: DataFrame) -> DataFrame:
     return edges.select("doc_id", "sent_pos", "node", (F.col("t.dep_parents") - F.col("low") - 1).alias("parent"), F.col("t.words").alias("word"), F.col("t.dep_labels").alias("label"))
 
 
+def dependency_features(mentions: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
+    """TDL_ keys from the dependency tree around a span: words and labels up to ``depth`` steps towards the root, and those
+    of children and siblings outside the span. ``mentions`` have m, doc_id, sent_pos, word_start and word_end."""
+    e = edges.select("doc_id", "sent_pos", "node", "parent", "word", "label")
+    inside = mentions.select("m", "doc_id", "sent_pos", "word_start", "word_end", F.explode(F.sequence("word_start", "word_end")).alias("node"))
+    own = inside.join(e, ["doc_id", "sent_pos", "node"])
+    outside = lambda node: ~F.col(node).between(F.col("word_start"), F.col("word_end"))
+    up = own.select("m", "doc_id", "sent_pos", "word_start", "word_end", F.col("parent").alias("node"), F.array().cast("array<string>").alias("ws"), F.array("label").alias("ls")).where(outside("node"))
+    parts = []
+    for _ in range(depth):
+        up = up.join(e, ["doc_id", "sent_pos", "node"]).withColumn("ws", F.concat(F.array("word"), "ws"))
+        parts.append(up.select("m", F.explode(F.array(F.concat(F.lit("PARENT_WORD_["), F.array_join("ws", " "), F.lit("]")), F.concat(F.lit("PARENT_LABEL_["), F.array_join("ls", " "), F.lit("]")))).alias("key")))
+        up = up.select("m", "doc_id", "sent_pos", "word_start", "word_end", F.col("parent").alias("node"), "ws", F.concat(F.array("label"), "ls").alias("ls"))
+    low = e.select("doc_id", "sent_pos", F.col("node").alias("other"), F.col("parent").alias("p"), F.col("word").alias("w"), F.col("label").alias("l"))
+    for name, on in (("CHILD", F.col("p") == F.col("node")), ("SIBLING", (F.col("p") == F.col("parent")) & (F.col("p") >= 0))):
+        near = own.alias("x").join(low.alias("y"), (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.sent_pos") == F.col("y.sent_pos")) & on).where(outside("other"))
+        parts.append(near.select("m", F.explode(F.array(F.concat(F.lit(f"{name}_WORD_["), "w", F.lit("]")), F.concat(F.lit(f"{name}_LABEL_["), "l", F.lit("]")))).alias("key")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.distinct().select("m", F.concat(F.lit("TDL_"), "key").alias("key"), F.lit(1.0).alias("value"))
+
+
 def structural_features(mentions: DataFrame) -> DataFrame:
     """Keys of the element that holds the mention: html_tag, html_attrs, parent_tag, siblings and ancestors."""
     none = F.array().cast("array<string>")
@@ -121,61 +145,78 @@ def structural_features(mentions: DataFrame) -> DataFrame:
     return _rows(mentions.where(F.col("html_tag").isNotNull()), F.transform(keys, lambda k: F.concat(F.lit("STR_"), k)))
 
 
-def structural_pairs(candidates: DataFrame, a: str = "a0", b: str = "a1") -> DataFrame:
-    """Common ancestor and its depth, of candidates whose arguments carry an ``xpath``."""
-    x, y = F.col(f"{a}.xpath"), F.col(f"{b}.xpath")
-    keys = F.array(F.concat(F.lit("STR_COMMON_ANCESTOR_["), F.array_join(paths.common_ancestor(x, y), " "), F.lit("]")), F.concat(F.lit("STR_LOWEST_ANCESTOR_DEPTH_["), paths.lowest_common_ancestor_depth(x, y).cast("string"), F.lit("]")))
-    return candidates.where(x.isNotNull() & y.isNotNull()).select("candidate_id", F.explode(keys).alias("key"), F.lit(1.0).alias("value"))
+def _args(candidates: DataFrame, names: tuple[str, ...] | None) -> list[str]:
+    """The argument columns a0, a1, ... (or those named)."""
+    return list(names) if names else sorted((c for c in candidates.columns if c[:1] == "a" and c[1:].isdigit()), key=lambda c: int(c[1:]))
+
+
+def _all_set(columns: list[Column]) -> Column:
+    out = columns[0].isNotNull()
+    for c in columns[1:]:
+        out = out & c.isNotNull()
+    return out
+
+
+def structural_multinary(candidates: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
+    """Common ancestor and its depth, of candidates whose arguments all carry an ``xpath``."""
+    x = [F.col(f"{a}.xpath") for a in _args(candidates, names)]
+    keys = F.array(F.concat(F.lit("STR_COMMON_ANCESTOR_["), F.array_join(paths.common_ancestor(*x), " "), F.lit("]")), F.concat(F.lit("STR_LOWEST_ANCESTOR_DEPTH_["), paths.lowest_common_ancestor_depth(*x).cast("string"), F.lit("]")))
+    return candidates.where(_all_set(x)).select("candidate_id", F.explode(keys).alias("key"), F.lit(1.0).alias("value"))
 
 
-def tabular_features(mentions: DataFrame, sentences: DataFrame, n_max: int = 1) -> DataFrame:
-    """TAB_ keys of one mention: cell, row and column words, numbers, spans and heads."""
+def tabular_features(mentions: DataFrame, sentences: DataFrame, settings: Tabular = Settings().tabular) -> DataFrame:
+    """TAB_ keys of one mention: cell, row and column words (or other attributes of the tokens), numbers, spans and heads."""
     m = mentions.where(F.col("table_pos").isNotNull())
     own = m.select("m", F.explode(F.concat(
         F.transform(F.sequence("row_start", "row_end"), lambda r: F.concat(F.lit("ROW_NUM_["), r.cast("string"), F.lit("]"))),
         F.transform(F.sequence("col_start", "col_end"), lambda c: F.concat(F.lit("COL_NUM_["), c.cast("string"), F.lit("]"))),
         F.array(F.concat(F.lit("ROW_SPAN_["), grid.num_rows("").cast("string"), F.lit("]")), F.concat(F.lit("COL_SPAN_["), grid.num_cols("").cast("string"), F.lit("]"))),
     )).alias("key"))
-    tables = {
-        "CELL_WORDS": neighbours.cell_ngrams(m, sentences, n_max=n_max),
-        "ROW_HEAD_WORDS": neighbours.head_ngrams(m, sentences, "row", n_max=n_max),
-        "COL_HEAD_WORDS": neighbours.head_ngrams(m, sentences, "col", n_max=n_max),
-        "ROW_WORDS": neighbours.row_ngrams(m, sentences, n_max=n_max),
-        "COL_WORDS": neighbours.col_ngrams(m, sentences, n_max=n_max),
-    }
-    for name, rows in tables.items():
-        own = own.union(rows.select("m", F.concat(F.lit(f"{name}_["), "ngram", F.lit("]")).alias("key")))
+    for attribute in settings.attributes:
+        around = sentences if attribute == "words" else sentences.withColumn("words", F.col(attribute))
+        mine = m if attribute == "words" else m.withColumn("sentence_words", F.col(attribute))
+        tables = {
+            "CELL": neighbours.cell_ngrams(mine, around, n_max=settings.cell_ngrams),
+            "ROW_HEAD": neighbours.head_ngrams(mine, around, "row", n_max=settings.head_ngrams),
+            "COL_HEAD": neighbours.head_ngrams(mine, around, "col", n_max=settings.head_ngrams),
+            "ROW": neighbours.row_ngrams(mine, around, n_max=settings.row_ngrams),
+            "COL": neighbours.col_ngrams(mine, around, n_max=settings.col_ngrams),
+        }
+        for name, rows in tables.items():
+            own = own.union(rows.select("m", F.concat(F.lit(f"{name}_{attribute.upper()}_["), "ngram", F.lit("]")).alias("key")))
     return own.distinct().select("m", F.concat(F.lit("TAB_"), "key").alias("key"), F.lit(1.0).alias("value"))
 
 
-def tabular_pairs(candidates: DataFrame, a: str = "a0", b: str = "a1", absolute: bool = False) -> DataFrame:
-    """Distances of two arguments in one grid or two; SAME_SENTENCE comes with every SAME_CELL."""
-    x, y = F.col(a), F.col(b)
-    row, col = grid.min_row_diff([a, b], absolute), grid.min_col_diff([a, b], absolute)
-    same_table, same_cell = x["table_pos"] == y["table_pos"], (x["table_pos"] == y["table_pos"]) & (x["cell_pos"] == y["cell_pos"])
-    kind = F.when(same_table, "SAME_TABLE").otherwise("DIFF_TABLE")
+def tabular_multinary(candidates: DataFrame, names: tuple[str, ...] | None = None, settings: Tabular = Settings().tabular) -> DataFrame:
+    """Distances of a candidate's arguments in one grid or several; SAME_SENTENCE comes with every SAME_CELL."""
+    args = _args(candidates, names)
+    x = [F.col(a) for a in args]
+    row, col = grid.min_row_diff(args, settings.absolute_rows), grid.min_col_diff(args, settings.absolute_cols)
+    kind = F.when(grid.same_table(x), "SAME_TABLE").otherwise("DIFF_TABLE")
     number = lambda prefix, v: F.concat(prefix, F.lit("_["), v.cast("string"), F.lit("]"))
+    steps = lambda f: sum((a[f] - b[f] for a, b in zip(x[1:-1], x[2:])), x[0][f] - x[1][f])
     keys = F.concat(
         F.array(kind, number(F.concat(kind, F.lit("_ROW_DIFF")), row), number(F.concat(kind, F.lit("_COL_DIFF")), col), number(F.concat(kind, F.lit("_MANHATTAN_DIST")), F.abs(row) + F.abs(col))),
-        F.when(same_cell, F.array(F.lit("SAME_CELL"), number(F.lit("WORD_DIFF"), x["word_start"] - y["word_start"]), number(F.lit("CHAR_DIFF"), x["char_start"] - y["char_start"]), F.lit("SAME_SENTENCE"))).otherwise(F.array().cast("array<string>")),
+        F.when(grid.same_cell(x), F.array(F.lit("SAME_CELL"), number(F.lit("WORD_DIFF"), steps("word_start")), number(F.lit("CHAR_DIFF"), steps("char_start")), F.lit("SAME_SENTENCE"))).otherwise(F.array().cast("array<string>")),
     )
-    both = candidates.where(x["table_pos"].isNotNull() & y["table_pos"].isNotNull())
-    return both.select("candidate_id", F.explode(F.transform(keys, lambda k: F.concat(F.lit("TAB_"), k))).alias("key"), F.lit(1.0).alias("value"))
+    tabular = candidates.where(_all_set([a["table_pos"] for a in x]))
+    return tabular.select("candidate_id", F.explode(F.array_distinct(F.transform(keys, lambda k: F.concat(F.lit("TAB_"), k)))).alias("key"), F.lit(1.0).alias("value"))
 
 
 def visual_features(mentions: DataFrame, lemmas: DataFrame) -> DataFrame:
-    """VIZ_ keys of one mention: aligned lemmas (of its sentence) and the page."""
+    """VIZ_ keys of one mention: aligned lemmas (of its sentence) and its pages (the tokens' ``pages``, if there are any, or its box's)."""
     aligned = mentions.select("m", "doc_id", "sent_pos").join(lemmas, ["doc_id", "sent_pos"]).select("m", F.concat(F.lit("VIZ_ALIGNED_"), "lemma").alias("key"))
-    page = mentions.where(F.col("box.page").isNotNull()).select("m", F.concat(F.lit("VIZ_PAGE_["), F.col("box.page").cast("string"), F.lit("]")).alias("key"))
+    pages = F.array_distinct("pages") if "pages" in mentions.columns else F.array("box.page")
+    page = mentions.where(F.col("box.page").isNotNull()).select("m", F.explode(F.transform(pages, lambda p: F.concat(F.lit("VIZ_PAGE_["), p.cast("string"), F.lit("]")))).alias("key"))
     return aligned.union(page).distinct().withColumn("value", F.lit(1.0))
 
 
-def visual_pairs(candidates: DataFrame, a: str = "a0", b: str = "a1") -> DataFrame:
-    """SAME_PAGE, and the alignments on it."""
-    x, y = F.col(f"{a}.box"), F.col(f"{b}.box")
+def visual_multinary(candidates: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
+    """SAME_PAGE, and the alignments on it, of all of a candidate's arguments."""
+    b = [F.col(f"{a}.box") for a in _args(candidates, names)]
     tests = {"HORZ_ALIGNED": boxes.horz_aligned, "VERT_ALIGNED": boxes.vert_aligned, "VERT_ALIGNED_LEFT": boxes.vert_aligned_left, "VERT_ALIGNED_RIGHT": boxes.vert_aligned_right, "VERT_ALIGNED_CENTER": boxes.vert_aligned_center}
-    keys = F.filter(F.array(F.lit("SAME_PAGE"), *(F.when(t(x, y), name) for name, t in tests.items())), lambda k: k.isNotNull())
-    same = candidates.where(x["page"] == y["page"])
+    keys = F.filter(F.array(F.lit("SAME_PAGE"), *(F.when(boxes.all_aligned(t, b), name) for name, t in tests.items())), lambda k: k.isNotNull())
+    same = candidates.where(boxes.same_page(b))
     return same.select("candidate_id", F.explode(F.transform(keys, lambda k: F.concat(F.lit("VIZ_"), k))).alias("key"), F.lit(1.0).alias("value"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators import numbering
+
 
 def mapping(rows: DataFrame, stored: DataFrame | None = None, seq: str = "seq") -> DataFrame:
     """One value a (candidate_id, key): the last by ``seq``; a last value of 0 takes the key out. New values win over stored ones."""
@@ -45,13 +47,13 @@ def drop_all_keys(keys: DataFrame, classes: list[str]) -> DataFrame:
 
 
 def numbered(keys: DataFrame) -> DataFrame:
-    """Keys with their column numbers, in order of name. Keys are few next to what carries them."""
-    return keys.select("key", (F.row_number().over(Window.orderBy("key")) - 1).alias("col"))
+    """Keys with their column numbers, in order of name."""
+    return numbering.numbered(keys.select("key"), "key", "col").select("key", F.col("col").cast("int").alias("col"))
 
 
 def matrix(rows: DataFrame, keys: DataFrame, candidates: DataFrame, order: str = "candidate_id") -> DataFrame:
     """Sparse cells (row, col, value): rows in the candidates' order, columns of all keys; unknown keys are left out."""
-    ranked = candidates.select(order, "candidate_id").withColumn("row", F.row_number().over(Window.orderBy(order)) - 1) if order != "candidate_id" else candidates.select("candidate_id").withColumn("row", F.row_number().over(Window.orderBy("candidate_id")) - 1)
+    ranked = numbering.numbered(candidates.select("candidate_id", *([order] if order != "candidate_id" else [])), order, "row")
     return rows.join(numbered(keys), "key").join(ranked.select("candidate_id", "row"), "candidate_id").select("row", "col", "value")
 
 

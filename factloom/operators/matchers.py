@@ -14,6 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.tokens import let
+from factloom.operators import spaces
+
 
 @dataclass(frozen=True)
 class Span:
@@ -21,6 +24,7 @@ class Span:
 
     text: Column
     tokens: Callable[[str], Column]
+    within: bool = False
 
     def value(self, attribute: str, sep: str = " ") -> Column:
         return self.text if attribute == "words" else F.array_join(self.tokens(attribute), sep, "")
@@ -50,11 +54,52 @@ class Matcher:
     def __invert__(self) -> Matcher:
         return Inverse(self)
 
+    def tables(self) -> list[DictionaryMatch]:
+        """The dictionary tables that this matcher asks."""
+        return []
+
     def apply(self, mentions: DataFrame, by: tuple[str, ...] = ("doc_id", "sent_pos")) -> DataFrame:
-        kept = mentions.where(F.coalesce(self.on(row_span()), F.lit(False)))
+        flagged = mentions
+        for d in self.tables():
+            flagged = d.flag(flagged)
+        kept = flagged.where(F.coalesce(self.on(row_span()), F.lit(False))).select(*mentions.columns)
         return longest(kept, by) if self.longest_match_only else kept
 
 
+def ngrams(matcher: Matcher, sentences: DataFrame, n_min: int = 1, n_max: int = 5, attributes: tuple[str, ...] = ("words",), joined: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The sentences' token n-grams that match: ``matcher.apply(ngram_mentions(...))``, in one pass without an exchange.
+
+    The matcher looks at each n-gram inside its sentence's array. Only a longer n-gram can hold a span, so for the
+    longest-match rule a span asks the few that start up to ``n_max`` tokens before it.
+    """
+    tables = matcher.tables()
+    if tables:
+        return matcher.apply(spaces.ngram_mentions(sentences, n_min, n_max, attributes=attributes, joined=joined, carry=carry))
+    arrays = spaces.ngram_arrays(n_min, n_max, attributes, joined)
+    fields = ["ord", "char_start", "char_end", "word_start", "word_end", "span_text", *attributes]
+
+    def judged(x: Column) -> Column:
+        hit = F.coalesce(matcher.on(Span(x["span_text"], lambda a: x[a])), F.lit(False))
+        return F.struct(*(x[f].alias(f) for f in fields), (hit & (x["span_text"] != "")).alias("hit"))
+
+    flags = F.struct(*(F.transform(a, judged).alias(f"n{n}") for n, a in arrays.items()))
+
+    def chosen(v: Column) -> Column:
+        def kept(n: int) -> Column:
+            def keep(x: Column, i: Column) -> Column:
+                ok = x["hit"]
+                for m in [m for m in arrays if m > n and matcher.longest_match_only]:
+                    for back in range(m - n + 1):
+                        ok = ok & ~F.coalesce(F.get(v[f"n{m}"], i - back)["hit"], F.lit(False))
+                return ok
+
+            return F.filter(v[f"n{n}"], keep)
+
+        return F.concat(*map(kept, arrays))
+
+    return sentences.where(F.size("words") >= n_min).select("doc_id", "sent_pos", *carry, F.inline(let(flags, chosen))).drop("hit")
+
+
 def longest(mentions: DataFrame, by: tuple[str, ...] = ("doc_id", "sent_pos"), ngrams_only: bool = True) -> DataFrame:
     """Drops mentions inside a matched mention that was generated before.
 
@@ -74,7 +119,11 @@ def longest(mentions: DataFrame, by: tuple[str, ...] = ("doc_id", "sent_pos"), n
 
 
 class DictionaryMatch(Matcher):
-    """The span's value is in a dictionary: a list of words, or a one-column DataFrame joined by equality."""
+    """The span's value is in a dictionary: a list of words, or a one-column DataFrame joined by equality.
+
+    Combined with other matchers, a table gives each mention a flag first; inside ``Concat``, whose parts are no
+    mentions of their own, only lists will do.
+    """
 
     def __init__(self, d: list[str] | DataFrame, ignore_case: bool = True, attrib: str = "words", inverse: bool = False, stemmer: Callable[[Column], Column] | None = None, longest_match_only: bool = True) -> None:
         self.d, self.ignore_case, self.attrib, self.inverse, self.stemmer, self.longest_match_only = d, ignore_case, attrib, inverse, stemmer, longest_match_only
@@ -83,19 +132,32 @@ class DictionaryMatch(Matcher):
         x = F.lower(x) if self.ignore_case else x
         return self.stemmer(x) if self.stemmer else x
 
+    def tables(self) -> list[DictionaryMatch]:
+        return [self] if isinstance(self.d, DataFrame) else []
+
+    def _entries(self) -> DataFrame:
+        return self.d.select(self._norm(F.col(self.d.columns[0])).alias("_entry")).where("_entry is not null").distinct()
+
+    def flag(self, mentions: DataFrame) -> DataFrame:
+        name = f"_in_{id(self)}"
+        value = self._norm(row_span().value(self.attrib))
+        return mentions.withColumn("_entry", value).join(self._entries().withColumn(name, F.lit(True)), "_entry", "left").drop("_entry")
+
     def on(self, span: Span) -> Column:
         if isinstance(self.d, DataFrame):
-            raise TypeError("a dictionary table can only be applied to mentions, not combined")
-        hit = self._norm(span.value(self.attrib)).isin([]) if not self.d else F.array_contains(F.array(*(self._norm(F.lit(w)) for w in self.d)), self._norm(span.value(self.attrib)))
+            if span.within:
+                raise TypeError("a dictionary table can't be asked about part of a mention")
+            hit = F.coalesce(F.col(f"_in_{id(self)}"), F.lit(False))
+        else:
+            hit = self._norm(span.value(self.attrib)).isin([]) if not self.d else F.array_contains(F.array(*(self._norm(F.lit(w)) for w in self.d)), self._norm(span.value(self.attrib)))
         return ~F.coalesce(hit, F.lit(False)) if self.inverse else hit
 
     def apply(self, mentions: DataFrame, by: tuple[str, ...] = ("doc_id", "sent_pos")) -> DataFrame:
         if not isinstance(self.d, DataFrame):
             return super().apply(mentions, by)
-        words = self.d.select(self._norm(F.col(self.d.columns[0])).alias("_entry")).where("_entry is not null").distinct()
         how = "left_anti" if self.inverse else "left_semi"
         value = row_span().value(self.attrib)
-        kept = mentions.withColumn("_entry", self._norm(value)).join(words, "_entry", how).drop("_entry")
+        kept = mentions.withColumn("_entry", self._norm(value)).join(self._entries(), "_entry", how).select(*mentions.columns)
         return longest(kept, by) if self.longest_match_only else kept
 
 
@@ -113,6 +175,9 @@ class _Composed(Matcher):
     def __init__(self, *children: Matcher, longest_match_only: bool = True) -> None:
         self.children, self.longest_match_only = children, longest_match_only
 
+    def tables(self) -> list[DictionaryMatch]:
+        return [t for c in self.children for t in c.tables()]
+
     def _each(self, span: Span) -> list[Column]:
         return [F.coalesce(c.on(span), F.lit(False)) for c in self.children]
 
@@ -163,8 +228,8 @@ class Concat(_Composed):
 
         def at(w: Column) -> Column:
             cut = F.length(F.array_join(F.slice(words, F.lit(1), w), " ")) + 1  # characters before the right part
-            first = Span(F.substring(span.text, F.lit(1), cut - len(self.sep)), lambda a: F.slice(span.tokens(a), F.lit(1), w))
-            second = Span(F.substring(span.text, cut + 1, F.length(span.text)), lambda a: F.slice(span.tokens(a), w + 1, F.size(words)))
+            first = Span(F.substring(span.text, F.lit(1), cut - len(self.sep)), lambda a: F.slice(span.tokens(a), F.lit(1), w), True)
+            second = Span(F.substring(span.text, cut + 1, F.length(span.text)), lambda a: F.slice(span.tokens(a), w + 1, F.size(words)), True)
             ok = F.coalesce(left.on(first) & right.on(second), F.lit(False))
             if self.permutations:
                 ok = ok | F.coalesce(right.on(first) & left.on(second), F.lit(False))

@@ -8,7 +8,7 @@ interval test as the residual. Results are rows (m, ngram), duplicates included.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import boxes, grid
@@ -143,10 +143,11 @@ def aligned_lemmas(sentences: DataFrame, lemmas: str = "lemmas", most: int = 7)
     kinds = {"Y": ("yc", "xc"), "LEFT": ("left", "yc"), "RIGHT": ("right", "yc"), "CENTER": ("xc", "yc")}
     parts = []
     for name, (key, along) in kinds.items():
-        before = Window.partitionBy("doc_id", "page", key).orderBy(along, "sent_pos").rowsBetween(Window.unboundedPreceding, -1)
-        seen = base.withColumn("seen", F.array_distinct(F.flatten(F.collect_list("own").over(before))))
-        word = seen.select("doc_id", "sent_pos", F.explode("seen").alias("w"))
-        parts += [word.select("doc_id", "sent_pos", F.col("w").alias("lemma")), word.select("doc_id", "sent_pos", F.concat(F.lit(f"{name}_"), "w").alias("lemma"))]
+        # a lemma is seen from its first sentence in the group on
+        lemma = base.select("doc_id", "page", F.col(key).alias("k"), F.struct(F.col(along).alias("a"), "sent_pos").alias("at"), F.explode("own").alias("w"))
+        first = lemma.groupBy("doc_id", "page", "k", "w").agg(F.min("at").alias("first"))
+        seen = base.select("doc_id", "page", "sent_pos", F.col(key).alias("k"), F.struct(F.col(along).alias("a"), "sent_pos").alias("at")).join(first, ["doc_id", "page", "k"]).where("first < at")
+        parts.append(seen.select("doc_id", "sent_pos", F.explode(F.array("w", F.concat(F.lit(f"{name}_"), "w"))).alias("lemma")))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

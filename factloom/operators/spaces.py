@@ -15,41 +15,73 @@ from pyspark.sql import functions as F
 from factloom.functions.tokens import char_to_word
 
 
-def ngram_mentions(sentences: DataFrame, n_min: int = 1, n_max: int = 5, split_tokens: tuple[str, ...] = (), attributes: tuple[str, ...] = ("words",), legacy_split_offsets: bool = False) -> DataFrame:
+def ngram_arrays(n_min: int, n_max: int, attributes: tuple[str, ...] = ("words",), joined: bool = False) -> dict[int, Column]:
+    """For each length, long ones first, the array of a sentence's n-grams by start: structs of a span mention's columns.
+
+    ``joined`` says that the text is its words with single spaces between, so that a span needn't be sought in it.
+    """
+    def spans(n: int) -> Column:
+        def span(i: Column) -> Column:
+            last = i + (n - 1)
+            start = F.get("char_offsets", i)
+            end = F.get("char_offsets", last) + F.length(F.get("words", last)) - 1
+            if joined:
+                text = F.get("words", i) if n == 1 else F.array_join(F.slice("words", i + 1, F.lit(n)), " ")
+            else:
+                text = F.substring("text", start + 1, end - start + 1)
+            own = [(F.array(F.get(a, i)) if n == 1 else F.slice(F.col(a), i + 1, F.lit(n))).alias(a) for a in attributes]
+            order = F.lit((n_max - n) * (1 << 52)).cast("long") + i.cast("long") * (1 << 24)
+            return F.struct(order.alias("ord"), start.alias("char_start"), end.alias("char_end"), i.alias("word_start"), last.alias("word_end"), text.alias("span_text"), *own)
+
+        return F.transform(F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>")), span)
+
+    return {n: spans(n) for n in range(n_max, n_min - 1, -1)}
+
+
+def ngram_mentions(sentences: DataFrame, n_min: int = 1, n_max: int = 5, split_tokens: tuple[str, ...] = (), attributes: tuple[str, ...] = ("words",), legacy_split_offsets: bool = False, joined: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """All token n-grams, long ones first and then by start.
 
+    The n-grams of a sentence are made as one array of narrow structs, which is exploded once; of the
+    sentence only the columns named in ``carry`` come along. ``joined`` is as in ``ngram_arrays``.
     Single tokens are split further at ``split_tokens`` into every run of pieces. The
     pieces' places count from the sentence; ``legacy_split_offsets`` counts them from
     the token, as if it stood at the sentence's start.
     """
-    size = F.size("words")
-    longest = F.least(F.lit(n_max), size)
-    base = sentences.where(size >= n_min).withColumn("n", F.explode(F.sequence(longest, F.lit(n_min), F.lit(-1))))
-    spans = base.withColumn("i", F.explode(F.sequence(F.lit(0), size - F.col("n"))))
-    start = F.get("char_offsets", F.col("i"))
-    end = F.get("char_offsets", F.col("i") + F.col("n") - 1) + F.length(F.get("words", F.col("i") + F.col("n") - 1)) - 1
-    spans = spans.select("*", start.alias("char_start"), end.alias("char_end"), F.lit(0).alias("piece"))
-    if split_tokens and n_min <= 1 <= n_max:
-        rgx = "|".join(re.escape(t) for t in sorted(split_tokens, key=len, reverse=True))
-        token = F.get("words", F.col("i"))
-        pieces = F.split(token, rgx, -1)
-        marks = F.regexp_extract_all(token, F.lit(f"({rgx})"), F.lit(1))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-        step = lambda acc, x: F.struct((acc["at"] + F.length(x["p"]) + F.length(F.coalesce(x["m"], F.lit("")))).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), (acc["at"] + F.length(x["p"])).alias("e")))).alias("out"))
-        bounds = F.aggregate(F.arrays_zip(pieces.alias("p"), marks.alias("m")), zero, step, lambda acc: acc["out"])
-        cut = sentences.withColumn("n", F.lit(1)).withColumn("i", F.explode(F.when(size > 0, F.sequence(F.lit(0), size - 1)))).withColumn("bounds", bounds).where(F.size("bounds") > 1)
-        pairs = cut.select("*", F.posexplode("bounds").alias("x", "from")).select("*", F.explode("bounds").alias("to")).where(F.col("from.s") < F.col("to.e"))
-        shift = F.lit(0) if legacy_split_offsets else F.get("char_offsets", F.col("i"))
-        split = pairs.select(*spans.columns[:-3], (F.col("from.s") + shift).alias("char_start"), (F.col("to.e") - 1 + shift).alias("char_end"), (F.col("x") * 65536 + F.col("to.e")).cast("int").alias("piece"))
-        # a span that comes up twice counts once, where it came up first
-        first_met = Window.partitionBy("doc_id", "sent_pos", "char_start", "char_end").orderBy(F.desc("n"), "i", "piece")
-        spans = spans.union(split).withColumn("met", F.row_number().over(first_met)).where("met = 1").drop("met")
-    first, last = F.col("i"), (F.col("i") + F.col("n") - 1).cast("int")
-    if split_tokens and legacy_split_offsets:  # their pieces may lie in another token
-        first, last = char_to_word(F.col("char_offsets"), F.col("char_start")), char_to_word(F.col("char_offsets"), F.col("char_end"))
-    order = (F.lit(n_max) - F.col("n")).cast("long") * (1 << 52) + F.col("i").cast("long") * (1 << 24) + F.col("piece")
-    out = spans.select("doc_id", "sent_pos", order.alias("ord"), "char_start", "char_end", first.alias("word_start"), last.alias("word_end"), F.expr("substring(text, char_start + 1, char_end - char_start + 1)").alias("span_text"), *(F.col(a).alias(f"_{a}") for a in attributes))
-    return out.select(*out.columns[:8], *(F.expr(f"slice(`_{a}`, word_start + 1, word_end - word_start + 1)").alias(a) for a in attributes)).where("span_text <> ''")
+    arrays = ngram_arrays(n_min, n_max, attributes, joined)
+    whole = sentences.where(F.size("words") >= n_min).select("doc_id", "sent_pos", *carry, F.inline(F.concat(*arrays.values()))).where("span_text <> ''")
+    if not (split_tokens and n_min <= 1 <= n_max):
+        return whole
+    names = [c for c in whole.columns]
+    rgx = "|".join(re.escape(t) for t in sorted(split_tokens, key=len, reverse=True))
+    token = F.col("token")
+    pieces, marks = F.split(token, rgx, -1), F.regexp_extract_all(token, F.lit(f"({rgx})"), F.lit(1))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x["p"]) + F.length(F.coalesce(x["m"], F.lit("")))).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), (acc["at"] + F.length(x["p"])).alias("e")))).alias("out"))
+    bounds = F.aggregate(F.arrays_zip(pieces.alias("p"), marks.alias("m")), zero, step, lambda acc: acc["out"])
+    # only tokens that a mark splits go on
+    cut = sentences.select("doc_id", "sent_pos", *carry, *(["char_offsets"] if legacy_split_offsets else []), *(F.col(a).alias(f"_{a}") for a in attributes), F.posexplode(F.arrays_zip("words", "char_offsets")).alias("i", "t"))
+    cut = cut.where(F.col("t.words").rlike(rgx)).withColumn("token", F.col("t.words")).withColumn("at", F.lit(0) if legacy_split_offsets else F.col("t.char_offsets")).withColumn("bounds", bounds)
+    pairs = cut.select("*", F.posexplode("bounds").alias("x", "from")).select("*", F.explode("bounds").alias("to")).where(F.col("from.s") < F.col("to.e"))
+    start, end = F.col("from.s") + F.col("at"), F.col("to.e") - 1 + F.col("at")
+    first = last = F.col("i")
+    if legacy_split_offsets:  # their pieces may lie in another token
+        first, last = char_to_word(F.col("char_offsets"), start), char_to_word(F.col("char_offsets"), end)
+    piece = (F.col("x") * 65536 + F.col("to.e")).cast("int")
+    order = F.lit(n_max - 1).cast("long") * (1 << 52) + F.col("i").cast("long") * (1 << 24) + piece
+    text = F.substring("token", F.col("from.s") + 1, F.col("to.e") - F.col("from.s"))
+    split = pairs.select("doc_id", "sent_pos", *carry, order.alias("ord"), start.alias("char_start"), end.alias("char_end"), first.alias("word_start"), last.alias("word_end"), text.alias("span_text"), *(F.slice(F.col(f"_{a}"), F.col("i") + 1, F.lit(1)).alias(a) for a in attributes))
+    if legacy_split_offsets:
+        text = F.expr("substring(text, char_start + 1, char_end - char_start + 1)")
+        split = split.drop("span_text", *attributes).join(sentences.select("doc_id", "sent_pos", "text", *(F.col(a).alias(f"_{a}") for a in attributes)), ["doc_id", "sent_pos"]).withColumn("span_text", text)
+        split = split.select("*", *(F.expr(f"slice(`_{a}`, word_start + 1, word_end - word_start + 1)").alias(a) for a in attributes))
+    # a span that comes up twice counts once, where it came up first; a token that isn't split comes up once
+    first_met = Window.partitionBy("doc_id", "sent_pos", "char_start", "char_end").orderBy("ord")
+    whole_split = whole.where(F.exists("words", lambda w: w.rlike(rgx)))
+    met = whole_split.union(split.select(names).where("span_text <> ''")).withColumn("met", F.row_number().over(first_met)).where("met = 1").drop("met")
+    if legacy_split_offsets:
+        met = whole.union(split.select(names).where("span_text <> ''")).withColumn("met", F.row_number().over(first_met)).where("met = 1").drop("met")
+        return met
+    return whole.where(~F.exists("words", lambda w: w.rlike(rgx))).union(met)
 
 
 def sentence_mentions(sentences: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 WITH = r"""WITH p0 AS (SELECT doc_id, list_filter(string_split(text, '.'), lambda x: regexp_matches(x, '\S')) AS ps FROM documents),
 p1 AS (SELECT doc_id, unnest(range(len(ps)))::INT AS sent_pos, unnest(ps) AS piece FROM p0),
-sent AS (SELECT doc_id, sent_pos, string_split_regex(trim(piece, E' \n\t\r'), '\s+') AS words FROM p1),
+sent AS MATERIALIZED (SELECT doc_id, sent_pos, string_split_regex(trim(piece, E' \n\t\r'), '\s+') AS words FROM p1),
 dict AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(string_split_regex(trim(text, E' \n\t\r'), '\s+')) AS w FROM benchmark)) """
 
 
@@ -115,7 +115,7 @@ def html_errors(spark, sf):
 
 @query(with_ngrams(3) + f"SELECT {SPANS}, word_start, word_end FROM m")
 def ngrams_all(spark, sf):
-    return spaces.ngram_mentions(sents(spark, sf), 1, 3).select(*SPAN, "word_start", "word_end")
+    return spaces.ngram_mentions(sents(spark, sf), 1, 3, joined=True).select(*SPAN, "word_start", "word_end")
 
 
 @query(WITH + r""", t AS (SELECT DISTINCT doc_id, sent_pos, words, unnest(range(len(words))) AS i FROM sent),
@@ -124,7 +124,7 @@ b AS (SELECT *, list_concat([0], list_transform(list_filter(range(1, len(w) + 1)
 f AS (SELECT doc_id, sent_pos, w, o, unnest(s) AS s, e FROM b), g AS (SELECT doc_id, sent_pos, w, o, s, unnest(e) AS e FROM f),
 u AS (SELECT DISTINCT doc_id, sent_pos, (o + s)::INT AS char_start, (o + e - 1)::INT AS char_end, w[s + 1:e] AS span_text FROM g WHERE s < e UNION SELECT doc_id, sent_pos, o::INT, (o + len(w) - 1)::INT, w FROM o) SELECT """ + SPANS + " FROM u")
 def ngrams_split_tokens(spark, sf):
-    return spaces.ngram_mentions(sents(spark, sf), 1, 1, ("-", "/", "@")).select(*SPAN)
+    return spaces.ngram_mentions(sents(spark, sf), 1, 1, ("-", "/", "@"), joined=True).select(*SPAN)
 
 
 @query(WITH + "SELECT doc_id, sent_pos, 0 AS char_start, (len(array_to_string(words, ' ')) - 1)::INT AS char_end, array_to_string(words, ' ') AS span_text FROM sent")
@@ -171,7 +171,11 @@ def mention_captions(spark, sf):
 
 
 def bigrams(spark, sf):
-    return spaces.ngram_mentions(sents(spark, sf), 1, 2)
+    return spaces.ngram_mentions(sents(spark, sf), 1, 2, joined=True)
+
+
+def matching(matcher, spark, sf, n_max=2):
+    return matchers.ngrams(matcher, sents(spark, sf), 1, n_max, joined=True).select(*SPAN)
 
 
 @query(longest_sql("lower(span_text) IN (SELECT w FROM dict)"))
@@ -181,27 +185,27 @@ def match_dictionary(spark, sf):
 
 @query(longest_sql("lower(span_text) NOT IN (SELECT w FROM dict)", 1))
 def match_dictionary_inverse(spark, sf):
-    return matchers.DictionaryMatch(dictionary(spark, sf), inverse=True).apply(spaces.ngram_mentions(sents(spark, sf), 1, 1)).select(*SPAN)
+    return matchers.DictionaryMatch(dictionary(spark, sf), inverse=True).apply(spaces.ngram_mentions(sents(spark, sf), 1, 1, joined=True)).select(*SPAN)
 
 
 @query(longest_sql("regexp_matches(span_text, '^(?i:[a-z]+ing)$')"))
 def match_regex_span(spark, sf):
-    return matchers.RegexMatchSpan("[a-z]+ing").apply(bigrams(spark, sf)).select(*SPAN)
+    return matching(matchers.RegexMatchSpan("[a-z]+ing"), spark, sf)
 
 
 @query(longest_sql("regexp_matches(replace(span_text, ' ', ''), '^(?i:thethe[a-z]*)$')"))
 def match_regex_span_sep(spark, sf):
-    return matchers.RegexMatchSpan("thethe[a-z]*", sep=" ").apply(bigrams(spark, sf)).select(*SPAN)
+    return matching(matchers.RegexMatchSpan("thethe[a-z]*", sep=" "), spark, sf)
 
 
 @query(longest_sql("regexp_matches(span_text, '[0-9]{3}')"))
 def match_regex_search(spark, sf):
-    return matchers.RegexMatchSpan("[0-9]{3}", search=True, full_match=False).apply(bigrams(spark, sf)).select(*SPAN)
+    return matching(matchers.RegexMatchSpan("[0-9]{3}", search=True, full_match=False), spark, sf)
 
 
 @query(longest_sql("len(list_filter(words[word_start + 1:word_end + 1], lambda w: NOT regexp_matches(w, '^(?i:[a-z]{9,})$'))) = 0"))
 def match_regex_each(spark, sf):
-    return matchers.RegexMatchEach("[a-z]{9,}").apply(bigrams(spark, sf)).select(*SPAN)
+    return matching(matchers.RegexMatchEach("[a-z]{9,}"), spark, sf)
 
 
 def tagged(spark, sf):
@@ -212,12 +216,12 @@ def tagged(spark, sf):
 
 @query(longest_sql("len(list_filter(words[word_start + 1:word_end + 1], lambda w: NOT regexp_matches(w, '^[A-Z][a-z]+$'))) = 0"))
 def match_ner(spark, sf):
-    return matchers.PersonMatcher().apply(spaces.ngram_mentions(tagged(spark, sf), 1, 2, attributes=("words", "ner_tags"))).select(*SPAN)
+    return matchers.ngrams(matchers.PersonMatcher(), tagged(spark, sf), 1, 2, ("words", "ner_tags"), joined=True).select(*SPAN)
 
 
 @query(longest_sql("len(list_filter(words[word_start + 1:word_end + 1], lambda w: NOT regexp_matches(w, '^[0-9]+$'))) = 0"))
 def match_ner_number(spark, sf):
-    return matchers.NumberMatcher().apply(spaces.ngram_mentions(tagged(spark, sf), 1, 2, attributes=("words", "ner_tags"))).select(*SPAN)
+    return matchers.ngrams(matchers.NumberMatcher(), tagged(spark, sf), 1, 2, ("words", "ner_tags"), joined=True).select(*SPAN)
 
 
 ING, TH = matchers.RegexMatchSpan("[a-z]+ing"), matchers.RegexMatchSpan("th.*")
@@ -226,66 +230,65 @@ ING_SQL, TH_SQL = "regexp_matches(span_text, '^(?i:[a-z]+ing)$')", "regexp_match
 
 @query(longest_sql(f"({ING_SQL} OR {TH_SQL})"))
 def match_union(spark, sf):
-    return (ING | TH).apply(bigrams(spark, sf)).select(*SPAN)
+    return matching((ING | TH), spark, sf)
 
 
 @query(longest_sql(f"({ING_SQL} AND {TH_SQL})"))
 def match_intersect(spark, sf):
-    return (ING & TH).apply(bigrams(spark, sf)).select(*SPAN)
+    return matching((ING & TH), spark, sf)
 
 
 @query(longest_sql(f"NOT {TH_SQL}"))
 def match_inverse(spark, sf):
-    return (~TH).apply(bigrams(spark, sf)).select(*SPAN)
+    return matching((~TH), spark, sf)
 
 
 @query(longest_sql("n = 2 AND regexp_matches(words[word_start + 1], '^(?i:the)$') AND regexp_matches(words[word_end + 1], '^(?i:[a-z]+ing)$')"))
 def match_concat(spark, sf):
-    return matchers.Concat(matchers.RegexMatchSpan("the"), ING).apply(bigrams(spark, sf)).select(*SPAN)
+    return matching(matchers.Concat(matchers.RegexMatchSpan("the"), ING), spark, sf)
 
 
 @query(longest_sql("(n = 2 AND regexp_matches(words[word_start + 1], '^(?i:the)$') AND regexp_matches(words[word_end + 1], '^(?i:[a-z]+ing)$')) OR regexp_matches(span_text, '^(?i:[a-z]+ing)$')"))
 def match_concat_optional(spark, sf):
-    return matchers.Concat(matchers.RegexMatchSpan("the"), ING, left_required=False).apply(bigrams(spark, sf)).select(*SPAN)
+    return matching(matchers.Concat(matchers.RegexMatchSpan("the"), ING, left_required=False), spark, sf)
 
 
 @query(longest_sql("len(span_text) >= 12", 3))
 def match_longest(spark, sf):
     long = matchers.LambdaFunctionMatcher(lambda s: F.length(s.text) >= 12, longest_match_only=True)
-    return long.apply(spaces.ngram_mentions(sents(spark, sf), 1, 3)).select(*SPAN)
+    return matching(long, spark, sf, 3)
 
 
 @query(with_ngrams(2) + f"SELECT {SPANS} FROM m WHERE len(span_text) % 7 = 0")
 def match_lambda(spark, sf):
-    return matchers.LambdaFunctionMatcher(lambda s: F.length(s.text) % 7 == 0).apply(bigrams(spark, sf)).select(*SPAN)
+    return matching(matchers.LambdaFunctionMatcher(lambda s: F.length(s.text) % 7 == 0), spark, sf)
 
 
 @query(longest_sql("true"))
 def match_donothing(spark, sf):
-    return matchers.DoNothingMatcher().apply(bigrams(spark, sf)).select(*SPAN)
+    return matching(matchers.DoNothingMatcher(), spark, sf)
 
 
 # candidates: a longish word and a capitalised one
 
 
 LONG, CAPITAL = matchers.RegexMatchSpan("[a-z]{14,}", ignore_case=False), matchers.RegexMatchSpan("[A-Z][a-z]{9,}", ignore_case=False)
-AB = """, a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_pos, word_start) - 1 AS x FROM m WHERE regexp_matches(span_text, '^[a-z]{14,}$')),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_pos, word_start) - 1 AS x FROM m WHERE regexp_matches(span_text, '^[A-Z][a-z]{9,}$')) """
+AB = """, a AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_pos, word_start) - 1 AS x FROM m WHERE regexp_matches(span_text, '^[a-z]{14,}$')),
+b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_pos, word_start) - 1 AS x FROM m WHERE regexp_matches(span_text, '^[A-Z][a-z]{9,}$')) """
 PAIR_SQL = "SELECT a.doc_id, a.sent_pos AS s0, a.span_text AS t0, b.sent_pos AS s1, b.span_text AS t1, a.char_start AS c0, b.char_start AS c1 FROM a JOIN b ON a.doc_id = b.doc_id"
 
 
 def arguments(spark, sf):
-    whole = sents(spark, sf).select("doc_id", "sent_pos", F.col("words").alias("sentence_words"))
-    words = spaces.ngram_mentions(sents(spark, sf), 1, 1)
-    return tuple(cand.index_mentions(m.apply(words)).join(whole, ["doc_id", "sent_pos"]) for m in (LONG, CAPITAL))
+    whole = sents(spark, sf).withColumn("sentence_words", F.col("words"))
+    return tuple(cand.index_mentions(matchers.ngrams(m, whole, 1, 1, joined=True, carry=("sentence_words",))) for m in (LONG, CAPITAL))
 
 
 def pairs(spark, sf, **options):
     return cand.extract(cand.CandidateSpec("pair", list(arguments(spark, sf)), **options))
 
 
-def flat(c):
-    return c.select("doc_id", F.col("a0.sent_pos").alias("s0"), F.col("a0.span_text").alias("t0"), F.col("a1.sent_pos").alias("s1"), F.col("a1.span_text").alias("t1"), F.col("a0.char_start").alias("c0"), F.col("a1.char_start").alias("c1"))
+def flat(c, *more):
+    return c.select(*more, "doc_id", F.col("a0.sent_pos").alias("s0"), F.col("a0.span_text").alias("t0"), F.col("a1.sent_pos").alias("s1"), F.col("a1.span_text").alias("t1"), F.col("a0.char_start").alias("c0"), F.col("a1.char_start").alias("c1"))
 
 
 @query(with_ngrams(1) + AB + "SELECT doc_id, sent_pos AS s0, span_text AS t0 FROM a")
@@ -365,7 +368,8 @@ def joint(spark, sf):
 
 @query(with_ngrams(1) + AB + f"SELECT doc_id, s0, t0, s1, t1, c0, c1, s0 = s1 AS same_sentence FROM ({PAIR_SQL})")
 def same_sentence(spark, sf):
-    return flat(pairs(spark, sf)).withColumn("same_sentence", F.col("s0") == F.col("s1"))
+    c = pairs(spark, sf)
+    return flat(c.withColumn("joint", tokens.same_sentence([F.col("a0"), F.col("a1")])), "joint").withColumnRenamed("joint", "same_sentence")
 
 
 @query(with_ngrams(1) + AB + f"SELECT doc_id, s0, c0, c1, array_to_string(list_transform(w[least(ws0, ws1) + 2:greatest(ws0, ws1)], lambda x: lower(x)), '|') AS between_words FROM ({SAME})")
@@ -414,4 +418,4 @@ def mark_sentence(spark, sf):
 @query(with_ngrams(1) + AB + f", c AS ({SAME}), w AS (SELECT unnest(w) AS word FROM c UNION ALL SELECT unnest(w) FROM c) SELECT word, count(*) AS n FROM w GROUP BY word")
 def word_counter(spark, sf):
     c = joint(spark, sf)
-    return c.select(F.explode(F.concat("a0.sentence_words", "a1.sentence_words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return c.select(F.explode(tokens.word_counter([F.col("a0.sentence_words"), F.col("a1.sentence_words")])).alias("word")).groupBy("word").agg(F.count("*").alias("n"))

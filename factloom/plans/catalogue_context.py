@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 
 from factloom.functions import boxes, grid, paths
 from factloom.operators import candidates as cand
-from factloom.operators import features, keys, labels, neighbours
+from factloom.operators import features, keys, labels, neighbours, spaces
 from factloom.plans.catalogue import AB, SAME, WITH, arguments, joint, query, read, sents, with_ngrams
+from factloom.settings import Tabular
 from factloom.sources import adapters
 
 GRID = """WITH g0 AS (SELECT (o_orderkey // 16)::BIGINT AS doc_id, (o_orderkey % 16 + 1)::INT AS r, [o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus, o_orderpriority] AS v FROM orders),
-cells AS (SELECT doc_id, r, unnest(range(4))::INT AS c, unnest(v) AS text FROM g0 UNION ALL SELECT doc_id, 0, unnest(range(4))::INT, unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority']) FROM (SELECT DISTINCT doc_id FROM g0)),
-g AS (SELECT doc_id, r, c, (r * 4 + c)::INT AS p, text, string_split(text, ' ') AS words FROM cells),
-ment AS (SELECT * FROM g WHERE regexp_matches(text, '^[1-3]-')),
-tok AS (SELECT doc_id, r, c, p, unnest(words) AS w FROM g) """
+cells AS MATERIALIZED (SELECT doc_id, r, unnest(range(4))::INT AS c, unnest(v) AS text FROM g0 UNION ALL SELECT doc_id, 0, unnest(range(4))::INT, unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority']) FROM (SELECT DISTINCT doc_id FROM g0)),
+g AS MATERIALIZED (SELECT doc_id, r, c, (r * 4 + c)::INT AS p, text, string_split(text, ' ') AS words FROM cells),
+ment AS MATERIALIZED (SELECT * FROM g WHERE regexp_matches(text, '^[1-3]-')),
+tok AS MATERIALIZED (SELECT doc_id, r, c, p, unnest(words) AS w FROM g) """
 
 
 def grid_sentences(spark, sf):
@@ -48,7 +49,7 @@ def cell_pairs(spark, sf):
     return a.join(n, F.col("doc_id") == F.col("d"))
 
 
-CELL_PAIRS = GRID + ", cp AS (SELECT a.doc_id, a.p AS pa, b.p AS pb, a.r AS ra, b.r AS rb, a.c AS ca, b.c AS cb FROM ment a JOIN g b ON a.doc_id = b.doc_id WHERE b.text = 'F') "
+CELL_PAIRS = GRID + ", cp AS MATERIALIZED (SELECT a.doc_id, a.p AS pa, b.p AS pb, a.r AS ra, b.r AS rb, a.c AS ca, b.c AS cb FROM ment a JOIN g b ON a.doc_id = b.doc_id WHERE b.text = 'F') "
 
 
 @query(CELL_PAIRS + "SELECT doc_id, pa, pb, abs(ra - rb) BETWEEN 0 AND 1 AS row_near, abs(ca - cb) BETWEEN 1 AND 1 AS col_near, least(abs(ra - rb), abs(ca - cb)) AS axis_diff FROM cp")
@@ -58,15 +59,14 @@ def axis_aligned_spread(spark, sf):
 
 @query(CELL_PAIRS + "SELECT doc_id, pa, pb, true AS same_table, ra = rb AS same_row, ca = cb AS same_col, pa = pb AS same_cell, ra = rb OR ca = cb AS aligned FROM cp")
 def same_table_row_col_cell(spark, sf):
-    a, b = F.col("a"), F.col("b")
-    same = grid.same([a["table_pos"], b["table_pos"]])
-    row, col = same & grid.is_row_aligned("a", "b"), same & grid.is_col_aligned("a", "b")
-    return cell_pairs(spark, sf).select("doc_id", a["cell_pos"].alias("pa"), b["cell_pos"].alias("pb"), same.alias("same_table"), row.alias("same_row"), col.alias("same_col"), (same & grid.same([a["cell_pos"], b["cell_pos"]])).alias("same_cell"), (row | col).alias("aligned"))
+    args = [F.col("a"), F.col("b")]
+    tests = {"same_table": grid.same_table, "same_row": grid.same_row, "same_col": grid.same_col, "same_cell": grid.same_cell, "aligned": grid.is_tabular_aligned}
+    return cell_pairs(spark, sf).select("doc_id", F.col("a.cell_pos").alias("pa"), F.col("b.cell_pos").alias("pb"), *(t(args).alias(n) for n, t in tests.items()))
 
 
 @query(CELL_PAIRS + "SELECT doc_id, pa, pb, cb AS max_col, ca AS min_col, rb AS max_row, ra AS min_row FROM cp")
 def minmax_row_col(spark, sf):
-    return cell_pairs(spark, sf).select("doc_id", F.col("a.cell_pos").alias("pa"), F.col("b.cell_pos").alias("pb"), F.col("b.col_end").alias("max_col"), F.col("a.col_start").alias("min_col"), F.col("b.row_end").alias("max_row"), F.col("a.row_start").alias("min_row"))
+    return cell_pairs(spark, sf).select("doc_id", F.col("a.cell_pos").alias("pa"), F.col("b.cell_pos").alias("pb"), grid.max_col(F.col("b")).alias("max_col"), grid.min_col(F.col("a")).alias("min_col"), grid.max_row(F.col("b")).alias("max_row"), grid.min_row(F.col("a")).alias("min_row"))
 
 
 def counted(rows, *more):
@@ -138,7 +138,7 @@ def bbox_alignment(spark, sf):
 
 @query(PAGE + "SELECT x.doc_id, x.sent_pos, x.page, x.page = y.page AS same_page" + NEXT)
 def same_page(spark, sf):
-    return page_pairs(spark, sf).select("doc_id", "sent_pos", F.col("x.page").alias("page"), (F.col("x.page") == F.col("y.page")).alias("same_page"))
+    return page_pairs(spark, sf).select("doc_id", "sent_pos", F.col("x.page").alias("page"), boxes.same_page([F.col("x"), F.col("y")]).alias("same_page"))
 
 
 @query(PAGE + "SELECT doc_id, sent_pos, t / 792.0::DOUBLE AS v, l / 612.0::DOUBLE AS h FROM l")
@@ -198,9 +198,9 @@ def lca_depth(spark, sf):
     return path_pairs(spark, sf).select("doc_id", paths.lowest_common_ancestor_depth(F.col("x"), F.col("y")).alias("depth"))
 
 
-@query("SELECT doc_id, 'html body div p' AS tags FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'html body div p b' ELSE 'html body div p' END AS tags FROM documents")
 def ancestor_tags(spark, sf):
-    return path_pairs(spark, sf).select("doc_id", F.array_join(paths.ancestor_tags(F.col("x")), " ").alias("tags"))
+    return path_pairs(spark, sf).select("doc_id", F.array_join(paths.ancestor_tags(F.col("y")), " ").alias("tags"))
 
 
 # features
@@ -256,7 +256,7 @@ def feat_textual_word(spark, sf):
     "SELECT a.doc_id, a.p, 'COL_HEAD_WORDS_[' || lower(t.w) || ']' FROM ment a JOIN tok t ON a.doc_id = t.doc_id AND a.c = t.c AND t.r = 0 WHERE a.r <> 0",
 ]) + ") SELECT DISTINCT doc_id, p AS cell_pos, 'TAB_' || k AS key FROM k")
 def feat_tabular_unary(spark, sf):
-    return keyed(features.tabular_features(first_words(spark, sf), grid_sentences(spark, sf)))
+    return keyed(features.tabular_features(first_words(spark, sf), grid_sentences(spark, sf), Tabular(cell_ngrams=1, head_ngrams=1, row_ngrams=1, col_ngrams=1)))
 
 
 @query(CELL_PAIRS + "SELECT doc_id, pa, pb, unnest(list_concat(['TAB_SAME_TABLE', 'TAB_SAME_TABLE_ROW_DIFF_[' || (ra - rb) || ']', 'TAB_SAME_TABLE_COL_DIFF_[' || (ca - cb) || ']', 'TAB_SAME_TABLE_MANHATTAN_DIST_[' || (abs(ra - rb) + abs(ca - cb)) || ']'], CASE WHEN pa = pb THEN ['TAB_SAME_CELL'] ELSE [] END)) AS key FROM cp")
@@ -265,7 +265,75 @@ def feat_tabular_multinary(spark, sf):
         return F.struct(*(F.col(f"{name}.{c}").alias(c) for c in ("table_pos", "cell_pos", "row_start", "row_end", "col_start", "col_end")), F.lit(0).alias("word_start"), F.lit(0).alias("char_start"))
 
     c = cell_pairs(spark, sf).select(F.struct("doc_id", F.col("a.cell_pos").alias("pa"), F.col("b.cell_pos").alias("pb")).alias("candidate_id"), arg("a").alias("a0"), arg("b").alias("a1"))
-    return features.tabular_pairs(c).select("candidate_id.*", "key")
+    return features.tabular_multinary(c).select("candidate_id.*", "key")
+
+
+BIGRAMS = FIRST.replace("unnest(words) AS w FROM g)", "unnest(list_concat(words, list_transform(range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1]))) AS w FROM g)").replace("ment AS MATERIALIZED (SELECT * FROM g", "ment AS MATERIALIZED (SELECT *, list_concat(words[2:], list_transform(range(2, len(words)), lambda k: words[k] || ' ' || words[k + 1])) AS rest FROM g")
+ROW_TWO, COL_TWO = (x.replace("unnest(words[2:])", "unnest(rest)") for x in (ROW_SQL, COL_SQL))
+
+
+@query(BIGRAMS + ", k AS (" + " UNION ALL ".join([
+    "SELECT doc_id, p, 'ROW_NUM_[' || r || ']' AS k FROM ment", "SELECT doc_id, p, 'COL_NUM_[' || c || ']' FROM ment", "SELECT doc_id, p, 'ROW_SPAN_[1]' FROM ment", "SELECT doc_id, p, 'COL_SPAN_[1]' FROM ment",
+    "SELECT doc_id, p, 'CELL_WORDS_[' || lower(unnest(rest)) || ']' FROM ment",
+    f"SELECT doc_id, p, 'ROW_WORDS_[' || lower(w) || ']' FROM ({ROW_TWO})", f"SELECT doc_id, p, 'COL_WORDS_[' || lower(w) || ']' FROM ({COL_TWO})",
+    "SELECT a.doc_id, a.p, 'ROW_HEAD_WORDS_[' || lower(t.w) || ']' FROM ment a JOIN tok t ON a.doc_id = t.doc_id AND a.r = t.r AND t.c = 0 WHERE a.c <> 0",
+    "SELECT a.doc_id, a.p, 'COL_HEAD_WORDS_[' || lower(t.w) || ']' FROM ment a JOIN tok t ON a.doc_id = t.doc_id AND a.c = t.c AND t.r = 0 WHERE a.r <> 0",
+]) + ") SELECT DISTINCT doc_id, p AS cell_pos, 'TAB_' || k AS key FROM k")
+def feat_tabular_default(spark, sf):
+    """As the settings have it by default: n-grams of up to two words."""
+    return keyed(features.tabular_features(first_words(spark, sf), grid_sentences(spark, sf)))
+
+
+@query(CELL_PAIRS + """, tri AS (SELECT doc_id, pa, pb, ra, rb, ca, cb, least(pa, pb) + 1 AS pc FROM cp),
+t3 AS (SELECT *, pc // 4 AS rc, pc % 4 AS cc FROM tri),
+d3 AS (SELECT *, ra - rb AS r1, rb - rc AS r2, ca - cb AS c1, cb - cc AS c2 FROM t3),
+m3 AS (SELECT *, CASE WHEN abs(r2) < abs(r1) THEN r2 ELSE r1 END AS dr, CASE WHEN abs(c2) < abs(c1) THEN c2 ELSE c1 END AS dc FROM d3)
+SELECT doc_id, pa, pb, unnest(['TAB_SAME_TABLE', 'TAB_SAME_TABLE_ROW_DIFF_[' || dr || ']', 'TAB_SAME_TABLE_COL_DIFF_[' || dc || ']', 'TAB_SAME_TABLE_MANHATTAN_DIST_[' || (abs(dr) + abs(dc)) || ']']) AS key FROM m3""")
+def feat_nary(spark, sf):
+    """Tabular features of three arguments: two cells, and the one that follows the first of them."""
+    def arg(cell, row, col):
+        return F.struct(F.lit(0).alias("table_pos"), cell.alias("cell_pos"), *(row.alias(n) for n in ("row_start", "row_end")), *(col.alias(n) for n in ("col_start", "col_end")), F.lit(0).alias("word_start"), F.lit(0).alias("char_start"))
+
+    def own(name):
+        return arg(*(F.col(f"{name}.{c}") for c in ("cell_pos", "row_start", "col_start")))
+
+    third = F.least("a.cell_pos", "b.cell_pos") + 1
+    key = F.struct("doc_id", F.col("a.cell_pos").alias("pa"), F.col("b.cell_pos").alias("pb")).alias("candidate_id")
+    c = cell_pairs(spark, sf).select(key, own("a").alias("a0"), own("b").alias("a1"), arg(third, F.floor(third / 4).cast("int"), (third % 4).cast("int")).alias("a2"))
+    return features.tabular_multinary(c).select("candidate_id.*", "key")
+
+
+def cells(spark, sf, pattern):
+    found = grid_sentences(spark, sf).where(F.col("text").rlike(pattern))
+    return cand.index_mentions(spaces.context_mentions(found, "cell", "cell_pos"))
+
+
+@query(GRID + "SELECT a.doc_id, a.p AS p0, b.p AS p1 FROM g a JOIN g b ON a.doc_id = b.doc_id WHERE regexp_matches(a.text, '^[1-3]-') AND regexp_matches(b.text, '^([2-5]-|F$)') AND a.p <> b.p")
+def cand_cell_pairs(spark, sf):
+    """Pairs of two cells of a table: no spans at all."""
+    c = cand.extract(cand.CandidateSpec("cells", [cells(spark, sf, "^[1-3]-"), cells(spark, sf, "^([2-5]-|F$)")]))
+    return c.select("doc_id", F.col("a0.position").alias("p0"), F.col("a1.position").alias("p1"))
+
+
+MIXED = GRID + "SELECT a.doc_id, a.p AS s0, split_part(a.text, ' ', 1) AS t0, b.p AS p1 FROM g a JOIN g b ON a.doc_id = b.doc_id WHERE regexp_matches(a.text, '^4-NOT') AND b.text = 'F'"
+
+
+def mixed(spark, sf, **options):
+    spans = cand.index_mentions(first_words(spark, sf))
+    return cand.extract(cand.CandidateSpec("mixed", [spans, cells(spark, sf, "^F$")], **options))
+
+
+@query(MIXED)
+def cand_mixed_kinds(spark, sf):
+    """Pairs of a span and a cell."""
+    return mixed(spark, sf).select("doc_id", F.col("a0.sent_pos").alias("s0"), F.col("a0.span_text").alias("t0"), F.col("a1.position").alias("p1"))
+
+
+@query(GRID + "SELECT (SELECT count(*) FROM (" + MIXED[len(GRID):] + "))::BIGINT AS kept, 0::BIGINT AS legacy")
+def cand_mixed_kinds_counts(spark, sf):
+    """How many such pairs there are, and how many if pairs of two kinds count as nested."""
+    kept, legacy = (mixed(spark, sf, legacy_mixed_nesting=x).agg(F.count("*").alias(n)) for x, n in ((False, "kept"), (True, "legacy")))
+    return kept.crossJoin(legacy)
 
 
 @query()
@@ -279,7 +347,7 @@ def feat_structural(spark, sf):
 @query(PAGE + "SELECT x.doc_id, x.sent_pos, unnest(list_filter(['VIZ_SAME_PAGE', CASE WHEN x.t + 1.5 <= y.b - 1.5 AND y.t + 1.5 <= x.b - 1.5 THEN 'VIZ_HORZ_ALIGNED' END, CASE WHEN x.l + 1.5 <= y.r - 1.5 AND y.l + 1.5 <= x.r - 1.5 THEN 'VIZ_VERT_ALIGNED' END, CASE WHEN abs(x.l - y.l) <= 2 THEN 'VIZ_VERT_ALIGNED_LEFT' END, CASE WHEN abs(x.r - y.r) <= 2 THEN 'VIZ_VERT_ALIGNED_RIGHT' END, CASE WHEN abs((x.l + x.r) / 2 - (y.l + y.r) / 2) <= 5 THEN 'VIZ_VERT_ALIGNED_CENTER' END], lambda k: k IS NOT NULL)) AS key" + NEXT + " WHERE x.page = y.page")
 def feat_visual(spark, sf):
     c = page_pairs(spark, sf).select(F.struct("doc_id", "sent_pos").alias("candidate_id"), F.struct(F.col("x").alias("box")).alias("a0"), F.struct(F.col("y").alias("box")).alias("a1"))
-    return features.visual_pairs(c).select("candidate_id.*", "key")
+    return features.visual_multinary(c).select("candidate_id.*", "key")
 
 
 # annotations: feature rows of candidates, keys and matrices
@@ -415,7 +483,7 @@ def clear_cascade(spark, sf):
     return c.select("doc_id", F.col("a0.sent_pos").alias("s0"), F.col("a0.char_start").alias("c0"), F.col("a1.char_start").alias("c1"))
 
 
-@query(WITH + ", t AS (SELECT doc_id, unnest(words) AS w, sent_pos, unnest(range(len(words))) AS i FROM sent), a AS (SELECT doc_id, w, sent_pos, i::INT AS i, row_number() OVER (PARTITION BY doc_id, w ORDER BY sent_pos, i) AS k, count(*) OVER (PARTITION BY doc_id, w) AS n FROM t), b AS (SELECT * FROM a WHERE sent_pos % 10 <> 3), c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, w ORDER BY sent_pos, i) AS k2, count(*) OVER (PARTITION BY doc_id, w) AS n2 FROM b) SELECT a.doc_id, a.w AS word, a.sent_pos, a.i AS token_pos, c.sent_pos AS page_line FROM a JOIN c ON a.doc_id = c.doc_id AND a.w = c.w AND a.k = c.k2 AND a.n = c.n2")
+@query(WITH + ", t AS MATERIALIZED (SELECT doc_id, unnest(words) AS w, sent_pos, unnest(range(len(words))) AS i FROM sent), a AS MATERIALIZED (SELECT doc_id, w, sent_pos, i::INT AS i, row_number() OVER (PARTITION BY doc_id, w ORDER BY sent_pos, i) AS k, count(*) OVER (PARTITION BY doc_id, w) AS n FROM t), b AS MATERIALIZED (SELECT * FROM a WHERE sent_pos % 10 <> 3), c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, w ORDER BY sent_pos, i) AS k2, count(*) OVER (PARTITION BY doc_id, w) AS n2 FROM b) SELECT a.doc_id, a.w AS word, a.sent_pos, a.i AS token_pos, c.sent_pos AS page_line FROM a JOIN c ON a.doc_id = c.doc_id AND a.w = c.w AND a.k = c.k2 AND a.n = c.n2")
 def pdf_link_exact(spark, sf):
     """Tokens linked to the words of a page from which every tenth line is missing."""
     from factloom.operators.visual import link_exact

@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import features, keys, labels, learning
-from factloom.plans import config, package
+from factloom import settings
+from factloom.functions import grid
+from factloom.operators import features, keys, labels, learning, numbering
+from factloom.plans import package
 from factloom.plans.store import Store
 from factloom.streaming import incremental
 
@@ -43,9 +45,9 @@ def test_families(spark, mention):
 def test_pairs(spark):
     side = "struct<xpath:string,table_pos:int,cell_pos:int,row_start:int,row_end:int,col_start:int,col_end:int,word_start:int,char_start:int>"
     c = spark.createDataFrame([("c", ("/html/p", 0, 1, 0, 0, 1, 1, 0, 0), ("/html/p", 0, 1, 0, 0, 1, 1, 2, 7)), ("d", ("/html/p", 0, 1, 0, 0, 1, 1, 0, 0), ("/html/b", 1, 5, 2, 2, 0, 0, 0, 0))], f"candidate_id string, a0 {side}, a1 {side}")
-    same = keyset(features.tabular_pairs(c.where("candidate_id = 'c'")))
+    same = keyset(features.tabular_multinary(c.where("candidate_id = 'c'")))
     assert same == {"TAB_SAME_TABLE", "TAB_SAME_TABLE_ROW_DIFF_[0]", "TAB_SAME_TABLE_COL_DIFF_[0]", "TAB_SAME_TABLE_MANHATTAN_DIST_[0]", "TAB_SAME_CELL", "TAB_WORD_DIFF_[-2]", "TAB_CHAR_DIFF_[-7]", "TAB_SAME_SENTENCE"}
-    assert "TAB_DIFF_TABLE_ROW_DIFF_[-2]" in keyset(features.tabular_pairs(c)) and "STR_LOWEST_ANCESTOR_DEPTH_[1]" in keyset(features.structural_pairs(c))
+    assert "TAB_DIFF_TABLE_ROW_DIFF_[-2]" in keyset(features.tabular_multinary(c)) and "STR_LOWEST_ANCESTOR_DEPTH_[1]" in keyset(features.structural_multinary(c))
 
 
 def test_mapping(spark):
@@ -140,12 +142,62 @@ def test_declarations():
             package.declare(known, "T", bad)
 
 
-def test_settings(tmp_path, monkeypatch):
+def test_settings(tmp_path, mention):
     (tmp_path / "a" / "b").mkdir(parents=True)
-    (tmp_path / config.FILE).write_text('{"featurization": {"textual": {"word_feature": {"window": 9}}}}')
-    got = config.load(str(tmp_path / "a" / "b"))
-    assert got["featurization"]["textual"]["word_feature"]["window"] == 9 and got["featurization"]["textual"]["window_feature"]["size"] == 3
-    assert config.DEFAULTS["featurization"]["textual"]["word_feature"]["window"] == 7
+    (tmp_path / settings.FILE).write_text('{"textual": {"word_window": 1}, "tabular": {"attributes": ["words", "lemmas"]}}')
+    got = settings.load(tmp_path / "a" / "b")
+    assert got.textual.word_window == 1 and got.textual.window == 3 and got.tabular.attributes == ("words", "lemmas") and got.tabular.row_ngrams == 2
+    assert settings.Settings().textual.word_window == 7
+    # they take effect
+    near = {k for k in keyset(features.textual_features(mention, got.textual)) if k.startswith("BASIC_LEFT_WORDS")}
+    assert near == {"BASIC_LEFT_WORDS_[12]"}
+    with pytest.raises(ValueError):
+        settings.overlay(settings.Settings(), {"textual": {"colour": 1}})
+
+
+def test_three_arguments(spark):
+    side = "struct<xpath:string,table_pos:int,cell_pos:int,row_start:int,row_end:int,col_start:int,col_end:int,word_start:int,char_start:int,sent_pos:int,box:struct<page:int,top:int,bottom:int,left:int,right:int>>"
+    arg = lambda path, table, cell, r, c, word, box: (path, table, cell, r, r, c, c, word, 4 * word, cell, box)
+    b = (1, 0, 10, 0, 50)
+    rows = [
+        ("cell", arg("/html/p/b", 0, 1, 0, 1, 0, b), arg("/html/p/i", 0, 1, 0, 1, 2, b), arg("/html/p/i", 0, 1, 0, 1, 7, b)),
+        ("row", arg("/html/p", 0, 1, 0, 1, 0, b), arg("/html/p", 0, 3, 0, 3, 0, (1, 5, 15, 200, 250)), arg("/html/q", 0, 2, 0, 2, 0, (1, 2, 12, 100, 150))),
+        ("tables", arg("/html/p", 0, 1, 0, 1, 0, b), arg("/html/p", 1, 3, 4, 3, 0, b), arg("/html", 0, 2, 2, 0, 0, (2, 2, 12, 100, 150))),
+        ("text", arg("/html/p", 0, 1, 0, 1, 0, b), arg("/html/p", None, None, None, None, 0, b), arg("/html", 0, 2, 2, 0, 0, b)),
+    ]
+    c = spark.createDataFrame(rows, f"candidate_id string, a0 {side}, a1 {side}, a2 {side}")
+    of = lambda df, i: keyset(df.where(F.col("candidate_id") == i))
+    tab = features.tabular_multinary(c)
+    assert of(tab, "cell") >= {"TAB_SAME_CELL", "TAB_WORD_DIFF_[-7]", "TAB_CHAR_DIFF_[-28]", "TAB_SAME_SENTENCE", "TAB_SAME_TABLE_MANHATTAN_DIST_[0]"}
+    assert of(tab, "row") == {"TAB_SAME_TABLE", "TAB_SAME_TABLE_ROW_DIFF_[0]", "TAB_SAME_TABLE_COL_DIFF_[1]", "TAB_SAME_TABLE_MANHATTAN_DIST_[1]"}
+    assert "TAB_DIFF_TABLE" in of(tab, "tables") and not of(tab, "text")
+    viz = features.visual_multinary(c)
+    assert of(viz, "row") == {"VIZ_SAME_PAGE", "VIZ_HORZ_ALIGNED"} and not of(viz, "tables")
+    strs = features.structural_multinary(c)
+    assert of(strs, "cell") == {"STR_COMMON_ANCESTOR_[ html p]", "STR_LOWEST_ANCESTOR_DEPTH_[1]"} and "STR_LOWEST_ANCESTOR_DEPTH_[0]" in of(strs, "tables")
+    args = [F.col(f"a{i}") for i in range(3)]
+    got = {r.candidate_id: (r.t, r.r, r.c, r.k, r.al) for r in c.select("candidate_id", grid.same_table(args).alias("t"), grid.same_row(args).alias("r"), grid.same_col(args).alias("c"), grid.same_cell(args).alias("k"), grid.is_tabular_aligned(args).alias("al")).collect()}
+    assert got == {"cell": (True,) * 5, "row": (True, True, False, False, True), "tables": (False,) * 5, "text": (False,) * 5}
+
+
+def test_dependency_features(spark):
+    sents = spark.createDataFrame([(0, 0, [2, 0, 4, 2], ["Cats", "chase", "small", "mice"], ["subj", "root", "mod", "obj"])], "doc_id long, sent_pos int, dep_parents array<int>, words array<string>, dep_labels array<string>")
+    m = spark.createDataFrame([(1, 0, 0, 3, 3), (2, 0, 0, 2, 3)], "m int, doc_id long, sent_pos int, word_start int, word_end int")
+    got = features.dependency_features(m, features.dependency_edges(sents))
+    one = keyset(got.where("m = 1"))
+    assert one == {"TDL_PARENT_WORD_[chase]", "TDL_PARENT_LABEL_[obj]", "TDL_CHILD_WORD_[small]", "TDL_CHILD_LABEL_[mod]", "TDL_SIBLING_WORD_[Cats]", "TDL_SIBLING_LABEL_[subj]"}
+    assert not {k for k in keyset(got.where("m = 2")) if "CHILD" in k}  # the child is in the span
+
+
+def test_numbers_without_a_single_task(spark):
+    import random
+
+    values = [random.Random(3).choice("abcdefgh") * k for k in range(1, 120)] * 3
+    rows = spark.createDataFrame([(v, i) for i, v in enumerate(values)] + [(None, -1)], "k string, i int").repartition(5)
+    got = numbering.numbered(rows, "k", "n").orderBy("n").collect()
+    assert [r.n for r in got] == list(range(len(values) + 1))
+    assert [r.k for r in got] == [None, *sorted(values)]
+    assert numbering.numbered(rows.limit(0), "k", "n").count() == 0
 
 
 def docs(spark, *ids):
