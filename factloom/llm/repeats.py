@@ -40,7 +40,7 @@ Anchors = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def _name(anchors: Anchors, min_words: int):
-    """Rows (d, g, pos, name): the anchors, and for every long enough text a row with its words as a negative pos."""
+    """One row (d, g, n, pos, name) a text of ``min_words`` or more: its words, and its anchors by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,10 +50,15 @@ def _name(anchors: Anchors, min_words: int):
                 row = np.searchsorted(first, at, "right") - 1
                 size = np.diff(first)
                 long = np.flatnonzero(size >= min_words)
+                held = np.flatnonzero((size >= min_words)[row])
+                held = held[np.argsort(at[held], kind="stable")]
+                counts = np.bincount(row[held], minlength=len(size))[long]
+                ends = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
                 part = batch.slice(chunk.first, len(chunk))
-                take = pa.array(np.concatenate((row, long)))
-                place = np.concatenate((at - first[row], -size[long])).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(place), pa.array(np.concatenate((names.view(np.int64), np.zeros(len(long), np.int64))))], ["d", "g", "pos", "name"])
+                take = pa.array(long)
+                place = (at - first[row])[held].astype(np.int32)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (place, names[held].view(np.int64))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(size[long].astype(np.int32)), *lists], ["d", "g", "n", "pos", "name"])
 
     return run
 
@@ -206,13 +211,13 @@ def long_repeats(docs: DataFrame, anchors: Anchors, left: int, right: int, doc_i
     A text of any length is taken whole.
     """
     units = docs.select(number(docs, doc_id).alias("d"), F.xxhash64(col(text)).alias("g"), col(text).alias("t")).where("d is not null and t is not null")
-    rows = cut(units.mapInArrow(_name(anchors, min_words), "d long, g long, pos int, name long"))
-    units_ = rows.where("pos < 0").select("d", "g", (-F.col("pos")).alias("n")).distinct()
+    rows = cut(units.mapInArrow(_name(anchors, min_words), "d long, g long, n int, pos array<int>, name array<long>"))
+    units_ = rows.select("d", "g", "n").distinct()
     texts = units_.groupBy("g", "n").agg(F.min("d").alias("d"), F.max("d").alias("last"))
-    named = rows.where("pos >= 0")
+    named = rows.select("g", F.inline(F.arrays_zip("pos", "name")))
     shared = cut(named.groupBy("name").agg(F.min("g").alias("a"), F.max("g").alias("b"), F.count("*").alias("n")).where("a <> b").select("name", (F.col("n") > hot).alias("hot")))
-    kept = named.join(shared, "name").select("g", "pos", "name", "hot").distinct()
-    places = kept.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "hot"))).alias("p")).select("g", *(F.col(f"p.{c}").alias(c) for c in ("pos", "name", "hot")))
+    kept = named.join(shared, "name")
+    places = kept.groupBy("g").agg(F.array_sort(F.collect_set(F.struct("pos", "name", "hot"))).alias("p")).select("g", *(F.col(f"p.{c}").alias(c) for c in ("pos", "name", "hot")))
     first = places.join(texts.select("g", "d"), "g")
     once = units.join(first.hint("shuffle_hash"), ["d", "g"]).select("d", "g", "t", "pos", "name", "hot")
     context = once.mapInArrow(_context(left, right), "name long, d long, g long, pos int, before binary, after binary, hot boolean")
@@ -224,7 +229,7 @@ def long_repeats(docs: DataFrame, anchors: Anchors, left: int, right: int, doc_i
     many = texts.where("d <> last").select("g", F.col("d").alias("one"), "n")
     copied = units_.select("g", F.col("d").alias("member")).join(many, "g")
     second = copied.where("member > one").groupBy("g").agg(F.min("member").alias("second"))
-    extents = extents.distinct().union(many.select(F.col("one").alias("d"), "g", F.lit(0).alias("start"), F.col("n").alias("stop"), F.lit(None).cast("long"), F.lit(None).cast("int")))
+    extents = extents.union(many.select(F.col("one").alias("d"), "g", F.lit(0).alias("start"), F.col("n").alias("stop"), F.lit(None).cast("long"), F.lit(None).cast("int")))
     # extents that touch or overlap are one stretch
     along = Window.partitionBy("d", "g").orderBy("start", F.desc("stop"))
     reach = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
