@@ -14,8 +14,10 @@ stands. The operators differ in how they choose and name anchors; from there on:
 
 Every step is linear in the anchors, up to sorting: a passage that thousands of documents
 share is grouped, not compared pairwise. The anchors of a name are grouped in a task's memory, if there
-are at most ``HOT`` of them. Those of a hotter name become rows, one a split, that Spark groups by
-a hash of name and split; partial sums on the way take the heat out of it.
+are at most ``HOT`` of them. Those of a hotter name are named anew, twice: any split has half of ``min_words``
+or more on one side, so the splits that lean to the right are grouped by the name and this half on the right, the others
+by the name and the half on the left. A phrase that stands in many surroundings is hot no more by then. The anchors of a name
+that still is become rows, one a split, that Spark groups by a hash of name and split; partial sums on the way take the heat out of it.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from factloom.llm.common import col, cut, number
 from factloom.llm.textkit import U, Chunk, chunks, mix, word_hashes
 
 MIN_WORDS = 50
-#: Anchors of one name that a task groups in memory at most (some 6 MB of context); a name with more is grouped by Spark.
+#: Anchors of one name that a task groups in memory at most (some 6 MB of context); a name with more is split up, see above.
 HOT = 1 << 14
 
 #: Gets a chunk's word hashes and each row's first word; gives positions (word numbers in the chunk) and names.
@@ -88,13 +90,17 @@ def _context(left: int, right: int):
                 for a in range(0, len(row), 4096):
                     r, p = row[a : a + 4096], pos[a : a + 4096]
                     before, after = windows(codes, first, r, first[r] + p, left, right)
-                    binary = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * 4), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary()) for x in (before, after)]
                     take = pa.array(r)
-                    yield pa.RecordBatch.from_arrays([names.slice(a, 4096), part.column(0).take(take), part.column(1).take(take), pa.array(p.astype(np.int32)), *binary, hot.slice(a, 4096)], ["name", "d", "g", "pos", "before", "after", "hot"])
+                    yield pa.RecordBatch.from_arrays([names.slice(a, 4096), part.column(0).take(take), part.column(1).take(take), pa.array(p.astype(np.int32)), _binary(before), _binary(after), hot.slice(a, 4096)], ["name", "d", "g", "pos", "before", "after", "hot"])
 
     return run
 
 
+def _binary(codes: np.ndarray) -> pa.Array:
+    """Rows of 32-bit codes as equally long binaries."""
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(codes.shape[1] * 4), len(codes), [None, pa.py_buffer(np.ascontiguousarray(codes))]).cast(pa.binary())
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Equally long binaries as rows of 32-bit codes."""
     _, offsets, data = column.cast(pa.large_binary()).buffers()
@@ -150,6 +156,32 @@ def _extents(name: np.ndarray, d: np.ndarray, g: np.ndarray, pos: np.ndarray, be
     return [d[x], g[x], pos[x] - most[x], pos[x] + min_words - least[x], d[at[x]], place[x]]
 
 
+def _lean(left: int, right: int, min_words: int):
+    """Anchors named anew by the half of ``min_words`` on either side, each row with the words that its splits may have."""
+    half = min_words // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            name, before, after = mix(batch.column(0).to_numpy().view(U)), _matrix(batch.column(4), left), _matrix(batch.column(5), right)
+            # splits with half of the words on the left at most, and those with more
+            for key, near, far, rest in ((name, after, before, half), (~name, before, after, min_words - half - 1)):
+                needed = min_words - rest
+                if needed > near.shape[1]:
+                    continue
+                there = np.flatnonzero(near[:, needed - 1] != 0)
+                key = key[there]
+                for i in range(needed):
+                    key = mix(key * U(0xA0761D6478BD642F) + near[there, i].astype(U))
+                far = np.where(np.arange(far.shape[1]) < rest, far[there], np.uint32(0))
+                sides = (far, near[there]) if near is after else (near[there], far)
+                take = pa.array(there)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(i).take(take) for i in (1, 2, 3)), *(_binary(x) for x in sides)], ["name", "d", "g", "pos", "before", "after"])
+
+    return run
+
+
 def _keyed(left: int, right: int, min_words: int):
     """Rows (key, d, g, start): every stretch of ``min_words`` around an anchor, keyed by its name, split and words."""
 
@@ -166,10 +198,12 @@ def _hot_extents(context: DataFrame, left: int, right: int, min_words: int) -> D
     """What ``_extents`` finds, by Spark's groupings."""
     keyed = context.mapInArrow(_keyed(left, right, min_words), "key long, d long, g long, start int")
     unit = F.struct("d", "g", "start")
-    met = keyed.groupBy("key").agg(F.min(unit).alias("one"), F.max(unit).alias("last")).where("one.d <> last.d or one.g <> last.g")
-    both = keyed.join(met, "key")
+    one = keyed.groupBy("key").agg(F.min(unit).alias("one"), F.max(unit).alias("last")).where("one.d <> last.d or one.g <> last.g").drop("last")
+    shared = keyed.join(one, "key")
     own = (F.col("one.d") == F.col("d")) & (F.col("one.g") == F.col("g"))
-    return both.select("d", "g", "start", (F.col("start") + min_words).alias("stop"), F.when(own, F.col("last.d")).otherwise(F.col("one.d")).alias("other"), F.when(own, F.col("last.start")).otherwise(F.col("one.start")).alias("other_start"))
+    second = shared.where(~own).groupBy("key").agg(F.min(unit).alias("second"))
+    met = F.when(own, F.col("second")).otherwise(F.col("one"))
+    return shared.join(second, "key").select("d", "g", "start", (F.col("start") + min_words).alias("stop"), met["d"].alias("other"), met["start"].alias("other_start"))
 
 
 def _compare(left: int, right: int, min_words: int):
@@ -215,16 +249,19 @@ def long_repeats(docs: DataFrame, anchors: Anchors, left: int, right: int, doc_i
     units_ = rows.select("d", "g", "n").distinct()
     texts = units_.groupBy("g", "n").agg(F.min("d").alias("d"), F.max("d").alias("last"))
     named = rows.select("g", F.inline(F.arrays_zip("pos", "name")))
-    shared = cut(named.groupBy("name").agg(F.min("g").alias("a"), F.max("g").alias("b"), F.count("*").alias("n")).where("a <> b").select("name", (F.col("n") > hot).alias("hot")))
-    kept = named.join(shared, "name")
+    same = Window.partitionBy("name")
+    counted = named.withColumns({"a": F.min("g").over(same), "b": F.max("g").over(same), "hot": F.count("*").over(same) > hot})
+    kept = counted.where("a <> b")
     places = kept.groupBy("g").agg(F.array_sort(F.collect_set(F.struct("pos", "name", "hot"))).alias("p")).select("g", *(F.col(f"p.{c}").alias(c) for c in ("pos", "name", "hot")))
     first = places.join(texts.select("g", "d"), "g")
     once = units.join(first.hint("shuffle_hash"), ["d", "g"]).select("d", "g", "t", "pos", "name", "hot")
     context = once.mapInArrow(_context(left, right), "name long, d long, g long, pos int, before binary, after binary, hot boolean")
-    ordered = context.where("not hot").drop("hot").repartition("name").sortWithinPartitions("name")
+    some = once.where(F.exists("hot", lambda x: x)).mapInArrow(_context(left, right), context.schema).where("hot").drop("hot")
+    leaning = some.mapInArrow(_lean(left, right, min_words), some.schema)
+    hotter = F.broadcast(leaning.groupBy("name").count().where(F.col("count") > hot).select("name"))  # one name in ``hot`` anchors at most
+    ordered = context.where("not hot").drop("hot").union(leaning.join(hotter, "name", "left_anti")).repartition("name").sortWithinPartitions("name")
     extents = ordered.mapInArrow(_compare(left, right, min_words), "d long, g long, start int, stop int, other long, other_start int")
-    if shared.where("hot").limit(1).count():
-        extents = extents.union(_hot_extents(context.where("hot"), left, right, min_words))
+    extents = extents.union(_hot_extents(leaning.join(hotter, "name", "left_semi"), left, right, min_words))
     # a text that several documents have is one stretch in each of them
     many = texts.where("d <> last").select("g", F.col("d").alias("one"), "n")
     copied = units_.select("g", F.col("d").alias("member")).join(many, "g")

@@ -127,3 +127,18 @@ def test_long_texts_are_taken_in_parts(monkeypatch):
     want = minimisers(grams, f, 5, 9)
     monkeypatch.setattr(textkit, "SPAN", 150)
     assert (minimisers(grams, f, 5, 9) == want).all()
+
+
+@BOTH
+def test_a_hot_phrase_in_many_surroundings(spark, operator):
+    """A phrase of a hot name: found on either side of it, with the least partner, and without a row a split unless half a stretch is hot too."""
+    rng = random.Random(12)
+    flat = lambda n: " ".join(prose(rng, n, 99).split())
+    phrase, ahead, behind, around = flat(12), flat(45), flat(45), (flat(25), flat(25))
+    rows = [(i, " ".join((flat(50), phrase, flat(50)))) for i in range(100, 160)]
+    for k, (a, b) in enumerate((("", ahead), (behind, ""), around)):
+        rows += [(10 * k + j, " ".join((flat(30), a, phrase, b, flat(30)))) for j in range(4)]
+    docs = spark.createDataFrame([row(i, t) for i, t in rows], SCHEMA).repartition(5)
+    found = [{tuple(r) for r in operator(docs, hot=h).collect()} for h in (1 << 14, 20, 2)]
+    assert found[0] == found[1] == found[2] and {r[0] for r in found[0]} == {10 * k + j for k in range(3) for j in range(4)}
+    assert {r[0]: r[4] for r in found[0]} == {10 * k + j: 10 * k + (j == 0) for k in range(3) for j in range(4)}
