@@ -157,11 +157,12 @@ def _extents(name: np.ndarray, d: np.ndarray, g: np.ndarray, pos: np.ndarray, be
 
 
 def _lean(left: int, right: int, min_words: int):
-    """Anchors named anew by the half of ``min_words`` on either side, each row with the words that its splits may have."""
-    half = min_words // 2
+    """What ``_context`` gives of hot anchors, named anew by the half of ``min_words`` on either side, each row with the words that its splits may have."""
+    context, half = _context(left, right), min_words // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in context(batches):  # in one worker: a step of Spark's would hold another one
+            batch = batch.filter(batch.column(6))
             if not batch.num_rows:
                 continue
             name, before, after = mix(batch.column(0).to_numpy().view(U)), _matrix(batch.column(4), left), _matrix(batch.column(5), right)
@@ -256,8 +257,7 @@ def long_repeats(docs: DataFrame, anchors: Anchors, left: int, right: int, doc_i
     first = places.join(texts.select("g", "d"), "g")
     once = units.join(first.hint("shuffle_hash"), ["d", "g"]).select("d", "g", "t", "pos", "name", "hot")
     context = once.mapInArrow(_context(left, right), "name long, d long, g long, pos int, before binary, after binary, hot boolean")
-    some = once.where(F.exists("hot", lambda x: x)).mapInArrow(_context(left, right), context.schema).where("hot").drop("hot")
-    leaning = some.mapInArrow(_lean(left, right, min_words), some.schema)
+    leaning = once.where(F.exists("hot", lambda x: x)).mapInArrow(_lean(left, right, min_words), context.drop("hot").schema)
     hotter = F.broadcast(leaning.groupBy("name").count().where(F.col("count") > hot).select("name"))  # one name in ``hot`` anchors at most
     ordered = context.where("not hot").drop("hot").union(leaning.join(hotter, "name", "left_anti")).repartition("name").sortWithinPartitions("name")
     extents = ordered.mapInArrow(_compare(left, right, min_words), "d long, g long, start int, stop int, other long, other_start int")
