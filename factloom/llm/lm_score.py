@@ -45,6 +45,8 @@ WIDTH, HIDDEN, OWN, TAIL = 16, 32, 104, 24
 #: Leaves of a tail symbol: so many ids less one have an output of their own in it.
 LEAVES = 64
 ROUNDS, BATCH, RATE = 3, 128, 0.01
+#: Rows whose outer products are summed up at once.
+TILE = 256
 #: Windows of a round for which there is a replica.
 REPLICA = 24_576
 FAN_IN = 16
@@ -149,6 +151,11 @@ def _keep_heap() -> None:
         pass
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b of many rows, in stretches for which the library has a faster way."""
+    return sum(a[i : i + TILE].T @ b[i : i + TILE] for i in range(TILE, len(a), TILE)) + a[:TILE].T @ b[:TILE]
+
+
 def _ones(n: int) -> np.ndarray:
     return np.ones((n, 1), np.float32)
 
@@ -172,11 +179,11 @@ class Model:
         w, n = self.w, len(inputs)
         x = w["E"].take(inputs, axis=0)
         x += w["P"]
-        flat = x.reshape(-1, WIDTH)
-        k, v = ((flat @ w[c]).reshape(n, W, WIDTH) for c in "KV")
         xq = np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, WIDTH)
-        q = (xq @ (w["Q"] * np.float32(WIDTH**-0.5))).reshape(n, STRIDE, WIDTH)
-        s = q @ k.transpose(0, 2, 1)
+        # queries and keys occur as one product, values and what is made of them as another, so that attention reads the inputs themselves
+        qk, vo = w["Q"] @ w["K"].T * np.float32(WIDTH**-0.5), w["V"] @ w["O"]
+        q = (xq @ qk).reshape(n, STRIDE, WIDTH)
+        s = q @ x.transpose(0, 2, 1)
         _exp(s)  # without taking the maximum off: a place sees itself, so no row is all masked
         s *= _CAUSAL
         some = np.flatnonzero(inputs[:, 0] == self.begin + 1)
@@ -184,16 +191,16 @@ class Model:
             s[some] *= (inputs[some] != self.begin + 1)[:, None, :]
         mass = s.reshape(-1, W) @ _ones(W)
         mass += np.float32(1e-30)
-        r = (s @ v).reshape(-1, WIDTH)
+        r = (s @ x).reshape(-1, WIDTH)
         r /= mass
-        h = r @ w["O"]
+        h = r @ vo
         h += xq
         u = h @ w["A"]
         u += w["a"]
         np.maximum(u, 0, out=u)
         m = u @ w["B"]
         m += h
-        return x, xq, q, k, v, s, mass, r, h, u, m
+        return x, xq, qk, vo, q, s, mass, r, h, u, m
 
     def outputs(self, m: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, ...]:
         """The places that have a target, what is known there (with a 1 at its end, for the biases), the target's symbol, those that are tail
@@ -226,20 +233,23 @@ class Model:
     def loss_and_slope(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray]:
         """Mean negative log-probability of the target units, and its gradient, flat."""
         w = self.w
-        x, xq, q, k, v, s, mass, r, h, u, m = self.state(inputs)
+        x, xq, qk, vo, q, s, mass, r, h, u, m = self.state(inputs)
         there, known, symbol, tail, leaf, ends = self.outputs(m, targets)
         n = max(len(there), 1)
+        out, back = np.concatenate((w["U"], w["c"][None])), np.concatenate((w["U"].T, _ones(w["U"].shape[1])), axis=1)
         rows = np.arange(len(there))
-        z = known @ np.concatenate((w["U"], w["c"][None]))
-        hit = z[rows, symbol]
+        z = known @ out
+        loss = -float(z[rows, symbol].sum())
         _exp(z)
-        total = z @ _ones(z.shape[1])
-        loss = float(np.log(total).sum()) - float(hit.sum())
-        z *= 1 / (total * np.float32(n))
-        z[rows, symbol] -= np.float32(1 / n)
-        slope = known.T @ z
+        sums = z @ back  # the last column is the total of each row, by which narrow arrays are divided and not z
+        total = sums[:, -1:].copy()
+        loss += float(np.log(total).sum())
+        z[rows, symbol] -= total[:, 0]
+        over = 1 / (total * np.float32(n))
+        dmt = sums[:, :-1] * over
+        dmt -= (w["U"].T * np.float32(1 / n)).take(symbol, axis=0)
+        slope = _products(known * over, z)
         g = {"U": slope[:-1], "c": slope[-1], "L": np.zeros_like(w["L"]), "l": np.zeros_like(w["l"])}
-        dmt = z @ w["U"].T
         if len(tail):
             own = known[tail]
             y = self.leaves(own, ends)
@@ -264,31 +274,28 @@ class Model:
             dm = np.zeros_like(m)
             dm[there] = dmt
         b = len(inputs)
-        g["B"] = u.T @ dm
+        g["B"] = _products(u, dm)
         du = dm @ w["B"].T
         du *= u > 0
-        g["A"], g["a"] = h.T @ du, du.sum(0)
+        g["A"], g["a"] = _products(h, du), (_ones(len(du)).T @ du)[0]
         dh = du @ w["A"].T
         dh += dm
-        g["O"] = r.T @ dh
-        dr = dh @ w["O"].T
-        # s is not normalised: with y = s v / mass, ds = s (dr v' - dr y) / mass
-        inner = (dr * r).sum(axis=1, keepdims=True)
+        slope = _products(r, dh)
+        g["V"], g["O"] = slope @ w["O"].T, w["V"].T @ slope
+        # s is not normalised: with y = s x / mass, ds = s (dr x' - dr y) / mass
+        dr = dh @ vo.T
+        dr /= mass
+        inner = (dr * r) @ _ones(WIDTH)
         dr3 = dr.reshape(b, STRIDE, WIDTH)
-        ds = dr3 @ v.transpose(0, 2, 1)
+        ds = dr3 @ x.transpose(0, 2, 1)
         ds -= inner.reshape(b, STRIDE, 1)
-        s /= mass.reshape(b, STRIDE, 1)
         ds *= s
-        dv = (s.transpose(0, 2, 1) @ dr3).reshape(-1, WIDTH)
-        dk = (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
-        dq = (ds @ k).reshape(-1, WIDTH)
-        dq *= np.float32(WIDTH**-0.5)
-        flat = x.reshape(-1, WIDTH)
-        g["Q"], g["K"], g["V"] = xq.T @ dq, flat.T @ dk, flat.T @ dv
-        dx = dk @ w["K"].T
-        dx += dv @ w["V"].T
-        dh += dq @ w["Q"].T
-        dx = dx.reshape(b, W, WIDTH)
+        dx = s.transpose(0, 2, 1) @ dr3
+        dx += ds.transpose(0, 2, 1) @ q
+        dq = (ds @ x).reshape(-1, WIDTH)
+        slope = _products(xq, dq) * np.float32(WIDTH**-0.5)
+        g["Q"], g["K"] = slope @ w["K"], slope.T @ w["Q"]
+        dh += dq @ qk.T
         dx[:, CONTEXT:] += dh.reshape(b, STRIDE, WIDTH)
         g["P"] = dx.sum(0)
         flat_in = inputs.ravel()
