@@ -40,6 +40,8 @@ from factloom.llm.textkit import ragged
 
 #: The vocabulary for many languages: fewer tokens than the other one takes for texts that aren't all English.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: A special token that no text is given.
+UNUSED = "\0<unused>\0"
 STRIDE, CONTEXT = 32, 16
 WIDTH, HIDDEN, OWN, TAIL = 16, 32, 104, 24
 #: Leaves of a tail symbol: so many ids less one have an output of their own in it.
@@ -61,12 +63,13 @@ _CAUSAL = (np.arange(W)[None] <= CONTEXT + np.arange(STRIDE)[:, None]).astype(np
 def encoder(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("subwords", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    # without a special token, an empty pattern is tried at every place of a text; this one is never allowed, so a text that has it is text
+    return tiktoken.Encoding("subwords", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={UNUSED: max(ranks.values()) + 1})
 
 
 def size_of(path: str) -> int:
     """Ids of the vocabulary; the two numbers that follow stand for the beginning of a text, and for what lies before that."""
-    return encoder(path).max_token_value + 1
+    return encoder(path).encode_single_token(UNUSED)
 
 
 def narrow(path: str) -> type:
@@ -153,7 +156,9 @@ def _keep_heap() -> None:
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a.T @ b of many rows, in stretches for which the library has a faster way."""
-    return sum(a[i : i + TILE].T @ b[i : i + TILE] for i in range(TILE, len(a), TILE)) + a[:TILE].T @ b[:TILE]
+    k = len(a) // TILE
+    n = k * TILE
+    return (a[:n].reshape(k, TILE, a.shape[1]).transpose(0, 2, 1) @ b[:n].reshape(k, TILE, b.shape[1])).sum(axis=0) + a[n:].T @ b[n:]
 
 
 def _ones(n: int) -> np.ndarray:
@@ -183,7 +188,8 @@ class Model:
         # queries and keys occur as one product, values and what is made of them as another, so that attention reads the inputs themselves
         qk, vo = w["Q"] @ w["K"].T * np.float32(WIDTH**-0.5), w["V"] @ w["O"]
         q = (xq @ qk).reshape(n, STRIDE, WIDTH)
-        s = q @ x.transpose(0, 2, 1)
+        xt = np.ascontiguousarray(x.transpose(0, 2, 1))
+        s = q @ xt
         _exp(s)  # without taking the maximum off: a place sees itself, so no row is all masked
         s *= _CAUSAL
         some = np.flatnonzero(inputs[:, 0] == self.begin + 1)
@@ -197,10 +203,11 @@ class Model:
         h += xq
         u = h @ w["A"]
         u += w["a"]
-        np.maximum(u, 0, out=u)
+        up = u > 0
+        u *= up
         m = u @ w["B"]
         m += h
-        return x, xq, qk, vo, q, s, mass, r, h, u, m
+        return x, xt, xq, qk, vo, q, s, mass, r, h, up, u, m
 
     def outputs(self, m: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, ...]:
         """The places that have a target, what is known there (with a 1 at its end, for the biases), the target's symbol, those that are tail
@@ -233,21 +240,20 @@ class Model:
     def loss_and_slope(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray]:
         """Mean negative log-probability of the target units, and its gradient, flat."""
         w = self.w
-        x, xq, qk, vo, q, s, mass, r, h, u, m = self.state(inputs)
+        x, xt, xq, qk, vo, q, s, mass, r, h, up, u, m = self.state(inputs)
         there, known, symbol, tail, leaf, ends = self.outputs(m, targets)
         n = max(len(there), 1)
-        out, back = np.concatenate((w["U"], w["c"][None])), np.concatenate((w["U"].T, _ones(w["U"].shape[1])), axis=1)
+        out, ut = np.concatenate((w["U"], w["c"][None])), np.ascontiguousarray(w["U"].T)
         rows = np.arange(len(there))
         z = known @ out
         loss = -float(z[rows, symbol].sum())
         _exp(z)
-        sums = z @ back  # the last column is the total of each row, by which narrow arrays are divided and not z
-        total = sums[:, -1:].copy()
+        total = z @ _ones(z.shape[1])  # by which narrow arrays are divided and not z
         loss += float(np.log(total).sum())
         z[rows, symbol] -= total[:, 0]
         over = 1 / (total * np.float32(n))
-        dmt = sums[:, :-1] * over
-        dmt -= (w["U"].T * np.float32(1 / n)).take(symbol, axis=0)
+        dmt = z @ ut
+        dmt *= over
         slope = _products(known * over, z)
         g = {"U": slope[:-1], "c": slope[-1], "L": np.zeros_like(w["L"]), "l": np.zeros_like(w["l"])}
         if len(tail):
@@ -276,7 +282,7 @@ class Model:
         b = len(inputs)
         g["B"] = _products(u, dm)
         du = dm @ w["B"].T
-        du *= u > 0
+        du *= up
         g["A"], g["a"] = _products(h, du), (_ones(len(du)).T @ du)[0]
         dh = du @ w["A"].T
         dh += dm
@@ -287,7 +293,7 @@ class Model:
         dr /= mass
         inner = (dr * r) @ _ones(WIDTH)
         dr3 = dr.reshape(b, STRIDE, WIDTH)
-        ds = dr3 @ x.transpose(0, 2, 1)
+        ds = dr3 @ xt
         ds -= inner.reshape(b, STRIDE, 1)
         ds *= s
         dx = s.transpose(0, 2, 1) @ dr3

@@ -2,9 +2,11 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from conftest import SCHEMA, prose, row
 
 from factloom.llm import lm_score
+from factloom.llm.bpe import PATTERN
 from factloom.llm.lm_score import CONTEXT, LEAD, STRIDE, VOCABULARY, W, WIDTH, Model, Symbols, deal, encoder, fit, gather, lm_scores, narrow, score, size_of, units_of, windows
 
 
@@ -68,6 +70,27 @@ def test_probabilities_sum_to_one_and_leaves_depend_on_the_context():
     assert production.symbols >= 128 and production.units - len(production.share) >= 1600
 
 
+def test_encoder_reads_the_unused_token_as_text_and_tries_no_empty_pattern():
+    """Without a special token the library looks for an empty one at every place of a text; ids and their number are as without."""
+    e = encoder(VOCABULARY)
+    bare = tiktoken.Encoding("bare", pat_str=PATTERN, mergeable_ranks=e._mergeable_ranks, special_tokens={})
+    assert e.special_tokens_set and size_of(VOCABULARY) == bare.max_token_value + 1
+    rng = random.Random(4)
+    texts = [lm_score.UNUSED, f"a{lm_score.UNUSED}b " * 3, lm_score.UNUSED[:-1], "<|endoftext|>", "a\x00b", "  a\n\n \tb  ", "日本語 😀"] + [prose(rng, 200) for _ in range(20)]
+    texts += ["".join(rng.choice(" \n\x00<>unsed'.é1") for _ in range(60)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc", "t"])
+    *rows, _ = lm_score._gather(VOCABULARY)(iter([batch]))
+    got = [np.frombuffer(t.as_py(), narrow(VOCABULARY))[LEAD:].tolist() for r in rows for t in r.column(3)]
+    assert got == [bare.encode_ordinary(t) for t in texts]
+
+
+def test_products_of_any_number_of_rows():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, lm_score.TILE - 1, lm_score.TILE, 2 * lm_score.TILE, 3 * lm_score.TILE + 5):
+        a, b = rng.normal(size=(n, 17)).astype(np.float32), rng.normal(size=(n, 5)).astype(np.float32)
+        assert np.allclose(lm_score._products(a, b), a.T @ b, atol=1e-3)
+
+
 def test_gradient():
     rng, symbols, model = setup(2)
     parts = [rng.integers(0, 300, n) for n in (100, 7)]
