@@ -9,7 +9,9 @@ across the border. One last token a prefix is stored and the back-pointers are
 followed from the end. No merge is ever carried out on the text.
 
 Equal pieces of text have equal ids, so a task encodes a distinct piece once and
-keeps it, up to ``CACHE`` pieces; the results don't depend on the cache.
+keeps it; the results don't depend on what is kept. Two generations of up to ``CACHE``
+pieces are kept: a full one takes the place of the one before it, from which pieces that come up again are taken
+over. Words that begin with a space are pieces themselves; the others, which only parts of pieces are, have a table of their own.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ from factloom.llm.common import col, fresh
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The usual pre-tokenisation of byte-level vocabularies: merges never cross these pieces.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 300_000
+CACHE = 200_000
+#: Transitions of the automaton that are remembered besides those of its trie.
+STEPS = 300_000
 ROWS = 256
 ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 beside_space = re.compile(r" \s|\s ").search
@@ -51,7 +55,7 @@ class Vocabulary:
         self.find = regex.compile(pattern).findall
         self.halves: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
-        self.compatible_pairs: dict[int, bool] = {}
+        self.compatible_pairs: dict[int, dict[int, bool]] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1:
                 self.halves[rank] = (rank, rank)
@@ -59,8 +63,7 @@ class Vocabulary:
                 self.halves[rank] = tuple(parts)
                 self.joined[tuple(parts)] = rank
         self._build_automaton()
-        self.pieces: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self.forget()
 
     def _merged(self, token: bytes, below: int) -> list[int]:
         """The token's bytes after all merges that come before its own."""
@@ -131,9 +134,10 @@ class Vocabulary:
                     else:
                         shorter[own[to]] = longest[fail[to]]
             level = below
-        self.step, self.fail, self.longest, self.shorter = step, fail, longest, shorter
-        self.most_steps = len(step) + CACHE
-        self.length = {rank: len(self.bytes_of[rank]) for rank in self.halves}
+        self.step, self.fail, self.longest = step, fail, longest
+        self.most_steps = len(step) + STEPS
+        size = max(self.halves) + 2  # the last one is for a byte without a token, which is an error
+        self.shorter, self.length = ([of.get(rank, 0) for rank in range(size)] for of in (shorter, {rank: len(self.bytes_of[rank]) for rank in self.halves}))
 
     def _step(self, state: int, byte: int) -> int:
         back = state
@@ -146,7 +150,10 @@ class Vocabulary:
 
     def forget(self) -> None:
         """Lets go of what was remembered of the texts, so that an idle worker holds the vocabulary only."""
-        self.pieces, self.plain, self.compatible_pairs = {}, {}, {}
+        self.pieces: dict[str, bytes] = {}  # by what follows a space
+        self.older: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        self.compatible_pairs = {}
 
     def encode_word(self, word: bytes) -> bytes:
         whole = self.ranks.get(word)
@@ -160,10 +167,13 @@ class Vocabulary:
             state = self._step(state, byte) if to is None else to
             token = longest[state]
             while start := end - length[token]:
-                pair = last[start] << 32 | token
-                fits = pairs.get(pair)
+                before = last[start]
+                known = pairs.get(token)
+                if known is None:
+                    known = pairs[token] = {}
+                fits = known.get(before)
                 if fits is None:
-                    fits = pairs[pair] = self.compatible(last[start], token)
+                    fits = known[before] = self.compatible(before, token)
                 if fits:
                     break
                 token = shorter[token]
@@ -175,16 +185,43 @@ class Vocabulary:
         ids.reverse()
         return array("i", ids).tobytes()
 
+    def _keep(self, after: str, ids: bytes) -> bytes:
+        if len(self.pieces) >= CACHE:
+            self.older, self.pieces = self.pieces, {}
+        self.pieces[after] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word that the pattern found."""
+        if word[0] != " ":
+            ids = self.plain.get(word)
+            if ids is None:
+                if len(self.plain) >= CACHE:
+                    self.plain.clear()
+                ids = self.plain[word] = self.encode_word(word.encode())
+            return ids
+        after = word[1:]
+        ids = self.pieces.get(after)
+        if ids is None:
+            ids = self.older.get(after)
+            ids = self._keep(after, self.encode_word(word.encode()) if ids is None else ids)
+        return ids
+
     def _piece(self, piece: str) -> bytes:
-        plain, out = self.plain, []
-        for word in self.find(piece):
-            ids = plain.get(word)
+        return b"".join(map(self._word, self.find(piece)))
+
+    def _after_space(self, after: str) -> bytes:
+        """The ids of a space and what follows it up to the next; neither side of the space is white."""
+        ids = self.pieces.get(after)  # it may have come up before in the same text
+        if ids is None:
+            ids = self.older.get(after)
             if ids is None:
-                if len(plain) >= CACHE:
-                    plain.clear()
-                ids = plain[word] = self.encode_word(word.encode())
-            out.append(ids)
-        return b"".join(out) if len(out) != 1 else out[0]
+                if after.isalpha() or len(words := self.find(" " + after)) == 1:  # letters are one word
+                    ids = self.encode_word(b" " + after.encode())
+                else:
+                    ids = b"".join(map(self._word, words))
+            self._keep(after, ids)
+        return ids
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as int32s.
@@ -196,14 +233,9 @@ class Vocabulary:
         if not text or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or (odd_space(text) and beside_space(text)):
             return self._piece(text)
         head, *rest = text.split(" ")
-        known = self.pieces
-        got = list(map(known.get, rest))
+        got = list(map(self.pieces.get, rest))
         if None in got:
-            for i, x in enumerate(got):
-                if x is None:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    got[i] = known[rest[i]] = self._piece(" " + rest[i])
+            got = [self._after_space(a) if x is None else x for a, x in zip(rest, got)]
         return b"".join((self._piece(head), *got))
 
     def decode(self, ids: np.ndarray) -> bytes:

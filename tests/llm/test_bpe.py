@@ -41,3 +41,23 @@ def test_edges_and_round_trip(messy, nothing):
     texts = sorted(t for (t,) in messy.where("text is not null").select("text").collect())
     assert sorted(r.text for r in decode(encode(messy)).where("text is not null").select("text").collect()) == texts
     assert encode(nothing).count() == 0 and "copy" in encode(nothing).columns
+
+
+def test_what_comes_up_again_is_not_encoded_anew_when_the_cache_is_full(monkeypatch):
+    """A frequent word stays while rare ones come and go, a word that a piece holds is that of the piece alone, and what is kept has a bound."""
+    v = vocabulary(VOCABULARY)
+    v.forget()
+    asked = []
+    real = v.encode_word
+    monkeypatch.setattr(v, "encode_word", lambda word: asked.append(word) or real(word))
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    merged = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=v.ranks, special_tokens={})
+    rng = random.Random(5)
+    for i in range(400):
+        rare = ["".join(rng.choices("abdeiknorstu", k=9)) for _ in range(2)]
+        text = f"On xylograph {rare[0]} xylograph, {rare[1]}.\nXylograph {i}"
+        assert np.frombuffer(v.encode(text), np.int32).tolist() == merged.encode_ordinary(text)
+    assert asked.count(b" xylograph") == 1 and asked.count(b",") == 1
+    assert max(map(len, (v.pieces, v.older, v.plain))) <= 50
+    v.forget()
+    assert not (v.pieces or v.older or v.plain or v.compatible_pairs)
