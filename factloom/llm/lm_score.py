@@ -16,7 +16,8 @@ are follows the corpus (one for each ``REPLICA`` windows of a round), and nothin
 
 For scoring, a document is cut into blocks of ``STRIDE`` tokens. A window is a block
 and the ``CONTEXT`` tokens before it, so that windows overlap but every token is
-scored in exactly one of them, by masked attention over a batch of windows.
+scored in exactly one of them, by masked attention over a batch of windows. A window that
+comes up again among those of a task's batch of rows has the score it had.
 """
 
 from __future__ import annotations
@@ -137,6 +138,22 @@ def windows(units: np.ndarray, first: np.ndarray, outside: int) -> tuple[np.ndar
     return piece, slide(flat, W)[at], slide(flat, STRIDE)[at + LEAD]
 
 
+def distinct(inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of windows that differ from each other, and for each window which of these it equals."""
+    words = [word for x in (inputs, targets) for word in np.ascontiguousarray(x).view(np.uint64).T]
+    keys = np.zeros(len(inputs), np.uint64)
+    for word, factor in zip(words, np.random.default_rng(9).integers(1, 1 << 63, len(words)).astype(np.uint64)):
+        keys ^= word
+        keys *= factor
+        keys ^= keys >> np.uint64(29)
+    _, some, which = np.unique(keys, return_index=True, return_inverse=True)
+    again = some[which]
+    there = np.flatnonzero(again != np.arange(len(again)))
+    if (inputs[there] != inputs[again[there]]).any() or (targets[there] != targets[again[there]]).any():  # keys agree by accident
+        return np.arange(len(inputs)), np.arange(len(inputs))
+    return some, which
+
+
 def _exp(z: np.ndarray) -> None:
     """exp in place, of 60 at most, so that sums stay finite."""
     if z.size and z.max() > 60:
@@ -486,10 +503,13 @@ def score(gathered: DataFrame, symbols: Symbols, flat: np.ndarray, path: str = V
                 continue
             units, first, rest = units_of(batch.column(2), kind, symbols)
             piece, inputs, targets = windows(units, first, symbols.units + 1)
-            found = [model.log_probabilities(inputs[a : a + BATCH], targets[a : a + BATCH]) for a in range(0, len(piece), BATCH)]
+            some, which = distinct(inputs, targets)  # texts repeat each other, and a window scores alike wherever it is
+            found = [model.log_probabilities(inputs[k], targets[k]) for k in (some[a : a + BATCH] for a in range(0, len(some), BATCH))]
+            there, each = targets < symbols.units, np.zeros((len(some), STRIDE), np.float32)
+            each[there[some]] = np.concatenate([*found, np.empty(0, np.float32)])
             target = np.ones(len(units), bool)
             target[(first[:-1, None] + np.arange(LEAD)).ravel()] = False
-            sums = np.concatenate(([0.0], np.cumsum(np.concatenate([*found, np.empty(0, np.float32)]).astype(float) + rest[target])))
+            sums = np.concatenate(([0.0], np.cumsum(each[which][there].astype(float) + rest[target])))
             ends = first - LEAD * np.arange(len(first))
             for doc, row, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
                 if held and held[-1][1] == row:  # a further piece of the same document

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import tiktoken
 from conftest import SCHEMA, prose, row
 
@@ -134,6 +135,57 @@ def test_scores_do_not_hang_on_partitions(spark):
     assert max(abs(some[i] - many[i]) for i in some) < 1e-4
 
 
+@pytest.mark.parametrize("repeats", [True, False])
+def test_windows_that_repeat_are_scored_once_and_alike(spark, monkeypatch, repeats):
+    """Copies and passages that begin at a block cost no more windows, and every text has the sum over its own windows."""
+
+    class Caught:  # the function that score gives to the workers
+        where = select = withColumn = lambda self, *_: self
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+    rng = random.Random(12)
+    a, b = prose(rng, 300), prose(rng, 90)
+    texts = [a, b, a, "", a + b, "x", "x", a] if repeats else [a, b, "", "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc", "t"])
+    *rows, counts = lm_score._gather(VOCABULARY)(iter([batch]))
+    n = np.zeros(size_of(VOCABULARY), np.int64)
+    n[counts.column(4)[0].values.to_numpy()] = counts.column(5)[0].values.to_numpy()
+    symbols = Symbols.fit(n)
+    model, want, kinds = Model(symbols, seed=3), [], set()
+    for r in rows:
+        for tokens in (r.column(3).slice(i, 1) for i in range(r.num_rows)):
+            units, first, rest = units_of(tokens, narrow(VOCABULARY), symbols)
+            _, x, y = windows(units, first, symbols.units + 1)
+            kinds |= {p.tobytes() + q.tobytes() for p, q in zip(x, y)}
+            want.append(float(model.log_probabilities(x, y).sum() + rest[LEAD:].sum()) if len(x) else 0.0)
+    caught, count, plain = Caught(), [], Model.log_probabilities
+    score(caught, symbols, model.flat)
+    monkeypatch.setattr(Model, "log_probabilities", lambda self, x, y: count.append(len(x)) or plain(self, x, y))
+    got = [v for out in caught.run(r.select(["doc", "row", "tokens"]) for r in rows) for v in out.column(2).to_pylist()]
+    assert len(got) == len(texts) and np.abs(np.array(got) - want).max() < 0.01
+    assert sum(count) == len(kinds)
+
+
+def test_windows_are_told_apart_though_their_keys_agree(monkeypatch):
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 3, (50, W)).astype(np.int16), rng.integers(0, 3, (50, STRIDE)).astype(np.int16)
+    x[30], y[30] = x[7], y[7]
+    x[31], y[31] = x[7], rng.permutation(y[7])
+    some, which = lm_score.distinct(x, y)
+    assert len(some) == 49 and (x[some][which] == x).all() and (y[some][which] == y).all()
+
+    class Zero:
+        integers = staticmethod(lambda low, high, n: np.zeros(n, np.int64))
+
+    monkeypatch.setattr(np.random, "default_rng", lambda *_: Zero)
+    some, which = lm_score.distinct(x, y)
+    assert (x[some][which] == x).all() and (y[some][which] == y).all()
+    assert [len(v) for v in lm_score.distinct(x[:0], y[:0])] == [0, 0]
+
+
 def test_edges(messy, nothing):
     rows = lm_scores(messy).collect()
     assert len(rows) == messy.count() and sum(r.log_prob is None for r in rows) == 2
