@@ -21,6 +21,15 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+#: White space other than single spaces.
+_UNEVEN = r"(?U)[\s&&[^ ]]|  "
+
+
+def split_words(text: Column) -> Column:
+    """What white space separates. A text of single spaces is cut at them without a pattern, which would be compiled for each text."""
+    return F.when(text.rlike(_UNEVEN), F.split(strip(text), SPACES)).otherwise(F.split(F.trim(text), " "))
+
+
 def ngrams(tokens: Column, n_min: int = 1, n_max: int = 3, delim: str = " ", lower: bool = False) -> Column:
     """All n-grams by start, then by length; duplicates stay."""
     words = F.transform(tokens, F.lower) if lower else tokens

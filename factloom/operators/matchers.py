@@ -10,11 +10,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.tokens import let
 from factloom.operators import spaces
 
 
@@ -25,6 +25,8 @@ class Span:
     text: Column
     tokens: Callable[[str], Column]
     within: bool = False
+    #: The tokens one by one, where it is known how many there are.
+    items: Callable[[str], list[Column]] | None = None
 
     def value(self, attribute: str, sep: str = " ") -> Column:
         return self.text if attribute == "words" else F.array_join(self.tokens(attribute), sep, "")
@@ -69,35 +71,46 @@ class Matcher:
 def ngrams(matcher: Matcher, sentences: DataFrame, n_min: int = 1, n_max: int = 5, attributes: tuple[str, ...] = ("words",), joined: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """The sentences' token n-grams that match: ``matcher.apply(ngram_mentions(...))``, in one pass without an exchange.
 
-    The matcher looks at each n-gram inside its sentence's array. Only a longer n-gram can hold a span, so for the
-    longest-match rule a span asks the few that start up to ``n_max`` tokens before it.
+    Only a longer n-gram can hold a span, so for the longest-match rule the few that start up to ``n_max`` words
+    before are asked as well. Spans that don't match are never made.
     """
-    tables = matcher.tables()
-    if tables:
+    if matcher.tables():
         return matcher.apply(spaces.ngram_mentions(sentences, n_min, n_max, attributes=attributes, joined=joined, carry=carry))
-    arrays = spaces.ngram_arrays(n_min, n_max, attributes, joined)
-    fields = ["ord", "char_start", "char_end", "word_start", "word_end", "span_text", *attributes]
+    return spaces.ngram_rows(sentences, [_wanted(matcher, n_max, joined)], n_min, n_max, attributes, joined, carry)
 
-    def judged(x: Column) -> Column:
-        hit = F.coalesce(matcher.on(Span(x["span_text"], lambda a: x[a])), F.lit(False))
-        return F.struct(*(x[f].alias(f) for f in fields), (hit & (x["span_text"] != "")).alias("hit"))
 
-    flags = F.struct(*(F.transform(a, judged).alias(f"n{n}") for n, a in arrays.items()))
+def ngrams_each(found_by: list[Matcher], sentences: DataFrame, n_min: int = 1, n_max: int = 5, attributes: tuple[str, ...] = ("words",), joined: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The n-grams that any of several matchers (without dictionary tables) finds, from one pass over the sentences.
 
-    def chosen(v: Column) -> Column:
-        def kept(n: int) -> Column:
-            def keep(x: Column, i: Column) -> Column:
-                ok = x["hit"]
-                for m in [m for m in arrays if m > n and matcher.longest_match_only]:
-                    for back in range(m - n + 1):
-                        ok = ok & ~F.coalesce(F.get(v[f"n{m}"], i - back)["hit"], F.lit(False))
-                return ok
+    Column ``which`` has the bit 1 << k for the k-th matcher; ``candidates.index_each`` takes them apart.
+    """
+    if any(m.tables() for m in found_by):
+        raise TypeError("a dictionary table is asked by ngrams, one matcher at a time")
+    return spaces.ngram_rows(sentences, [_wanted(m, n_max, joined) for m in found_by], n_min, n_max, attributes, joined, carry, which=True)
+
+
+def _wanted(matcher: Matcher, n_max: int, joined: bool) -> Callable[[Column, int, Column], Column]:
+    """Whether the matcher takes an n-gram of ``spaces.ngram_rows``."""
+    size = F.size("_c_words")
+    stored = lambda a: f"_c_{a}" if a in ("words", "char_offsets") else f"_a_{a}"
 
-            return F.filter(v[f"n{n}"], keep)
+    def hit(at: Column, n: int, text: Column, back: int = 0) -> Column:
+        """Whether the n-gram that starts ``back`` words before the place matches."""
+        first = at - back if back else at
+        items = lambda a: [F.get(stored(a), first + k if k else first) for k in range(n)]
+        return F.coalesce(matcher.on(Span(text, lambda a: F.array(*items(a)), items=items)), F.lit(False))
 
-        return F.concat(*map(kept, arrays))
+    def wanted(at: Column, n: int, text: Column) -> Column:
+        ok = hit(at, n, text)
+        for m in range(n + 1, n_max + 1) if matcher.longest_match_only else ():
+            for back in range(m - n + 1):
+                longer = spaces.ngram_text(at, m, joined, back)
+                there = at - back + m <= size if back else at + m <= size
+                there = there & (at >= back) if back else there
+                ok = ok & ~(there & hit(at, m, longer, back) & (longer != ""))
+        return ok
 
-    return sentences.where(F.size("words") >= n_min).select("doc_id", "sent_pos", *carry, F.inline(let(flags, chosen))).drop("hit")
+    return wanted
 
 
 def longest(mentions: DataFrame, by: tuple[str, ...] = ("doc_id", "sent_pos"), ngrams_only: bool = True) -> DataFrame:
@@ -224,20 +237,37 @@ class Concat(_Composed):
             hit = hit | F.coalesce(right.on(span), F.lit(False))
         if not self.right_required:
             hit = hit | F.coalesce(left.on(span), F.lit(False))
+        if span.items is not None:
+            return self._unrolled(span, hit)
         words = span.tokens("words")
 
         def at(w: Column) -> Column:
             cut = F.length(F.array_join(F.slice(words, F.lit(1), w), " ")) + 1  # characters before the right part
             first = Span(F.substring(span.text, F.lit(1), cut - len(self.sep)), lambda a: F.slice(span.tokens(a), F.lit(1), w), True)
             second = Span(F.substring(span.text, cut + 1, F.length(span.text)), lambda a: F.slice(span.tokens(a), w + 1, F.size(words)), True)
-            ok = F.coalesce(left.on(first) & right.on(second), F.lit(False))
-            if self.permutations:
-                ok = ok | F.coalesce(right.on(first) & left.on(second), F.lit(False))
-            return ok if self.ignore_sep else ok & (F.substring(span.text, cut, F.lit(1)) == self.sep)
+            return self._parts(span, cut, first, second)
 
         inner = F.when(F.size(words) > 1, F.exists(F.sequence(F.lit(1), F.size(words) - 1), at)).otherwise(False)
         return hit | inner
 
+    def _parts(self, span: Span, cut: Column, first: Span, second: Span) -> Column:
+        left, right = self.children
+        ok = F.coalesce(left.on(first) & right.on(second), F.lit(False))
+        if self.permutations:
+            ok = ok | F.coalesce(right.on(first) & left.on(second), F.lit(False))
+        return ok if self.ignore_sep else ok & (F.substring(span.text, cut, F.lit(1)) == self.sep)
+
+    def _unrolled(self, span: Span, hit: Column) -> Column:
+        """Every boundary of a span whose number of tokens is known, without a function over arrays."""
+        words = span.items("words")
+        for w in range(1, len(words)):
+            cut = F.length(F.concat_ws(" ", *words[:w])) + 1
+            side = lambda low, high: {"tokens": lambda a: F.array(*span.items(a)[low:high]), "items": lambda a: span.items(a)[low:high]}
+            first = Span(F.substring(span.text, F.lit(1), cut - len(self.sep)), within=True, **side(0, w))
+            second = Span(F.substring(span.text, cut + 1, F.length(span.text)), within=True, **side(w, len(words)))
+            hit = hit | self._parts(span, cut, first, second)
+        return hit
+
 
 class RegexMatchSpan(Matcher):
     """The whole span matches: from its start (or anywhere, for ``search``), to its end for ``full_match``."""
@@ -271,6 +301,9 @@ class RegexMatchEach(Matcher):
         self.joined = java_regex(f"^(?:{rgx})(?:{_MARK}(?:{rgx}))*$", ignore_case) if closed else None
 
     def on(self, span: Span) -> Column:
+        if span.items is not None:
+            each = [F.coalesce(t, F.lit("")) if self.joined is not None else t for t in span.items(self.attrib)]
+            return reduce(lambda x, y: x & y, [t.rlike(self.rgx) for t in each])
         tokens = span.tokens(self.attrib)
         if self.joined is not None:
             return (F.size(tokens) > 0) & F.array_join(tokens, _MARK, "").rlike(self.joined)

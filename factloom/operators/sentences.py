@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.tokens import SPACES, offsets, strip
+from factloom.functions.tokens import offsets, split_words
 
 
 def simple_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", delim: str = ".") -> DataFrame:
@@ -19,7 +19,7 @@ def simple_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     pieces = F.filter(F.split(F.col(text), re.escape(delim), -1), lambda p: p.rlike(r"(?U)\S"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(pieces).alias("sent_pos", "piece"))
-    worded = rows.select("doc_id", "sent_pos", F.split(strip(F.col("piece")), SPACES).alias("words"))
+    worded = rows.select("doc_id", "sent_pos", split_words(F.col("piece")).alias("words"))
     return worded.select("doc_id", "sent_pos", F.array_join("words", " ").alias("text"), "words", offsets(F.col("words")).alias("char_offsets"))
 
 

@@ -210,7 +210,7 @@ def match_regex_each(spark, sf):
 
 def tagged(spark, sf):
     """Sentences with tags put on by rule, as a tagger would: capitals are persons, digits numbers."""
-    tag = lambda w: F.when(w.rlike("^[0-9]+$"), "CARDINAL").when(w.rlike("^[A-Z][a-z]+$"), "PERSON").otherwise("")
+    tag = lambda w: F.when(~w.rlike("^[A-Z0-9]"), "").when(w.rlike("^[0-9]+$"), "CARDINAL").when(w.rlike("^[A-Z][a-z]+$"), "PERSON").otherwise("")
     return sents(spark, sf).withColumn("ner_tags", F.transform("words", tag))
 
 
