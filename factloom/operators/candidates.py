@@ -58,6 +58,22 @@ def index_mentions(mentions: DataFrame, order: tuple[str, ...] | None = None) ->
     return mentions.withColumn("mention_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1)
 
 
+def index_each(mentions: DataFrame, n: int) -> list[DataFrame]:
+    """The mention tables of the ``n`` matchers of ``matchers.ngrams_each``, each with its mention_idx.
+
+    They are told apart behind the exchange that numbers them, by a condition on a number that all of them have. So the exchange, and the
+    pass over the texts before it, is the same for all of them, and Spark runs it once, however often they are joined.
+    """
+    order = Window.partitionBy("doc_id").orderBy("sent_pos", "ord")
+    out = []
+    for k in range(n):
+        mine = F.col("which").bitwiseAND(F.lit(1 << k)) != 0
+        place = F.count(F.when(mine, 1)).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
+        numbered = mentions.withColumns({"mention_idx": place.cast("int"), "_number": F.row_number().over(order)})
+        out.append(numbered.where(mine & (F.col("_number") > 0)).drop("which", "_number"))
+    return out
+
+
 def _same(a: Column, b: Column, fields: tuple[str, ...]) -> Column:
     return F.struct(*(a[f] for f in fields)).eqNullSafe(F.struct(*(b[f] for f in fields)))
 
@@ -80,21 +96,25 @@ def extract(spec: CandidateSpec) -> DataFrame:
     for i, (mentions, nullable) in enumerate(zip(spec.arguments, nullables)):
         keys = () if nullable else spec.equal
         side = mentions.select(F.col("doc_id"), *(F.col(k).alias(f"_{k}{i}") for k in keys), F.struct(*[c for c in mentions.columns if c != "doc_id"]).alias(f"a{i}"))
-        if nullable:
-            documents = None
-            for other in spec.arguments:
-                d = other.select("doc_id").distinct()
-                documents = d if documents is None else documents.union(d)
-            side = side.unionByName(documents.distinct().withColumn(f"a{i}", F.lit(None).cast(side.schema[f"a{i}"].dataType)))
         sides.append((side, keys))
     out, first_keys = sides[0]
+    if nullables[0]:
+        documents = None
+        for other in spec.arguments:
+            d = other.select("doc_id").distinct()
+            documents = d if documents is None else documents.union(d)
+        out = out.unionByName(documents.distinct().withColumn("a0", F.lit(None).cast(out.schema["a0"].dataType)))
     for i, (side, keys) in enumerate(sides[1:], 1):
         side = side.withColumnRenamed("doc_id", f"_doc{i}")
         on = F.col("doc_id") == F.col(f"_doc{i}")
         for k in keys:
             if k in first_keys:
                 on = on & (F.col(f"_{k}0") == F.col(f"_{k}{i}"))
-        out = out.join(side, on)
+        if nullables[i]:  # a mention without a document belongs to none; what there is goes on twice, to be joined and to be left alone, so that it isn't made twice
+            out = out.where("doc_id is not null").withColumn(f"_with{i}", F.explode(F.array(F.lit(False), F.lit(True))))
+            out = out.join(side.withColumn(f"_is{i}", F.lit(True)), on & (F.col(f"_with{i}") == F.col(f"_is{i}")), "left").where(f"not _with{i} or _is{i} is not null")
+        else:
+            out = out.join(side, on)
     args = [F.col(f"a{i}") for i in range(n)]
     if n == 2:
         a, b = args

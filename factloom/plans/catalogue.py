@@ -278,9 +278,15 @@ b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sen
 PAIR_SQL = "SELECT a.doc_id, a.sent_pos AS s0, a.span_text AS t0, b.sent_pos AS s1, b.span_text AS t1, a.char_start AS c0, b.char_start AS c1 FROM a JOIN b ON a.doc_id = b.doc_id"
 
 
-def arguments(spark, sf):
+def arguments(spark, sf, found_by=(LONG, CAPITAL)):
+    """The mentions that each matcher finds, from one pass over the documents."""
     whole = sents(spark, sf).withColumn("sentence_words", F.col("words"))
-    return tuple(cand.index_mentions(matchers.ngrams(m, whole, 1, 1, joined=True, carry=("sentence_words",))) for m in (LONG, CAPITAL))
+    return cand.index_each(matchers.ngrams_each(list(found_by), whole, 1, 1, joined=True, carry=("sentence_words",)), len(found_by))
+
+
+def argument(spark, sf):
+    """The first argument's mentions alone."""
+    return arguments(spark, sf, (LONG,))[0]
 
 
 def pairs(spark, sf, **options):
@@ -293,7 +299,7 @@ def flat(c, *more):
 
 @query(with_ngrams(1) + AB + "SELECT doc_id, sent_pos AS s0, span_text AS t0 FROM a")
 def cand_unary(spark, sf):
-    c = cand.extract(cand.CandidateSpec("one", [arguments(spark, sf)[0]]))
+    c = cand.extract(cand.CandidateSpec("one", [argument(spark, sf)]))
     return c.select("doc_id", F.col("a0.sent_pos").alias("s0"), F.col("a0.span_text").alias("t0"))
 
 
@@ -311,7 +317,7 @@ SELF = ", c AS (SELECT * FROM a) " + PAIR_SQL.replace("JOIN b", "JOIN c b").repl
 
 
 def self_pairs(spark, sf, **options):
-    a = arguments(spark, sf)[0]
+    a = argument(spark, sf)
     return cand.extract(cand.CandidateSpec("self", [a, a], **options))
 
 
@@ -327,15 +333,16 @@ def cand_symmetric_off(spark, sf):
 
 @query(with_ngrams(2) + ", a AS (SELECT * FROM m WHERE n = 2 AND regexp_matches(span_text, '^[a-z]{11,} [a-z]+$')), b AS (SELECT * FROM m WHERE n = 1 AND regexp_matches(span_text, '^[a-z]{11,}$')) " + PAIR_SQL + " AND a.sent_pos = b.sent_pos WHERE NOT (a.char_start <= b.char_start AND a.char_end >= b.char_end)")
 def cand_no_nested(spark, sf):
-    two = bigrams(spark, sf)
-    a = cand.index_mentions(two.where(F.col("span_text").rlike("^[a-z]{11,} [a-z]+$")))
-    b = cand.index_mentions(two.where(F.col("span_text").rlike("^[a-z]{11,}$")))
+    found_by = [matchers.RegexMatchSpan(r, ignore_case=False, longest_match_only=False) for r in ("[a-z]{11,} [a-z]+", "[a-z]{11,}")]
+    a, b = cand.index_each(matchers.ngrams_each(found_by, sents(spark, sf), 1, 2, joined=True), 2)
     return flat(cand.extract(cand.CandidateSpec("nested", [a, b], equal=("sent_pos",))))
 
 
 @query(with_ngrams(1) + AB + ", d AS (SELECT doc_id FROM a UNION SELECT doc_id FROM b) SELECT a.doc_id, a.span_text AS t0, b.span_text AS t1 FROM a JOIN b ON a.doc_id = b.doc_id UNION ALL SELECT a.doc_id, a.span_text, NULL FROM a JOIN d ON a.doc_id = d.doc_id")
 def cand_nullable(spark, sf):
-    return pairs(spark, sf, nullables=(False, True)).select("doc_id", F.col("a0.span_text").alias("t0"), F.col("a1.span_text").alias("t1"))
+    # a mention that may be missing is carried whole: so it has no more columns than are read of the other
+    both = [m.select(*SPAN) for m in arguments(spark, sf)]
+    return cand.extract(cand.CandidateSpec("pair", both, nullables=(False, True))).select("doc_id", F.col("a0.span_text").alias("t0"), F.col("a1.span_text").alias("t1"))
 
 
 @query(with_ngrams(1) + AB + "SELECT a.doc_id, a.span_text AS t0, b.span_text AS t1, c.span_text AS t2 FROM a JOIN b ON a.doc_id = b.doc_id AND a.sent_pos = b.sent_pos JOIN a c ON c.doc_id = a.doc_id AND c.sent_pos = a.sent_pos")
@@ -375,12 +382,14 @@ def same_sentence(spark, sf):
 @query(with_ngrams(1) + AB + f"SELECT doc_id, s0, c0, c1, array_to_string(list_transform(w[least(ws0, ws1) + 2:greatest(ws0, ws1)], lambda x: lower(x)), '|') AS between_words FROM ({SAME})")
 def between_ngrams(spark, sf):
     a, b = F.col("a0"), F.col("a1")
-    grams = tokens.between_ngrams(a["sentence_words"], (a["word_start"], a["word_end"]), (b["word_start"], b["word_end"]))
+    # the sentence of the earlier span: so both arguments read the same columns of one pass
+    words = F.when(a["word_start"] < b["word_start"], a["sentence_words"]).otherwise(b["sentence_words"])
+    grams = tokens.between_ngrams(words, (a["word_start"], a["word_end"]), (b["word_start"], b["word_end"]))
     return joint(spark, sf).select("doc_id", a["sent_pos"].alias("s0"), a["char_start"].alias("c0"), b["char_start"].alias("c1"), F.array_join(grams, "|").alias("between_words"))
 
 
 def around(spark, sf):
-    return arguments(spark, sf)[0]
+    return argument(spark, sf)
 
 
 @query(with_ngrams(1) + AB + "SELECT doc_id, sent_pos, char_start, array_to_string(list_transform(words[greatest(word_start - 3, 0) + 1:word_start], lambda x: lower(x)), '|') AS grams FROM a")

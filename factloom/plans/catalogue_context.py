@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factloom.functions import boxes, grid, paths
 from factloom.operators import candidates as cand
 from factloom.operators import features, keys, labels, neighbours, spaces
-from factloom.plans.catalogue import AB, SAME, WITH, arguments, joint, query, read, sents, with_ngrams
+from factloom.plans.catalogue import AB, SAME, WITH, argument, joint, query, read, sents, with_ngrams
 from factloom.settings import Tabular
 from factloom.sources import adapters
 
@@ -208,7 +208,7 @@ def ancestor_tags(spark, sf):
 
 def word_mentions(spark, sf):
     """Long words, with their sentences; lemmas are lower case and tags the first letter."""
-    a = arguments(spark, sf)[0].withColumn("m", F.struct("doc_id", "sent_pos", "char_start"))
+    a = argument(spark, sf).withColumn("m", F.struct("doc_id", "sent_pos", "char_start"))
     return a.withColumn("lemmas", F.transform("sentence_words", F.lower)).withColumn("pos_tags", F.transform("sentence_words", lambda w: F.substring(w, 1, 1)))
 
 
@@ -469,7 +469,7 @@ def entity_expansion(spark, sf):
 @query(with_ngrams(1) + AB + "SELECT doc_id, sent_pos, char_start FROM a WHERE doc_id % 2 = 0")
 def incremental_append(spark, sf):
     """The candidates of even documents that a store of the odd ones doesn't have."""
-    a = arguments(spark, sf)[0]
+    a = argument(spark, sf)
     all_of = cand.with_ids(cand.extract(cand.CandidateSpec("one", [a])), "one", 1)
     new = cand.new_only(all_of, all_of.where("doc_id % 2 = 1"))
     return new.select("doc_id", F.col("a0.sent_pos").alias("sent_pos"), F.col("a0.char_start").alias("char_start"))

@@ -62,3 +62,30 @@ def test_split_tokens_without_an_exchange(spark):
     rows = [(r.doc_id, r.sent_pos, r.char_start, r.char_end) for r in got.collect()]
     assert len(rows) == len(set(rows))
     assert sorted(r.span_text for r in got.collect() if r.doc_id == 1 and " " not in r.span_text) == ["a", "a/b", "a/b@c", "b", "b@c", "c", "one", "one-two", "two", "x"]
+
+
+def test_arguments_come_from_one_pass(spark, tmp_path):
+    frame(spark).write.parquet(f"{tmp_path}/d")
+    s = sentences.simple_sentences(spark.read.parquet(f"{tmp_path}/d"))
+    lower, ring = matchers.RegexMatchSpan("[a-z]+", ignore_case=False), matchers.RegexMatchSpan("[a-z]+ing")
+    a, b = cand.index_each(matchers.ngrams_each([lower, ring], s, 1, 1, joined=True), 2)
+    alone = [cand.index_mentions(matchers.ngrams(m, s, 1, 1, joined=True)) for m in (lower, ring)]
+    for one, other in zip((a, b), alone):
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.select(one.columns).collect())) != []
+    spec = lambda x, y, **o: cand.extract(cand.CandidateSpec("r", [x, y], **o)).select("doc_id", F.col("a0.span_text").alias("t0"), F.col("a1.span_text").alias("t1"))
+    for options in ({"equal": ("sent_pos",)}, {"nullables": (False, True)}, {}):
+        some = ("doc_id", "sent_pos", "char_start", "char_end", "span_text")
+        one = spec(a.select(*some), b.select(*some), **options)
+        tree = executed(one)
+        assert len(re.findall("FileScan parquet", tree[tree.index("== Physical Plan =="):])) == 1
+        assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, spec(*alone, **options).collect()), key=str) != []
+
+
+def test_nullable_arguments_by_hand(spark):
+    m = lambda rows: cand.index_mentions(spark.createDataFrame(rows, "doc_id long, sent_pos int, char_start int, char_end int, span_text string"))
+    a, b = m([(0, 0, 0, 0, "a"), (0, 1, 0, 0, "A"), (1, 0, 0, 0, "a"), (None, 0, 0, 0, "n")]), m([(0, 0, 2, 2, "b"), (2, 0, 0, 0, "b"), (None, 0, 2, 2, "m")])
+    got = lambda *nullables: sorted(((r.doc_id, r.a0 and r.a0.span_text, r.a1 and r.a1.span_text) for r in cand.extract(cand.CandidateSpec("r", [a, b], nullables=nullables)).collect()), key=str)
+    pairs, left, right = [(0, "A", "b"), (0, "a", "b")], [(0, "A", None), (0, "a", None), (1, "a", None)], [(0, None, "b"), (2, None, "b")]
+    assert got(False, True) == sorted(pairs + left, key=str)
+    assert got(True, False) == sorted(pairs + right, key=str)
+    assert got(True, True) == sorted(pairs + left + right, key=str)
