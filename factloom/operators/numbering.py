@@ -16,14 +16,15 @@ def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
     their hashes. Each stretch is numbered by itself, and the rows of the stretches before it are added.
     """
     chosen = rows.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(SAMPLE)
-    found = sorted(r[0] for r in chosen.collect())
-    borders = sorted({found[i * len(found) // STRETCHES] for i in range(1, STRETCHES)} if len(found) >= STRETCHES else set(found))
-    kind = rows.schema[key].dataType
-    cuts = F.array(*(F.lit(b) for b in borders)).cast(f"array<{kind.simpleString()}>") if borders else F.array().cast(f"array<{kind.simpleString()}>")
-    stretch = F.coalesce(F.size(F.filter(cuts, lambda b: b <= F.col(key))), F.lit(0))
+    # one row, in the plan of the whole: so no job runs before, and what the rows come from isn't computed for it alone
+    some = chosen.agg(F.array_sort(F.collect_list(key)).alias("_s"))
+    spread = F.expr(f"array_distinct(transform(sequence(1, {STRETCHES - 1}), i -> element_at(_s, cast(i * size(_s) div {STRETCHES} as int) + 1)))")
+    cuts = some.select(F.when(F.size("_s") >= STRETCHES, spread).otherwise(F.col("_s")).alias("_cuts"))
+    rows = rows.crossJoin(F.broadcast(cuts))
+    stretch = F.coalesce(F.size(F.filter("_cuts", lambda b: b <= F.col(key))), F.lit(0))
     placed = rows.withColumn("_stretch", F.when(F.col(key).isNull(), -1).otherwise(stretch))
     counts = placed.groupBy("_stretch").agg(F.count("*").alias("_n"))  # as many rows as stretches
     before = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.coalesce(1).select("_stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inner = F.row_number().over(Window.partitionBy("_stretch").orderBy(key)) - 1
-    return placed.withColumn("_inner", inner).join(F.broadcast(starts), "_stretch").withColumn(name, F.col("_before") + F.col("_inner")).drop("_stretch", "_inner", "_before")
+    return placed.withColumn("_inner", inner).join(F.broadcast(starts), "_stretch").withColumn(name, F.col("_before") + F.col("_inner")).drop("_stretch", "_inner", "_before", "_cuts")

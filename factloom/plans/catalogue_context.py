@@ -356,7 +356,9 @@ def feat_visual(spark, sf):
 def annotations(spark, sf):
     """Two relations' rows: the argument's first letters and its length, of joint and of throttled pairs."""
     c = joint(spark, sf).withColumn("candidate_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("a0.sent_pos").cast("string"), F.col("a0.char_start").cast("string"), F.col("a1.char_start").cast("string")))
-    rows = c.select("candidate_id", F.when(F.length("a0.span_text") > F.length("a1.span_text"), "Long").otherwise("Short").alias("candidate_type"), F.posexplode(F.array(F.concat(F.lit("P_"), F.substring("a0.span_text", 1, 2)), F.concat(F.lit("P_"), F.substring("a1.span_text", 1, 2)), F.lit("LEN"))).alias("seq", "key"), F.length("a0.span_text").alias("len"))
+    # named before they are exploded, so that the rest of the mentions isn't carried along
+    c = c.select("candidate_id", F.col("a0.span_text").alias("t0"), F.col("a1.span_text").alias("t1"))
+    rows = c.select("candidate_id", F.when(F.length("t0") > F.length("t1"), "Long").otherwise("Short").alias("candidate_type"), F.posexplode(F.array(F.concat(F.lit("P_"), F.substring("t0", 1, 2)), F.concat(F.lit("P_"), F.substring("t1", 1, 2)), F.lit("LEN"))).alias("seq", "key"), F.length("t0").alias("len"))
     return rows.withColumn("value", F.when(F.col("key") == "LEN", F.col("len") % 3).otherwise(1).cast("double"))
 
 

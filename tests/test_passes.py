@@ -89,3 +89,13 @@ def test_nullable_arguments_by_hand(spark):
     assert got(False, True) == sorted(pairs + left, key=str)
     assert got(True, False) == sorted(pairs + right, key=str)
     assert got(True, True) == sorted(pairs + left + right, key=str)
+
+
+def test_numbering_runs_no_job_before(spark):
+    rows = spark.range(1000).select(F.concat(F.lit("k"), (F.col("id") * 7919 % 1000).cast("string")).alias("k"))
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    out = numbering.numbered(rows, "k", "n")
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    assert [r.k for r in out.orderBy("n").collect()] == sorted(f"k{i}" for i in range(1000))
+    few = numbering.numbered(rows.where("k < 'k11'").union(spark.createDataFrame([(None,)], "k string")), "k", "n")
+    assert [(r.n, r.k) for r in few.orderBy("n").collect()] == list(enumerate([None, *sorted(f"k{i}" for i in range(1000) if f"k{i}" < "k11")]))
