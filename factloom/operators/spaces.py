@@ -83,7 +83,8 @@ def ngram_mentions(sentences: DataFrame, n_min: int = 1, n_max: int = 5, split_t
     cut = sentences.select("doc_id", "sent_pos", *carry, "char_offsets", *(F.col(a).alias(f"_{a}") for a in attributes), F.posexplode_outer("words").alias("i", "token")).where(token.rlike(rgx))
     own = [F.slice(F.col(f"_{a}"), F.col("i") + 1, F.lit(1)).alias(f"_{a}") for a in attributes]
     cut = cut.select("doc_id", "sent_pos", *carry, *(["char_offsets"] if legacy_split_offsets else []), *own, "i", "token", (F.lit(0) if legacy_split_offsets else F.get("char_offsets", F.col("i"))).alias("at")).withColumn("bounds", bounds)
-    pairs = cut.select("*", F.posexplode("bounds").alias("x", "from")).select("*", F.explode("bounds").alias("to")).where(F.col("from.s") < F.col("to.e"))
+    # outer, so that no test of the bounds' number is made below, at every token
+    pairs = cut.select("*", F.posexplode_outer("bounds").alias("x", "from")).select("*", F.explode_outer("bounds").alias("to")).where(F.col("from.s") < F.col("to.e"))
     start, end = F.col("from.s") + F.col("at"), F.col("to.e") - 1 + F.col("at")
     first = last = F.col("i")
     if legacy_split_offsets:  # their pieces may lie in another token
