@@ -380,7 +380,7 @@ def feature_keys(spark, sf):
 def feature_keys_drop_upsert(spark, sf):
     k = keys.build_keys(annotations(spark, sf))
     dropped = keys.drop_keys(k, k.where("key like 'P_t%'").select("key"), ["Long"])
-    new = k.sparkSession.createDataFrame([("LEN", ["Other"])], "key string, candidate_classes array<string>")
+    new = spark.range(1).select(F.lit("LEN").alias("key"), F.array(F.lit("Other")).alias("candidate_classes"))
     return keys.upsert_keys(dropped, new).select("key", F.array_join("candidate_classes", ",").alias("classes"))
 
 
