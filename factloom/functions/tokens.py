@@ -32,6 +32,8 @@ def split_words(text: Column) -> Column:
 
 def ngrams(tokens: Column, n_min: int = 1, n_max: int = 3, delim: str = " ", lower: bool = False) -> Column:
     """All n-grams by start, then by length; duplicates stay."""
+    if n_min == n_max == 1:
+        return F.coalesce(F.transform(tokens, lambda w: F.coalesce(F.lower(w) if lower else w, F.lit(""))), F.array().cast("array<string>"))
     words = F.transform(tokens, F.lower) if lower else tokens
     size = F.size(words)
 

@@ -8,7 +8,7 @@ interval test as the residual. Results are rows (m, ngram), duplicates included.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import boxes, grid
@@ -117,9 +117,11 @@ def direction_ngrams(mentions: DataFrame, sentences: DataFrame, direction: str,
     """N-grams of the page's other sentences that are aligned with the mention's box ("horz" or "vert")."""
     test = boxes.horz_aligned if direction == "horz" else boxes.vert_aligned
     m = mentions.select("m", F.col("doc_id").alias("d_"), F.col("sent_pos").alias("p_"), F.col("box").alias("m_box"), F.col("box.page").alias("pg_"))
-    s = sentences.select("doc_id", "sent_pos", "words", F.col("box").alias("s_box"), F.col("box.page").alias("page"))
+    # n-grams are made once a sentence, not once a pair
+    s = sentences.select("doc_id", "sent_pos", ngrams(F.col("words"), n_min, n_max, lower=lower).alias("grams"), F.col("box").alias("s_box"), F.col("box.page").alias("page"))
     joined = m.join(s, (m["d_"] == s["doc_id"]) & (m["pg_"] == s["page"]) & (m["p_"] != s["sent_pos"]) & test(F.col("s_box"), F.col("m_box")))
-    return _explode(joined, n_min, n_max, lower)
+    # outer, so that no test of the n-grams' number is made below, which would cut the sentence again
+    return joined.select("m", F.explode_outer("grams").alias("ngram")).where("ngram is not null")
 
 
 def direction_spans(mentions: DataFrame, spans: DataFrame, direction: str, lower: bool = True) -> DataFrame:
@@ -141,14 +143,16 @@ def aligned_lemmas(sentences: DataFrame, lemmas: str = "lemmas", most: int = 7)
     alphabetic = F.when(F.size(lemmas) < most, F.filter(F.transform(F.col(lemmas), F.lower), lambda x: x.rlike(r"^\p{L}+$"))).otherwise(F.array().cast("array<string>"))
     base = sentences.where(F.col("box.page").isNotNull()).select("doc_id", "sent_pos", F.col("box.page").alias("page"), alphabetic.alias("own"), ((b["top"] + b["bottom"]) / 2).alias("yc"), ((b["left"] + b["right"]) / 2).alias("xc"), b["left"].alias("left"), b["right"].alias("right"))
     kinds = {"Y": ("yc", "xc"), "LEFT": ("left", "yc"), "RIGHT": ("right", "yc"), "CENTER": ("xc", "yc")}
-    parts = []
-    for name, (key, along) in kinds.items():
-        # a lemma is seen from its first sentence in the group on
-        lemma = base.select("doc_id", "page", F.col(key).alias("k"), F.struct(F.col(along).alias("a"), "sent_pos").alias("at"), F.explode("own").alias("w"))
-        first = lemma.groupBy("doc_id", "page", "k", "w").agg(F.min("at").alias("first"))
-        seen = base.select("doc_id", "page", "sent_pos", F.col(key).alias("k"), F.struct(F.col(along).alias("a"), "sent_pos").alias("at")).join(first, ["doc_id", "page", "k"]).where("first < at")
-        parts.append(seen.select("doc_id", "sent_pos", F.explode(F.array("w", F.concat(F.lit(f"{name}_"), "w"))).alias("lemma")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.distinct()
+    # one exchange by document; everything after it is grouped by the document and more
+    near = base.repartition("doc_id").select("doc_id", "page", "sent_pos", "own", F.explode(F.array(*(F.struct(F.lit(name).alias("kind"), F.col(key).cast("double").alias("k"), F.col(along).cast("double").alias("a")) for name, (key, along) in kinds.items()))).alias("x"))
+    group = ["doc_id", "page", "kind", "k"]
+    rows = near.select("doc_id", "page", "sent_pos", "x.kind", "x.k", "x.a", F.explode_outer(F.array_distinct("own")).alias("w")).where("k is not null")
+    # a lemma is seen from its first sentence in the group on; there it is new
+    met = F.row_number().over(Window.partitionBy(*group, "w").orderBy("a", "sent_pos"))
+    new = rows.withColumn("met", met).groupBy(*group, "a", "sent_pos").agg(F.collect_list(F.when(F.col("met") == 1, F.col("w"))).alias("new"))
+    before = Window.partitionBy(*group).orderBy("a", "sent_pos").rowsBetween(Window.unboundedPreceding, -1)
+    seen = new.withColumn("seen", F.flatten(F.collect_list("new").over(before))).where(F.size("seen") > 0)
+    plain = F.array_distinct(F.flatten(F.collect_list("seen")))
+    named = F.flatten(F.collect_list(F.transform("seen", lambda w: F.concat("kind", F.lit("_"), w))))
+    whole = seen.groupBy("doc_id", "sent_pos").agg(plain.alias("plain"), named.alias("named"))
+    return whole.select("doc_id", "sent_pos", F.explode(F.array_distinct(F.concat("plain", "named"))).alias("lemma"))

@@ -99,3 +99,35 @@ def test_numbering_runs_no_job_before(spark):
     assert [r.k for r in out.orderBy("n").collect()] == sorted(f"k{i}" for i in range(1000))
     few = numbering.numbered(rows.where("k < 'k11'").union(spark.createDataFrame([(None,)], "k string")), "k", "n")
     assert [(r.n, r.k) for r in few.orderBy("n").collect()] == list(enumerate([None, *sorted(f"k{i}" for i in range(1000) if f"k{i}" < "k11")]))
+
+
+def test_aligned_lemmas_in_one_pass(spark, tmp_path):
+    rows = [(d, i, ["W%s" % (i % 4), "x", "9"][: 1 + i % 3] if i % 5 else ["long"] * 9, (1 + i // 12, 10 * (i % 6), 10 * (i % 6) + 8, 50 * (i % 2), 50 * (i % 2) + 20 + i % 3)) for d in range(2) for i in range(24)] + [(0, 30, ["null"], (1, None, None, 0, 9)), (0, 3, ["twice"], (1, 30, 38, 50, 70))]
+    spark.createDataFrame(rows, "doc_id long, sent_pos int, words array<string>, box struct<page:int,top:int,bottom:int,left:int,right:int>").write.parquet(f"{tmp_path}/d")
+    got = neighbours.aligned_lemmas(spark.read.parquet(f"{tmp_path}/d"), lemmas="words")
+    tree = plan(got)
+    assert len(re.findall("FileScan parquet", tree)) == 1 and len(re.findall("Exchange", tree)) == 1
+
+    def places(box):
+        page, top, bottom, left, right = box
+        y, x = None if top is None else (top + bottom) / 2, (left + right) / 2
+        first = lambda v: (v is not None, v or 0)
+        return {"Y": (y, first(x)), "LEFT": (left, first(y)), "RIGHT": (right, first(y)), "CENTER": (x, first(y))}
+
+    want = set()
+    for d, i, _, box in rows:
+        for e, j, words, other in rows:
+            for kind, (k, at) in places(box).items():
+                k2, at2 = places(other)[kind]
+                if d == e and box[0] == other[0] and k is not None and k == k2 and (at2, j) < (at, i) and len(words) < 7:
+                    want |= {(d, i, p + w.lower()) for w in words if w.isalpha() for p in ("", kind + "_")}
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_page_ngrams_are_made_once_a_sentence(spark):
+    s = spark.createDataFrame([(0, i, ["A", f"b{i}"], (1, 0, 10, 0, 20)) for i in range(3)], "doc_id long, sent_pos int, words array<string>, box struct<page:int,top:int,bottom:int,left:int,right:int>")
+    got = neighbours.direction_ngrams(s.withColumn("m", F.col("sent_pos")), s, "horz")
+    assert sorted(map(tuple, got.collect())) == sorted((i, g) for i in range(3) for j in range(3) if i != j for g in ("a", f"b{j}"))
+    tree = got._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.index("Join") < tree.index("transform(words")
