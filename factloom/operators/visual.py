@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def page_words(words: DataFrame, separators: str = r"[\s]+") -> DataFrame:
@@ -17,13 +23,122 @@ def page_words(words: DataFrame, separators: str = r"[\s]+") -> DataFrame:
     return cut.withColumn("place", F.row_number().over(order) - 1)
 
 
+#: Rows of documents that are linked at once, if no single document has more.
+LINKED = 200_000
+
+
 def link_exact(tokens: DataFrame, words: DataFrame, token_order: tuple[str, ...], word_order: tuple[str, ...]) -> DataFrame:
-    """Joins the n-th occurrence of a word in the text to its n-th on the page, where both have it equally often."""
-    def ranked(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
-        same = Window.partitionBy("doc_id", "word")
-        return df.withColumn("_k", F.row_number().over(same.orderBy(*order))).withColumn("_n", F.count("*").over(same))
+    """Joins the n-th occurrence of a word in the text to its n-th on the page, where both have it equally often.
+
+    Rows go to their document's task compressed, as stretches of rows of a document, and are ranked and joined there by
+    arrays: a document's rows lie in one task's memory. Rows without a document or a word link to nothing.
+    """
+    out = tokens.join(words, ["doc_id", "word"]).schema
+
+    def packed(df: DataFrame, is_page: bool) -> tuple[DataFrame, pa.Schema]:
+        known = df.where("doc_id is not null and word is not null").select("doc_id", "word", *(c for c in df.columns if c not in ("doc_id", "word")))
+        schema = to_arrow_schema(known.schema)
+        stretches = known.mapInArrow(_packer(is_page, schema), f"doc_id {known.schema['doc_id'].dataType.simpleString()}, is_page boolean, n int, size int, stretch binary")
+        return stretches, schema
 
-    return ranked(tokens, token_order).join(ranked(words, word_order), ["doc_id", "word", "_k", "_n"]).drop("_k", "_n")
+    (left, left_schema), (right, right_schema) = packed(tokens, False), packed(words, True)
+    together = left.union(right).repartition("doc_id").sortWithinPartitions("doc_id")
+    return together.mapInArrow(_linker(left_schema, right_schema, token_order, word_order, to_arrow_schema(out)), out)
+
+
+def _narrow(batch: pa.RecordBatch) -> bytes:
+    """A batch's bytes, made to be compressed: integers as steps from row to row, texts as their lengths and, at the end, their bytes.
+
+    Columns with nulls and of other types stay as they are; a bit a column in front tells which.
+    """
+    columns, texts, bits = [], [], 0
+    for k, c in enumerate(batch.columns):
+        if c.null_count == 0 and (pa.types.is_integer(c.type) or pa.types.is_string(c.type)):
+            bits |= 1 << k
+            if pa.types.is_string(c.type):
+                at = np.frombuffer(c.buffers()[1], np.int32, len(c) + 1, 4 * c.offset)
+                texts.append(c.buffers()[2][at[0] : at[-1]].to_pybytes() if at[-1] > at[0] else b"")
+                c = pa.array(np.diff(at))
+            else:
+                c = pa.array(np.diff(c.to_numpy(), prepend=c.type.to_pandas_dtype()(0)))
+        columns.append(c)
+    body = pa.RecordBatch.from_arrays(columns, [str(k) for k in range(len(columns))]).serialize().to_pybytes()
+    return np.array([bits, len(body)], np.int64).tobytes() + body + b"".join(texts)
+
+
+def _widened(data: bytes, schema: pa.Schema) -> pa.RecordBatch:
+    """What ``_narrow`` was given."""
+    bits, size = (int(x) for x in np.frombuffer(data, np.int64, 2))
+    coded = [bool(bits >> k & 1) for k in range(len(schema))]
+    kinds = [pa.int32() if x and pa.types.is_string(f.type) else f.type for x, f in zip(coded, schema)]
+    body = pa.ipc.read_record_batch(pa.py_buffer(data[16 : 16 + size]), pa.schema([(str(k), t) for k, t in enumerate(kinds)]))
+    columns, at = [], 16 + size
+    for c, f, x in zip(body.columns, schema, coded):
+        if x and pa.types.is_string(f.type):
+            ends = np.concatenate(([0], np.cumsum(c.to_numpy(), dtype=np.int64))).astype(np.int32)
+            c = pa.StringArray.from_buffers(len(c), pa.py_buffer(ends), pa.py_buffer(data[at : at + int(ends[-1])]))
+            at += int(ends[-1])
+        elif x:
+            c = pa.array(np.cumsum(c.to_numpy(), dtype=f.type.to_pandas_dtype()), f.type)
+        columns.append(c)
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _packer(is_page: bool, schema: pa.Schema):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, schema)], schema=schema)
+            docs = batch.column(0)
+            new = pc.not_equal(docs[1:], docs[:-1]).to_numpy(zero_copy_only=False)
+            starts = np.concatenate(([0], np.flatnonzero(new) + 1))
+            counts = np.diff(np.append(starts, batch.num_rows))
+            raw = [_narrow(batch.slice(int(i), int(n))) for i, n in zip(starts, counts)]
+            stretches = [pa.compress(r, codec="zstd", asbytes=True) for r in raw]
+            yield pa.RecordBatch.from_arrays([docs.take(pa.array(starts)), pa.array([is_page] * len(raw)), pa.array(counts, pa.int32()), pa.array([len(r) for r in raw], pa.int32()), pa.array(stretches, pa.binary())], ["doc_id", "is_page", "n", "size", "stretch"])
+
+    return pack
+
+
+def _ranked(table: pa.Table, order: tuple[str, ...], side: str) -> pa.Table:
+    """The rows with ``k``, their place among the equal words of a document, and ``n``, how many these are."""
+    table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("doc_id", "word", *order)], null_placement="at_start")).combine_chunks()
+    rows = table.num_rows
+    new = np.ones(rows, bool)
+    if rows:
+        new[1:] = pc.or_(*(pc.not_equal(table[c][1:], table[c][:-1]) for c in ("doc_id", "word"))).to_numpy()
+    starts = np.flatnonzero(new)
+    counts = np.diff(np.append(starts, rows))
+    names = [c if c in ("doc_id", "word") else f"{side}{i}" for i, c in enumerate(table.column_names)]
+    return table.rename_columns(names).append_column("k", pa.array(np.arange(rows) - np.repeat(starts, counts))).append_column("n", pa.array(np.repeat(counts, counts)))
+
+
+def _linker(left: pa.Schema, right: pa.Schema, token_order: tuple[str, ...], word_order: tuple[str, ...], out: pa.Schema):
+    def linked(stretches: list[tuple[bool, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        sides = []
+        for schema, is_page, order, side in ((left, False, token_order, "t"), (right, True, word_order, "w")):
+            read = [_widened(pa.decompress(s, decompressed_size=size, codec="zstd", asbytes=True), schema) for p, size, s in stretches if p == is_page]
+            sides.append(_ranked(pa.Table.from_batches(read, schema), order, side))
+        joined = sides[0].join(sides[1], ["doc_id", "word", "k", "n"], join_type="inner")
+        names = ["doc_id", "word", *(f"t{i}" for i in range(2, len(left))), *(f"w{i}" for i in range(2, len(right)))]
+        for batch in joined.select(names).to_batches():
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, out)], schema=out)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, doc = [], 0, None
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for d, is_page, n, size, stretch in zip(*columns):
+                if rows >= LINKED and d != doc:
+                    yield from linked(held)
+                    held, rows = [], 0
+                held.append((is_page, size, stretch))
+                rows, doc = rows + n, d
+        if held:
+            yield from linked(held)
+
+    return link
 
 
 def _distance(a: str, b: str) -> int:

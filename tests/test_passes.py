@@ -2,12 +2,13 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import tokens
 from factloom.operators import candidates as cand
-from factloom.operators import matchers, neighbours, numbering, sentences, spaces
+from factloom.operators import matchers, neighbours, numbering, sentences, spaces, visual
 
 TEXTS = ["This is apple. an Apple  pie\tis This", "one-two a/b@c. x", "the sing. The ring the the king", "   ", "a b c d e. f"]
 
@@ -131,3 +132,31 @@ def test_page_ngrams_are_made_once_a_sentence(spark):
     assert sorted(map(tuple, got.collect())) == sorted((i, g) for i in range(3) for j in range(3) if i != j for g in ("a", f"b{j}"))
     tree = got._jdf.queryExecution().optimizedPlan().toString()
     assert tree.index("Join") < tree.index("transform(words")
+
+
+def test_links_go_compressed_and_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(visual, "LINKED", 7)
+    tokens_of = [(d, i, w) for d in range(4) for i, w in enumerate("a b a c b a d é".split()[: 8 - d])] + [(9, 0, "alone"), (None, 0, "a"), (2, 99, None)]
+    page = [(d, 10 * j, w, f"{d}/{j}") for d in range(4) for j, w in enumerate("b a a x a b é".split())] + [(8, 0, "alone", "8"), (None, 0, "a", "n"), (2, 99, None, "n")]
+    t = spark.createDataFrame(tokens_of, "doc_id long, token_pos int, word string").repartition(3)
+    p = spark.createDataFrame(page, "doc_id long, place int, word string, label string").repartition(3)
+    got = visual.link_exact(t, p, ("token_pos",), ("place",))
+    assert got.columns == ["doc_id", "word", "token_pos", "place", "label"]
+    want = []
+    for d in range(4):
+        for w in {x[2] for x in tokens_of if x[0] == d and x[2]}:
+            mine, theirs = sorted(x[1] for x in tokens_of if x[0] == d and x[2] == w), sorted(x[1:] for x in page if x[0] == d and x[2] == w)
+            if len(mine) == len(theirs):
+                want += [(d, w, i, j, label) for i, (j, _, label) in zip(mine, theirs)]
+    assert sorted(map(tuple, got.collect())) == sorted(want) != []
+    tree = plan(got).split("== Initial Plan ==")[-1]
+    assert len(re.findall("Exchange hashpartitioning", tree)) == 1 and re.search(r"Exchange hashpartitioning\(doc_id", tree)
+    assert visual.link_exact(t.where("false"), p, ("token_pos",), ("place",)).count() == 0
+
+
+def test_stretches_come_back_as_they_were():
+    schema = pa.schema([("d", pa.int64()), ("w", pa.string()), ("i", pa.int32()), ("n", pa.int64()), ("f", pa.float64()), ("s", pa.string())])
+    rows = [(2**63 - 1, "a", -(2**31), 1, 0.5, "x"), (-(2**63), "", 2**31 - 1, None, None, None), (0, "éß", 0, 3, 1.0, "y"), (5, "", 7, 3, 1.0, "")]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+    for part in (batch, batch.slice(1, 2), batch.slice(3), batch.slice(1, 1)):
+        assert visual._widened(visual._narrow(part), schema).equals(part)
